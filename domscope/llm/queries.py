@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from .op10 import op10_byte_bpe
+from . import op8, op10
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op8_decontaminate": op8.op8_decontaminate,
+    "op10_byte_bpe": op10.op10_byte_bpe,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_decontaminate": op8.ORACLE,
+}
