@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op8, op10
+from . import op8, op9, op10
 
 QUERIES = {
     "op8_decontaminate": op8.op8_decontaminate,
+    "op9_toxicity": op9.op9_toxicity,
     "op10_byte_bpe": op10.op10_byte_bpe,
 }
 
