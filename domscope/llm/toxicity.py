@@ -5,7 +5,7 @@ words with one word between them, each hashed into 2**BITS slots; a feature coun
 it occurs. Learning goes a few times through four fifths of a bounded, hash-ordered sample of labelled
 documents, with a rate per coordinate and an L1 penalty that leaves most weights at zero; slots that
 fewer than LEAST_DOCS of these documents have take no part. On the other fifth the bias is moved so that
-a score of 0.7 is the cut with the best F1. The weights that are not zero are few, at most 2**BITS,
+a score of 0.7 is the cut with the best F0.5. The weights that are not zero are few, at most 2**BITS,
 and are broadcast.
 
 Null and empty texts have no features; their score is that of the bias alone. Labels that are null
@@ -77,7 +77,7 @@ class Ftrl:
 
 
 def best_cut(scored: list[tuple[float, int]]) -> float:
-    """How far above log(0.7 / 0.3) the cut with the best F1 lies, in the middle of the best ones; 0 without
+    """How far above log(0.7 / 0.3) the cut with the best F0.5 lies, in the middle of the best ones; 0 without
     examples of both kinds."""
     total = np.array([x for x, _ in scored])
     label = np.array([y for _, y in scored])
@@ -85,8 +85,8 @@ def best_cut(scored: list[tuple[float, int]]) -> float:
         return 0.0
     order = np.argsort(-total, kind="stable")
     right = np.cumsum(label[order])
-    f1 = 2 * right / (np.arange(1, len(order) + 1) + label.sum())
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    f = 1.25 * right / (np.arange(1, len(order) + 1) + 0.25 * label.sum())
+    best = np.flatnonzero(f >= f.max() - 1e-12)
     k = best[len(best) // 2]
     below = total[order[min(k + 1, len(order) - 1)]]
     return float((total[order[k]] + below) / 2 - np.log(0.7 / 0.3))
