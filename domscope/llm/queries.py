@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op8, op9, op10
+from . import op2, op8, op9, op10
 
 QUERIES = {
+    "op2_warc_index": op2.op2_warc_index,
     "op8_decontaminate": op8.op8_decontaminate,
     "op9_toxicity": op9.op9_toxicity,
     "op10_byte_bpe": op10.op10_byte_bpe,
 }
 
 ORACLE_SQL = {
+    "op2_warc_index": op2.ORACLE,
     "op8_decontaminate": op8.ORACLE,
 }
