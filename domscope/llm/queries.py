@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op2, op4, op8, op9, op10
+from . import op2, op4, op7, op8, op9, op10
 
 QUERIES = {
     "op2_warc_index": op2.op2_warc_index,
     "op4_html_text": op4.op4_html_text,
+    "op7_topk": op7.op7_topk,
     "op8_decontaminate": op8.op8_decontaminate,
     "op9_toxicity": op9.op9_toxicity,
     "op10_byte_bpe": op10.op10_byte_bpe,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc_index": op2.ORACLE,
+    "op7_topk": op7.ORACLE,
     "op8_decontaminate": op8.ORACLE,
 }
