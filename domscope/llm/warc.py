@@ -114,6 +114,7 @@ def first_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
     are shuffled; equal payloads are counted before that."""
     slim = pages.select("id", F.sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
     last = slim.groupBy("digest", "n").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    last = written(last, "last-copies")  # as an input of its own, so that the join below can split a payload with very many copies
     return slim.join(last, ["digest", "n"]).select("id", "refers_to").where("id <> refers_to")
 
 
