@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op2, op4, op7, op8, op9, op10
+from . import op2, op3, op4, op7, op8, op9, op10
 
 QUERIES = {
     "op2_warc_index": op2.op2_warc_index,
+    "op3_token_rollup": op3.op3_token_rollup,
     "op4_html_text": op4.op4_html_text,
     "op7_topk": op7.op7_topk,
     "op8_decontaminate": op8.op8_decontaminate,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc_index": op2.ORACLE,
+    "op3_token_rollup": op3.ORACLE,
     "op7_topk": op7.ORACLE,
     "op8_decontaminate": op8.ORACLE,
 }
