@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2, op3, op4, op7, op8, op9, op10
+from . import op1, op2, op3, op4, op7, op8, op9, op10
 
 QUERIES = {
+    "op1_pii": op1.op1_pii,
     "op2_warc_index": op2.op2_warc_index,
     "op3_token_rollup": op3.op3_token_rollup,
     "op4_html_text": op4.op4_html_text,
