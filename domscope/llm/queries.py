@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1, op2, op3, op4, op7, op8, op9, op10
+from . import op1, op2, op3, op4, op5, op7, op8, op9, op10
 
 QUERIES = {
     "op1_pii": op1.op1_pii,
     "op2_warc_index": op2.op2_warc_index,
     "op3_token_rollup": op3.op3_token_rollup,
     "op4_html_text": op4.op4_html_text,
+    "op5_line_dedup": op5.op5_line_dedup,
     "op7_topk": op7.op7_topk,
     "op8_decontaminate": op8.op8_decontaminate,
     "op9_toxicity": op9.op9_toxicity,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc_index": op2.ORACLE,
     "op3_token_rollup": op3.ORACLE,
+    "op5_line_dedup": op5.ORACLE,
     "op7_topk": op7.ORACLE,
     "op8_decontaminate": op8.ORACLE,
 }
