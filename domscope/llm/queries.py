@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1, op2, op3, op4, op5, op7, op8, op9, op10
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_pii": op1.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_rollup": op3.op3_token_rollup,
     "op4_html_text": op4.op4_html_text,
     "op5_line_dedup": op5.op5_line_dedup,
+    "op6_near_copies": op6.op6_near_copies,
     "op7_topk": op7.op7_topk,
     "op8_decontaminate": op8.op8_decontaminate,
     "op9_toxicity": op9.op9_toxicity,
@@ -20,6 +21,7 @@ ORACLE_SQL = {
     "op2_warc_index": op2.ORACLE,
     "op3_token_rollup": op3.ORACLE,
     "op5_line_dedup": op5.ORACLE,
+    "op6_near_copies": op6.ORACLE,
     "op7_topk": op7.ORACLE,
     "op8_decontaminate": op8.ORACLE,
 }
