@@ -1,10 +1,72 @@
-"""Cleaning a corpus in stages, each on all that the one before it kept."""
+"""Cleaning a corpus in stages, each on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last one, which returns
+tokens. Between stages the documents are written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from domscope.llm import bpe
+from domscope.llm.common import table, written
+from domscope.llm.decontaminate import decontaminate
+from domscope.llm.line_dedup import dedup_lines
+from domscope.llm.near_copies import keep_one
+from domscope.llm.op8 import WINDOW
+from domscope.llm.op9 import THRESHOLD, fold_model
+from domscope.llm.op10 import vocabulary
+from domscope.llm.toxicity import score
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold; the others go."""
+    names = docs.columns
+    return score(docs, fold_model(spark, docs, sf_dir), keep=names).where(F.col("score") < THRESHOLD).select(*names)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of runs of lines. Documents of which nothing is left go; those that were
+    empty before stay."""
+    done = dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''")
+    counted = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", counted).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones."""
+    return keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; documents that hardly hold anything else go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), WINDOW)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens, ids, and whether decoding gives the text again."""
+    path, pattern = vocabulary()
+    done = bpe.decode(bpe.encode(docs, path, pattern, keep=["doc_id", "lang", "source", "n_chars", "text"]), path, pattern, text=False)
+    exact = F.col("decoded_bytes") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_copies", near_copies),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: The first stage is a learnt model, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from the table documents to tokens."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
