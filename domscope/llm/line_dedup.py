@@ -17,7 +17,8 @@ only the beginning of the first run stays.
    downwards or upwards, so the intervals of these show all of it; the smallest place in an interval is the
    first copy, all others are deleted.
 
-Only sums by key, joins on unique keys, and joins whose hot keys Spark can split are used. A document is taken
+Only sums by key, joins on unique keys, and joins whose hot keys Spark can split are used; the joins are
+merge joins at every size, since nothing here has a size that is known to be small. A document is taken
 as one row: two rows with the same id are two documents, in no given order. Null ids come first. Null texts
 have no lines. Line ends are \\n alone; line ends before a deleted run go with it.
 """
@@ -50,7 +51,7 @@ def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     suffixes whose first 2**k lines repeat. Ranks order the suffixes by these lines."""
     repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ids = _ranked(repeated, ["a", "b"], "line-ids")
-    kept = written(lines.join(ids, ["a", "b"]).select("row", "id", "pos", "weight", "rank"), "repeated-lines")
+    kept = written(lines.join(ids.hint("merge"), ["a", "b"]).select("row", "id", "pos", "weight", "rank"), "repeated-lines")
     levels = [kept.select("row", "pos", "rank")]
     while True:
         reach = 2 ** (len(levels) - 1)
@@ -60,7 +61,7 @@ def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         names = _ranked(shared, ["r1", "r2"], "pairs")
         if names.isEmpty():
             return kept, levels
-        levels.append(written(pairs.join(names, ["r1", "r2"]).select("row", "pos", "rank"), "ranks"))
+        levels.append(written(pairs.join(names.hint("merge"), ["r1", "r2"]).select("row", "pos", "rank"), "ranks"))
 
 
 def just_enough(kept: DataFrame, min_words: int) -> DataFrame:
@@ -90,11 +91,11 @@ def later_copies(runs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     for k, level in enumerate(levels[1:], 1):
         ranks = ranks.unionByName(level.withColumn("k", F.lit(k)))
     blocks = runs.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")).withColumn("pos", F.col("start"))
-    first = blocks.join(ranks.withColumnRenamed("rank", "r1"), ["row", "k", "pos"]).withColumn("pos", (F.col("start") + F.col("n") - F.expr("shiftleft(1, k)")).cast("int"))
-    named = written(first.join(ranks.withColumnRenamed("rank", "r2"), ["row", "k", "pos"]).select("row", "id", "start", "n", "r1", "r2"), "intervals")
+    first = blocks.join(ranks.withColumnRenamed("rank", "r1").hint("merge"), ["row", "k", "pos"]).withColumn("pos", (F.col("start") + F.col("n") - F.expr("shiftleft(1, k)")).cast("int"))
+    named = written(first.join(ranks.withColumnRenamed("rank", "r2").hint("merge"), ["row", "k", "pos"]).select("row", "id", "start", "n", "r1", "r2"), "intervals")
     place = F.struct("id", "row", "start")
     heads = written(named.groupBy("n", "r1", "r2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "heads")
-    return named.join(heads, ["n", "r1", "r2"]).where("NOT (row = head.row AND start = head.start)").select("row", "start", "n")
+    return named.join(heads.hint("merge"), ["n", "r1", "r2"]).where("NOT (row = head.row AND start = head.start)").select("row", "start", "n")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,9 +103,9 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
     a column row that tells its rows apart."""
     table = written(line_table(docs, id_col, text_col), "lines")
     heads = written(table.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "texts")
-    copies = table.join(heads, "digest").where("row <> head.row").select("row", F.size("lines").alias("n"), F.aggregate("lines", F.lit(0), lambda t, x: t + x["weight"]).alias("weight"))
+    copies = table.join(heads.hint("merge"), "digest").where("row <> head.row").select("row", F.size("lines").alias("n"), F.aggregate("lines", F.lit(0), lambda t, x: t + x["weight"]).alias("weight"))
     copies = written(copies, "whole-copies")
-    lines = table.join(copies.select("row"), "row", "left_anti").select("row", "id", F.posexplode("lines").alias("pos", "line")).select("row", "id", "pos", "line.*")
+    lines = table.join(copies.select("row").hint("merge"), "row", "left_anti").select("row", "id", F.posexplode("lines").alias("pos", "line")).select("row", "id", "pos", "line.*")
     kept, levels = suffix_ranks(lines)
     runs = later_copies(just_enough(kept, min_words), levels)
     gone = runs.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
@@ -120,7 +121,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     rows = written(docs.drop("n_lines", "n_removed", "__row").withColumn("__row", F.monotonically_increasing_id()), "documents")
     slim = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     ranges = written(repeated_ranges(slim, "__id", "__text", min_words), "ranges").withColumnRenamed("row", "__row").withColumnRenamed("ranges", "__ranges")
-    joined = rows.join(ranges, "__row", "left")
+    joined = rows.join(ranges.hint("merge"), "__row", "left")
     lines = F.split(text_col, "\n", -1)
     left = F.filter(lines, lambda x, k: ~F.exists("__ranges", lambda r: k.between(r["first"], r["last"])))
     removed = F.coalesce(F.aggregate("__ranges", F.lit(0).cast("long"), lambda t, r: t + r["last"] - r["first"] + 1), F.lit(0))
