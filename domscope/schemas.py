@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_DDL = {
+DDL = {
     "users": "id long, username string, email string, bio string, created_at timestamp_ntz",
     "models": "id long, name string, version string, description string, model_type string, model_category string, is_public boolean, created_by string, status string, created_at timestamp_ntz",
     "files": "id long, bucket string, object_key string, filename string, size long, metadata string, created_at timestamp_ntz",
@@ -34,7 +34,12 @@ STAGING = {
     "events": "id event_date title description threat_type organization_id releasing_product link".split(),
     "domains": "id domain_name is_malicious first_seen last_seen organization_id".split(),
 }
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema(table: str) -> StructType:
+    """The schema of a table. Parsing it takes a session."""
+    return StructType.fromDDL(DDL[table])
+
 
 # Fixed values of enumerated columns.
 ENUMS = {
@@ -58,4 +63,4 @@ def outside_enum(df: DataFrame, table: str) -> DataFrame:
 def conform(df: DataFrame, table: str) -> DataFrame:
     """``df`` with the table's columns in order; columns it lacks are null, others are left out."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table]])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)])

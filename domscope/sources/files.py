@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+import io
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import STAGING
 
+#: What Spark's own reader decodes.
+SPARK_CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
 # The header of the alert table.
 ALERT_HEADER = {"malicious": ("序号", "恶意域名"), "impersonation": ("序号", "仿冒域名")}
 
@@ -16,14 +22,32 @@ ALERT_HEADER = {"malicious": ("序号", "恶意域名"), "impersonation": ("序
 def staged_csv(spark: SparkSession, path: str, columns: Sequence[str] | str, encoding: str = "UTF-8") -> DataFrame:
     """A CSV file with a header as text columns by place; the names in the header don't count. Quotes are
     doubled within quotes; values may hold line ends. ``columns``: names, or that of a staged table."""
-    names = STAGING[columns] if isinstance(columns, str) else columns
+    names = list(STAGING[columns] if isinstance(columns, str) else columns)
     schema = ", ".join(f"`{c}` string" for c in names)
+    if encoding.lower() not in SPARK_CHARSETS:
+        return _decoded_csv(spark, path, names, schema, encoding)
     return spark.read.schema(schema).options(header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, encoding=encoding).csv(path)
 
 
+def _decoded_csv(spark: SparkSession, path: str, names: list[str], schema: str, encoding: str) -> DataFrame:
+    """For character sets that Spark's reader doesn't take: a task decodes a whole file, which staged files
+    are small enough for."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                read = csv.reader(io.StringIO(content.decode(encoding, "replace"), newline=""))
+                next(read, None)
+                while part := list(itertools.islice(read, 10_000)):
+                    whole = [[v or None for v in r[: len(names)]] + [None] * (len(names) - len(r)) for r in part if r]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in whole], pa.string()) for k in range(len(names))], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """The trimmed lines of a text file, without blank ones and remarks (#); what isn't UTF-8 is left out."""
-    text = F.replace(F.col("value"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
     rows = spark.read.text(path).select(F.btrim(F.regexp_replace(text, r"^﻿|[\r\t]", " ")).alias("value"))
     return rows.where("value <> '' AND NOT startswith(value, '#')")
 
