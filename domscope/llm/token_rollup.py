@@ -73,8 +73,11 @@ class TokenRollup:
         sums = self._list("sums")
         if not sums:
             return None, []
-        covers = self.spark.read.text(f"{self.path}/sums/{sums[-1]}/_covers").collect()
-        return sums[-1], [r.value for r in covers]
+        stream = self._fs.open(self._hadoop(f"sums/{sums[-1]}/_covers"))
+        reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        names = list(iter(reader.readLine, None))
+        reader.close()
+        return sums[-1], names
 
     def _stored(self) -> tuple[list[str], list[str]]:
         """The paths to be summed, and the names of all batches in them."""
