@@ -294,7 +294,7 @@ def cascading_delete(spark, sf_dir):
 
 @query("""
 SELECT doc_id, lang, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, doc_id DESC) AS INT) AS place FROM (
-  SELECT d.doc_id, lang, quality * 0.5 + toxic AS score FROM documents d LEFT JOIN labels USING (doc_id)) ORDER BY score DESC NULLS LAST, doc_id DESC LIMIT 30
+  SELECT d.doc_id, lang, quality * 0.5::DOUBLE + toxic AS score FROM documents d LEFT JOIN labels USING (doc_id)) ORDER BY score DESC NULLS LAST, doc_id DESC LIMIT 30
 """)
 def match_search_order(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
