@@ -48,7 +48,7 @@ def _decoded_csv(spark: SparkSession, path: str, names: list[str], schema: str,
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """The trimmed lines of a text file, without blank ones and remarks (#); what isn't UTF-8 is left out."""
     text = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
-    rows = spark.read.text(path).select(F.btrim(F.regexp_replace(text, r"^﻿|[\r\t]", " ")).alias("value"))
+    rows = spark.read.text(path).select(F.btrim(F.regexp_replace(text, "^\ufeff|[\r\t]", " ")).alias("value"))
     return rows.where("value <> '' AND NOT startswith(value, '#')")
 
 
@@ -109,7 +109,7 @@ def write_alert_csv(df: DataFrame, path: str, kind: str = "malicious", domain: s
     the header, for spreadsheets."""
     number, name = ALERT_HEADER[kind]
     ordered = df.select(F.col(domain).alias(name)).orderBy(name).coalesce(1)
-    rows = ordered.select((F.monotonically_increasing_id() + 1).alias("﻿" + number), name)
+    rows = ordered.select((F.monotonically_increasing_id() + 1).alias("\ufeff" + number), name)
     rows.write.mode("overwrite").options(header=True, encoding="UTF-8").csv(path)
 
 

@@ -90,3 +90,19 @@ def test_arriving_files(spark, tmp_path):
         feed.run_available(feed.arriving_domains(spark, str(folder)), state, feed.into_batches(out))
     rows = spark.read.parquet(out).collect()
     assert {(r.domain, str(r.day)) for r in rows} == {("a.com", "2024-01-03"), ("b.com", "2024-01-03"), ("late.com", "2024-01-02")} and len(rows) == 3
+
+
+def test_spreadsheets(spark, tmp_path):
+    from domscope.sources import xlsx
+
+    df = spark.createDataFrame([("b.com", "1 < 2 & \"x\""), ("a.com", None), (" ", "é\x01日本\n  two")], "domain string, note string")
+    path = str(tmp_path / "r.xlsx")
+    xlsx.write_result_book(path, df, df.agg(F.count("*").alias("total")), df.limit(0))
+    back = xlsx.read_xlsx(spark, path)
+    assert back.columns == ["domain", "note"] and {tuple(r) for r in back.collect()} == {("b.com", '1 < 2 & "x"'), ("a.com", None), (" ", "é日本\n  two")}
+    assert xlsx.read_xlsx(spark, path, "统计信息").first().total == "3"
+    assert sorted(r.domain for r in xlsx.domain_sheet(spark, path).collect()) == ["a.com", "b.com"]
+    with pytest.raises(Exception):
+        xlsx.read_xlsx(spark, path, "钓鱼域名列表").count()
+    xlsx.write_result_book(path, df, df.limit(1), df.where("domain = 'a.com'"), "impersonation")
+    assert xlsx.read_xlsx(spark, path, "钓鱼域名列表").count() == 1
