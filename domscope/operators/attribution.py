@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import any_list
+from ..functions import labels
 from ..functions.labels import confidence, evidence_lines, profile_version, risk_level
 from ..functions.names import char_grams, domain_keywords, domain_tlds, domain_tokens, normal_domain, pattern_score, sld, text_tokens, tld
 from ..plans.relational import first_by_key, top_by_key
@@ -116,11 +117,11 @@ def best_matches(found: DataFrame) -> DataFrame:
     rows = found.groupBy("domain").agg(F.array_sort(F.collect_list(one)).alias("top_candidates"))
     best = F.col("top_candidates")[0]
     hit = best["score"] > 0
-    name = F.when(F.trim(best["name"]) != "", F.trim(best["name"])).otherwise("未知组织")
+    name = F.when(F.trim(best["name"]) != "", F.trim(best["name"])).otherwise(labels.UNNAMED_ORGANIZATION)
     reason = F.when(
         hit,
-        F.concat(F.lit("该域名与 "), name, F.lit(" 历史 IOC 画像在域名关键词、字符串相似度或结构模式上存在相似性，建议作为疑似 "), name, F.lit(" 相关域名纳入重点监测。")),
-    ).otherwise("该域名暂未与已知组织 IOC 画像形成稳定关联，建议作为未知来源疑似恶意域名纳入监测。")
+        F.concat(F.lit(labels.REASON_MATCH[0]), name, F.lit(labels.REASON_MATCH[1]), name, F.lit(labels.REASON_MATCH[2])),
+    ).otherwise(labels.REASON_NONE)
     return rows.select(
         "domain", F.when(hit, best["organization_id"]).alias("organization_id"), F.when(hit, best["name"]).alias("organization_name"), best["score"].alias("actor_score"),
         best["confidence"].alias("confidence"), reason.alias("reason"), F.when(hit, best["evidence"]).alias("evidence"), "top_candidates", F.lit(METHOD).alias("method"),
@@ -165,7 +166,7 @@ def alert_document(alert: DataFrame, items: DataFrame) -> DataFrame:
 def version_of(matched: DataFrame, profs: DataFrame) -> DataFrame:
     """One row: the version that all matched profiles have, ``mixed`` if they differ, the first one without any."""
     v = matched.join(profs.select("organization_id", "version"), "organization_id", "left_outer").agg(F.collect_set("version").alias("v"))
-    return v.select(F.when(F.size("v") == 0, "actor_profile_v1").when(F.size("v") == 1, F.element_at("v", 1)).otherwise("mixed").alias("version"))
+    return v.select(F.when(F.size("v") == 0, labels.FIRST_PROFILE_VERSION).when(F.size("v") == 1, F.element_at("v", 1)).otherwise("mixed").alias("version"))
 
 
 def by_organization(matches: DataFrame, unknown: str = "未知") -> DataFrame:
@@ -181,10 +182,10 @@ def by_organization(matches: DataFrame, unknown: str = "未知") -> DataFrame:
 def notice_text(groups: DataFrame) -> DataFrame:
     """One row: the groups of by_organization() as one text with its totals."""
     numbered = F.array_join(F.transform("domains", lambda d, i: F.concat((i + 1).cast("string"), F.lit(". "), d)), "\n")
-    section = F.concat(F.lit("【"), F.col("organization"), F.lit("】("), F.col("n").cast("string"), F.lit("个)\n"), numbered)
+    section = F.concat(F.lit(labels.NOTICE_GROUP[0]), F.col("organization"), F.lit(labels.NOTICE_GROUP[1]), F.col("n").cast("string"), F.lit(labels.NOTICE_GROUP[2] + "\n"), numbered)
     g = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("known"), F.array_sort(F.collect_list(F.struct((~F.col("known")).alias("u"), F.lower("organization").alias("l"), section.alias("s")))).alias("s"))
-    head = F.concat(F.lit("本批次高风险域名数量："), F.col("total").cast("string"), F.lit("\n已形成组织关联的域名数量："), F.col("known").cast("string"))
-    return g.select("total", "known", F.when(F.col("total") == 0, "暂无明显疑似关联组织。").otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n\n"))).alias("text"))
+    head = F.concat(F.lit(labels.NOTICE_TOTALS[0]), F.col("total").cast("string"), F.lit("\n" + labels.NOTICE_TOTALS[1]), F.col("known").cast("string"))
+    return g.select("total", "known", F.when(F.col("total") == 0, labels.NOTICE_NONE).otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n\n"))).alias("text"))
 
 
 def persist_matches(stored: DataFrame, matches: DataFrame, domains: DataFrame, alert_id: str, when: Column) -> DataFrame:

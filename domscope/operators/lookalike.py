@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import similarity_text
+from ..functions.labels import MATCH_TYPE, similarity_text
 from ..functions.names import char_grams, cosine, edit_bound, key_domain, similarity_bound
 
 #: The dimension of the default embedding.
@@ -69,7 +69,7 @@ def look_alikes(candidates: DataFrame, official: DataFrame, threshold: float | N
     score = lambda a, b: 0.7 * cosine(a["key"], b["key"]) + 0.3 * cosine(a["full"], b["full"])
     best = best_target(vectors(near, "domain"), vectors(targets.select("target", "ord"), "target"), score, "domain", "target", "ord")
     hits = best.where(F.col("similarity") > similarity_bound(key_domain(F.col("target")), threshold))
-    matches = hits.join(targets.select("target", "company"), "target").select("domain", "target", "company", similarity_text(F.col("similarity")).alias("similarity"), F.lit("相似度").alias("match_type"))
+    matches = hits.join(targets.select("target", "company"), "target").select("domain", "target", "company", similarity_text(F.col("similarity")).alias("similarity"), F.lit(MATCH_TYPE).alias("match_type"))
     total = candidates.agg(F.count("domain").alias("total"))
     stats = total.join(matches.agg(F.count(F.lit(1)).alias("phishing"))).select("total", "phishing", (F.col("total") - F.col("phishing")).alias("benign"), F.when(F.col("total") == 0, 0.0).otherwise(100.0 * F.col("phishing") / F.col("total")).alias("phishing_rate"))
     return matches, stats
