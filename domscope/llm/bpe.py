@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts of texts that a worker remembers before it starts anew (some 150 MB).
-REMEMBERED = 600_000
+#: Parts of texts that a worker remembers before it starts anew (some 90 MB).
+REMEMBERED = 350_000
 #: Rows that are worked on at a time.
 ROWS = 256
 #: White space other than single spaces and line ends within a text.
