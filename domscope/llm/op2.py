@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .warc import merge_runs, read_runs, write_archives
@@ -13,7 +14,8 @@ LEAST_BYTES = 0
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back and merged into one index in order of URL key and time."""
     archives = write_archives(table(spark, sf_dir, "pages"), LEAST_BYTES)
-    return merge_runs(read_runs(archives)).selectExpr("id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    return merge_runs(read_runs(archives), records).selectExpr("id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

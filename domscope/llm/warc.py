@@ -35,6 +35,8 @@ from .common import scratch_path, written
 
 #: An archive is ended when it has so many bytes.
 FILE_BYTES = 16 << 20
+#: A range of the index, which one task merges in memory, has about so many entries at most.
+RANGE_ENTRIES = 200_000
 ENTRY = "url_key string, ts long, id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
@@ -250,10 +252,12 @@ class LoserTree:
             self._play(first)
 
 
-def merge_runs(entries: DataFrame) -> DataFrame:
+def merge_runs(entries: DataFrame, records: int | None = None) -> DataFrame:
     """The entries of all runs in global order: partition k of the result comes before k + 1, and rows
-    within a partition are in order of URL key, time and id."""
-    n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    within a partition are in order of URL key, time and id. There are so many ranges that each holds about
+    RANGE_ENTRIES at most; ``records`` is the number of entries, if it is known."""
+    records = entries.count() if records is None else records
+    n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records // RANGE_ENTRIES))
     dealt = entries.repartitionByRange(n, "url_key", "ts", "id")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
