@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MEMBER = "dailyupdate.txt"
