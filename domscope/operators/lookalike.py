@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import MATCH_TYPE, similarity_text
-from ..functions.names import char_grams, cosine, edit_bound, key_domain, similarity_bound
+from ..functions.names import char_grams, edit_bound, key_domain, similarity_bound
 
 #: The dimension of the default embedding.
 DIMENSION = 64
-#: Targets that meet a candidate in one row.
-LOT = 256
+#: About so many targets and candidates are in a lot; so many candidates of it are compared at once.
+LOT, CANDIDATES, ROWS = 4096, 1024, 256
+#: Scores that differ by rounding alone are equal.
+EQUAL = 1e-12
 
 
 def official_targets(official: DataFrame, company: str = "company", domain: str = "domain", position: str = "position") -> DataFrame:
@@ -23,14 +27,15 @@ def official_targets(official: DataFrame, company: str = "company", domain: str
     return rows.groupBy("target").agg(F.max_by(company, position).alias("company"), F.min(position).alias("ord"))
 
 
-def within_reach(candidates: DataFrame, targets: DataFrame, domain: str = "domain", target: str = "target") -> DataFrame:
-    """The candidates whose key is within the edits that some target's key allows. Only keys whose lengths
-    are that close are compared: an equi-join on the length."""
+def within_reach(candidates: DataFrame, targets: DataFrame, domain: str = "domain", target: str = "target", itself: bool = True) -> DataFrame:
+    """The candidates whose key is within the edits that some target's key allows - a target of another name, if
+    ``itself`` is false. Only keys whose lengths are that close are compared: an equi-join on the length."""
     c = candidates.withColumn("__key", key_domain(F.trim(domain))).withColumn("__length", F.char_length("__key"))
-    t = targets.select(key_domain(F.col(target)).alias("__t")).distinct().withColumn("__k", edit_bound(F.col("__t")))
+    t = targets.select(key_domain(F.col(target)).alias("__t"), *([] if itself else [F.col(target).alias("__name")])).distinct().withColumn("__k", edit_bound(F.col("__t")))
     reach = F.explode(F.sequence(F.greatest(F.char_length("__t") - F.col("__k"), F.lit(0)), F.char_length("__t") + F.col("__k")))
-    t = t.select("__t", "__k", reach.alias("__length"))
+    t = t.select("__t", "__k", *([] if itself else ["__name"]), reach.alias("__length"))
     near = (c["__length"] == t["__length"]) & (F.levenshtein(F.col("__key"), F.col("__t")) <= F.col("__k"))
+    near = near if itself else near & (c[domain] != t["__name"])
     return c.join(t, near, "left_semi").drop("__key", "__length")
 
 
@@ -41,33 +46,93 @@ def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
 
 
-def best_target(candidates: DataFrame, targets: DataFrame, score: Callable[[Column, Column], Column], key: str, target: str, ord: str) -> DataFrame:
+def _unit(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The vectors of a column as rows of length 1, shorter ones with zeros at the end; a zero vector stays."""
+    m = np.zeros((len(column), width))
+    for k, v in enumerate(column.to_pylist()):
+        m[k, : len(v)] = v
+    m /= np.maximum(np.abs(m).max(1, initial=0), np.finfo(float).tiny)[:, None]
+    return m / np.maximum(np.sqrt((m * m).sum(1)), np.finfo(float).tiny)[:, None]
+
+
+def nearest(names: list, own: np.ndarray, targets: list, cells: np.ndarray, itself: bool = True) -> list[tuple[int, float]]:
+    """Row of the best target and its score for each candidate, the first of those within EQUAL; -1 if there is none."""
+    out: list[tuple[int, float]] = []
+    rows_of: dict = {}
+    for k, t in enumerate(targets):
+        rows_of.setdefault(t, []).append(k)
+    for at in range(0, len(names), ROWS):
+        part = own[at : at + ROWS]
+        scores = part @ cells.T
+        if not itself:
+            for k, n in enumerate(names[at : at + ROWS]):
+                scores[k, rows_of.get(n, [])] = -np.inf
+        top = scores.max(1)
+        best = (scores >= top[:, None] - EQUAL).argmax(1)
+        exact = (part * cells[best]).sum(1)  # the same for equal vectors, wherever they lie
+        out += [(int(b), float(x)) if t > -np.inf else (-1, 0.0) for b, x, t in zip(best, exact, top)]
+    return out
+
+
+def best_target(candidates: DataFrame, targets: DataFrame, weights: dict[str, float], key: str, target: str, ord: str, itself: bool = True) -> DataFrame:
     """key, target, similarity: for each candidate the target with the highest score, the first of equals.
 
-    ``score`` is of two structs of a candidate's and a target's columns. Every candidate meets every target,
-    which is what is asked for; they meet in lots of targets, one row a lot, each reduced at once.
+    The score is the weighted sum of the cosines of the columns named in ``weights``, arrays that both have;
+    scores within EQUAL of each other count as equal. Every candidate meets every target, which is what is asked
+    for, but for that of its own name if ``itself`` is false; they meet in lots, a pair of lots a row, each
+    reduced at once. Targets with a null, a null component or one that is not finite take no part; a candidate
+    with such a vector, or with no target, gets nulls.
     """
-    row = F.struct(*[F.col(c) for c in targets.columns])
-    lots = targets.withColumn("__lot", F.floor(F.col(ord) / LOT)).groupBy("__lot").agg(F.collect_list(row).alias("__targets"))
-    own = F.struct(*[F.col(c) for c in candidates.columns])
-    met = candidates.select(F.col(key).alias("__name"), own.alias("__own")).join(lots)
-    best = F.array_max(F.transform("__targets", lambda x: F.struct(score(F.col("__own"), x).alias("similarity"), (-x[ord]).alias("minus"), x[target].alias("target"))))
-    return met.select("__name", best.alias("b")).groupBy("__name").agg(F.max("b").alias("b")).select(F.col("__name").alias(key), F.col("b.target").alias("target"), F.col("b.similarity").alias("similarity"))
-
-
-def look_alikes(candidates: DataFrame, official: DataFrame, threshold: float | None = None, embed: Callable[[Column], Column] = hashed_embedding) -> tuple[DataFrame, DataFrame]:
+    fine = F.lit(True)
+    for c in weights:
+        fine &= F.col(c).isNotNull() & F.forall(c, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
+    usable = lambda df, id, *more: df.where(fine & F.col(id).isNotNull()).select(F.col(id).alias("name"), *more, *weights)
+    c, t = usable(candidates, key, F.lit(0).alias("ord")), usable(targets, target, F.col(ord).alias("ord"))
+    size = [df.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.size(w)).alias(w) for w in weights]).first() for df in (c, t)]
+    widths = {w: max(x[w] or 0 for x in size) for w in weights}
+    kind = dict(t.dtypes)["name"], dict(c.dtypes)["name"], dict(t.dtypes)["ord"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ord", "ascending"), ("name", "ascending")])
+        cells = np.concatenate([np.sqrt(w) * _unit(table[x], widths[x]) for x, w in weights.items()], axis=1)
+        return pa.table({"lot": table["lot"][:1], "names": [table["name"].to_pylist()], "ords": [table["ord"].to_pylist()], "cells": pa.array([cells.tobytes()], pa.binary())}).cast(pa.schema([("lot", pa.int64()), ("names", pa.list_(table.schema.field("name").type)), ("ords", pa.list_(table.schema.field("ord").type)), ("cells", pa.binary())]))
+
+    def packed(df: DataFrame, n: int, most: int, name: str, order: str) -> DataFrame:
+        lot = F.pmod(F.xxhash64("name", F.lit("lot")), F.lit(max(1, -(-n // most))))
+        return df.withColumn("lot", lot).groupBy("lot").applyInArrow(pack, f"lot long, names array<{name}>, ords array<{order}>, cells binary")
+
+    lots = packed(t, size[1].n, LOT, kind[0], kind[2])
+    own = packed(c, size[0].n, CANDIDATES, kind[1], "int").select(F.col("names").alias("own"), F.col("cells").alias("own_cells"))
+    count = max(1, -(-size[1].n // LOT))
+    pairs = own.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(lots, "lot").select("own", "own_cells", "names", "ords", "cells")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_type, name_type, ord_type = (batch.schema.field(x).type.value_type for x in ("own", "names", "ords"))
+            for k in range(batch.num_rows):
+                o, oc, n, d, nc = (col[k].as_py() for col in batch.columns)
+                found = nearest(o, np.frombuffer(oc).reshape(len(o), -1), n, np.frombuffer(nc).reshape(len(n), -1), itself)
+                rows = [(x, n[b], d[b], s) for x, (b, s) in zip(o, found) if b >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array(col, ty) for col, ty in zip(zip(*rows) if rows else [()] * 4, (own_type, name_type, ord_type, pa.float64()))], ["name", "target", "ord", "similarity"])
+
+    met = pairs.mapInArrow(search, f"name {kind[1]}, target {kind[0]}, ord {kind[2]}, similarity double")
+    best = met.groupBy("name").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("minus"), "target")).alias("b"))
+    best = best.select(F.col("name").alias(key), F.col("b.target").alias("target"), F.col("b.similarity").alias("similarity"))
+    return candidates.select(key).where(F.col(key).isNotNull()).distinct().join(best, key, "left")
+
+
+def look_alikes(candidates: DataFrame, official: DataFrame, threshold: float | None = None, embed: Callable[[Column], Column] = hashed_embedding, itself: bool = True) -> tuple[DataFrame, DataFrame]:
     """(matches, statistics) of a column domain against official (company, domain, position).
 
     A candidate within reach of some target is compared with all of them: 0.7 of the similarity of the keys
     and 0.3 of that of the full names. Its best target counts if the similarity exceeds the threshold, by
-    default one that depends on the length of the target's key.
+    default one that depends on the length of the target's key. Unless ``itself``, an official name is not its own target.
     """
     targets = official_targets(official)
     names = candidates.select(F.lower(F.trim("domain")).alias("domain")).where("domain <> ''")
-    near = within_reach(names.distinct(), targets)
+    near = within_reach(names.distinct(), targets, itself=itself)
     vectors = lambda df, c: df.withColumns({"full": embed(F.col(c)), "key": embed(key_domain(F.col(c)))})
-    score = lambda a, b: 0.7 * cosine(a["key"], b["key"]) + 0.3 * cosine(a["full"], b["full"])
-    best = best_target(vectors(near, "domain"), vectors(targets.select("target", "ord"), "target"), score, "domain", "target", "ord")
+    best = best_target(vectors(near, "domain"), vectors(targets.select("target", "ord"), "target"), {"key": 0.7, "full": 0.3}, "domain", "target", "ord", itself)
     hits = best.where(F.col("similarity") > similarity_bound(key_domain(F.col("target")), threshold))
     matches = hits.join(targets.select("target", "company"), "target").select("domain", "target", "company", similarity_text(F.col("similarity")).alias("similarity"), F.lit(MATCH_TYPE).alias("match_type"))
     total = candidates.agg(F.count("domain").alias("total"))

@@ -576,10 +576,32 @@ SELECT vec_id, target, round(c, 6) AS similarity, c > 0.35 AS matched FROM (SELE
 def lookalike_match(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     targets = e.where("vec_id % 10 = 1").withColumn("ord", F.col("vec_id"))
-    best = lookalike.best_target(e.where("vec_id % 10 = 0"), targets, lambda a, b: names.cosine(a["embedding"], b["embedding"]), "vec_id", "vec_id", "ord")
+    best = lookalike.best_target(e.where("vec_id % 10 = 0"), targets, {"embedding": 1.0}, "vec_id", "vec_id", "ord")
     return best.select("vec_id", "target", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.35).alias("matched"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS r FROM e),
+s AS (SELECT q.vec_id AS vec_id, t.vec_id AS target, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * t.e[i])) / (q.r * t.r) AS c FROM n q JOIN n t ON q.vec_id <> t.vec_id)
+SELECT vec_id, target, round(c, 6) AS similarity, c > 0.35 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, target) AS k FROM s) WHERE k = 1
+""")
+def lookalike_all(spark, sf_dir):
+    """Every vector against all others. lookalike_match is the slice of two residues that its SQL has."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("ord", F.col("vec_id"))
+    best = lookalike.best_target(e, e, {"embedding": 1.0}, "vec_id", "vec_id", "ord", itself=False)
+    return best.select("vec_id", "target", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.35).alias("matched"))
+
+
+@query()
+def lookalike_hosts(spark, sf_dir):
+    """The whole operator: every host against all other hosts, with the statistics beside each match."""
+    hosts = _hosts(spark, sf_dir).where("host <> ''")
+    official = hosts.select(F.concat(F.lit("Owner of "), "host").alias("company"), F.col("host").alias("domain"), F.xxhash64("host").alias("position"))
+    matches, stats = lookalike.look_alikes(hosts.select(F.col("host").alias("domain")), official, itself=False)
+    return stats.join(matches, how="left")
+
+
 # Detection -------------------------------------------------------------------------------------------------
 
 

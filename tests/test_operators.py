@@ -87,6 +87,34 @@ def test_look_alikes(spark):
     assert exact.count() == 0  # a similarity must exceed the threshold
 
 
+def test_best_target_is_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lookalike, "LOT", 7)
+    monkeypatch.setattr(lookalike, "CANDIDATES", 5)
+    monkeypatch.setattr(lookalike, "ROWS", 3)
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(60)]
+    rows[30:45] = [(k, rows[30][1]) for k in range(30, 45)]
+    rows[7], rows[8], rows[9] = (7, None), (8, [0.1, None]), (9, [float("nan")] * 6)
+    rows[50] = (50, [0.0] * 6)
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    ok = {i: np.array(v) for i, v in rows if i not in (7, 8, 9)}
+    unit = {i: v / (np.linalg.norm(v) or 1) for i, v in ok.items()}
+    want = {i: min(((-round(float(unit[i] @ unit[t]), 9) + 0.0, t) for t in unit if t != i)) for i in unit}
+    got = {r.id: r for r in lookalike.best_target(e, e.withColumn("o", F.col("id")), {"v": 1.0}, "id", "id", "o", itself=False).collect()}
+    assert set(got) == set(range(60)) and all(got[i].target is None for i in (7, 8, 9))
+    assert {i: got[i].target for i in want} == {i: t for i, (_, t) in want.items()}
+    assert all(abs(got[i].similarity + s) < 1e-8 for i, (s, _) in want.items())
+
+
+def test_look_alikes_of_all_names(spark):
+    official = spark.createDataFrame([("A", "example.com", 1), ("B", "examp1e.com", 2), ("C", "completely-other.org", 3)], "company string, domain string, position int")
+    matches, stats = lookalike.look_alikes(official.select("domain"), official, threshold=0.3, itself=False)
+    assert {(r.domain, r.target, r.company) for r in matches.collect()} == {("example.com", "examp1e.com", "B"), ("examp1e.com", "example.com", "A")}
+    assert (stats.first().total, stats.first().phishing) == (3, 2)
+
+
 def test_detection(spark):
     rows = spark.createDataFrame([(f"{'a-b' if k % 2 else 'ab'}{k}.com", k % 2, k) for k in range(60)], "domain string, label int, id int")
     fit, held = detection.stratified_split(rows, "label", "id")

@@ -31,3 +31,9 @@ def test_plans_stay_in_the_jvm(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["events_total"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,error)" in plan and "ReadSchema: struct<event_type:string>" in plan
+
+
+def test_all_vectors_and_hosts_have_a_row(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    assert QUERIES["lookalike_all"](spark, DATA).where("target IS NOT NULL").select("vec_id").distinct().count() == e.select("vec_id").distinct().count()
+    assert QUERIES["lookalike_hosts"](spark, DATA).first().total == QUERIES["host_normalise"](spark, DATA).where("host <> ''").select("host").distinct().count()
