@@ -518,33 +518,57 @@ FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY round(CAST(score
 """
 
 
-def _profiles(spark, sf_dir) -> DataFrame:
-    known = _t(spark, sf_dir, "pages").where("url IS NOT NULL AND page_id % 2 = 0").select((F.col("page_id") % 20).alias("organization_id"), names.normal_domain(F.col("url")).alias("domain_name"))
+_MATCH_ALL = _MATCH.replace(" AND page_id % 2 = 0", "")
+
+
+def _profiles(spark, sf_dir, some: str = "page_id % 2 = 0") -> DataFrame:
+    """The profiles of the slice of pages that _MATCH has, or of others."""
+    known = _t(spark, sf_dir, "pages").where(f"url IS NOT NULL AND {some}").select((F.col("page_id") % 20).alias("organization_id"), names.normal_domain(F.col("url")).alias("domain_name"))
     orgs = known.select(F.col("organization_id").alias("id")).distinct().select("id", F.concat(F.lit("Blog "), F.col("id").cast("string")).alias("name"))
     return attribution.profiles(orgs, known)
 
 
+def _found(spark, sf_dir, profiles: DataFrame) -> DataFrame:
+    return attribution.candidates(_hosts(spark, sf_dir).select(F.col("host").alias("domain")), profiles)
+
+
+def _top5(found: DataFrame) -> DataFrame:
+    return found.select("domain", "rank", "organization_id", F.round("score", 6).alias("score"), "confidence")
+
+
 @query(_MATCH)
 def actor_match_top5(spark, sf_dir):
     """Hosts against profiles built from every other page."""
-    found = attribution.candidates(_hosts(spark, sf_dir).select(F.col("host").alias("domain")), _profiles(spark, sf_dir))
-    return found.select("domain", "rank", "organization_id", F.round("score", 6).alias("score"), "confidence")
+    return _top5(_found(spark, sf_dir, _profiles(spark, sf_dir)))
 
 
-@query(rf"SELECT organization_id AS organization, CAST(count(*) AS BIGINT) AS n, string_agg(domain, ',' ORDER BY domain) AS domains FROM ({_MATCH}) WHERE rank = 1 AND score > 0 GROUP BY 1")
-def org_grouped_domains(spark, sf_dir):
-    found = attribution.candidates(_hosts(spark, sf_dir).select(F.col("host").alias("domain")), _profiles(spark, sf_dir))
+@query(_MATCH_ALL)
+def actor_match_all(spark, sf_dir):
+    """Hosts against profiles built from all pages; actor_match_top5 is the slice that its SQL has."""
+    return _top5(_found(spark, sf_dir, _profiles(spark, sf_dir, "TRUE")))
+
+
+def _grouped(found: DataFrame) -> DataFrame:
     best = attribution.best_matches(found).where("organization_id IS NOT NULL").withColumn("organization_name", F.col("organization_id").cast("string"))
     return attribution.by_organization(best).select(F.col("organization").cast("long").alias("organization"), "n", F.array_join("domains", ",").alias("domains"))
 
 
-@query(rf"""
-SELECT domain, CAST(round(score, 6) AS DOUBLE) AS risk_score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS risk_level, (SELECT CAST(count(*) AS BIGINT) FROM {_HOSTS}) AS n_domains FROM ({_MATCH}) WHERE rank = 1
-""")
-def alert_document(spark, sf_dir):
-    """The scalars of the alert document, read back from its JSON."""
+_GROUPED = "SELECT organization_id AS organization, CAST(count(*) AS BIGINT) AS n, string_agg(domain, ',' ORDER BY domain) AS domains FROM ({0}) WHERE rank = 1 AND score > 0 GROUP BY 1"
+
+
+@query(_GROUPED.replace("{0}", _MATCH))
+def org_grouped_domains(spark, sf_dir):
+    return _grouped(_found(spark, sf_dir, _profiles(spark, sf_dir)))
+
+
+@query(_GROUPED.replace("{0}", _MATCH_ALL))
+def org_grouped_all(spark, sf_dir):
+    return _grouped(_found(spark, sf_dir, _profiles(spark, sf_dir, "TRUE")))
+
+
+def _alert(spark, sf_dir, profiles: DataFrame) -> DataFrame:
     hosts = _hosts(spark, sf_dir).select(F.col("host").alias("domain"), F.xxhash64("host").alias("position"))
-    found = attribution.best_matches(attribution.candidates(hosts, _profiles(spark, sf_dir)))
+    found = attribution.best_matches(attribution.candidates(hosts, profiles))
     alert = spark.createDataFrame([("a1", "s1")], "alert_id string, subscription_id string")
     document = attribution.alert_document(alert, attribution.alert_items(hosts, found))
     count = F.get_json_object("document", "$.summary.high_risk_count").cast("long")
@@ -552,6 +576,23 @@ def alert_document(spark, sf_dir):
     return rows.join(document.select("alert_id", count.alias("n_domains")), "alert_id").select("domain", F.round("risk_score", 6).alias("risk_score"), "risk_level", "n_domains")
 
 
+_ALERT = rf"""
+SELECT domain, CAST(round(score, 6) AS DOUBLE) AS risk_score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS risk_level, (SELECT CAST(count(*) AS BIGINT) FROM {_HOSTS}) AS n_domains FROM (__MATCH__) WHERE rank = 1
+"""
+
+
+@query(_ALERT.replace("__MATCH__", _MATCH))
+def alert_document(spark, sf_dir):
+    """The scalars of the alert document, read back from its JSON."""
+    return _alert(spark, sf_dir, _profiles(spark, sf_dir))
+
+
+@query(_ALERT.replace("__MATCH__", _MATCH_ALL))
+def alert_document_all(spark, sf_dir):
+    """The same with profiles of all pages."""
+    return _alert(spark, sf_dir, _profiles(spark, sf_dir, "TRUE"))
+
+
 # Look-alikes -----------------------------------------------------------------------------------------------
 
 _EVEN = "SELECT DISTINCT regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS t FROM pages WHERE page_id % 2 = 0"
@@ -568,6 +609,18 @@ def edit_distance_candidates(spark, sf_dir):
     return lookalike.within_reach(odd, even)
 
 
+_ALL = _EVEN.replace(" WHERE page_id % 2 = 0", " WHERE url IS NOT NULL")
+
+
+@query(rf"""
+SELECT d AS domain FROM ({_ALL.replace("AS t", "AS d")}) WHERE EXISTS (SELECT 1 FROM ({_ALL}) WHERE t <> d AND levenshtein(replace(d, '.', ''), replace(t, '.', '')) <= greatest(2, least(6, length(replace(t, '.', '')) // 2)))
+""")
+def edit_distance_all(spark, sf_dir):
+    """Every host against all other hosts; edit_distance_candidates has the roles by parity of SURVEY's table."""
+    h = _hosts(spark, sf_dir)
+    return lookalike.within_reach(h.select(F.col("host").alias("domain")), h.select(F.col("host").alias("target")), itself=False)
+
+
 @query("""
 WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0), t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 1),
 s AS (SELECT q.vec_id AS vec_id, t.vec_id AS target, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * t.e[i])) / (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(t.e, lambda x: x * x)))) AS c FROM q, t)
