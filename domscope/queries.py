@@ -696,7 +696,7 @@ def train_and_score(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", names.normal_domain(F.col("url")).alias("domain"))
     rows = detection.with_features(p.withColumn("label", F.when(F.contains("domain", F.lit("-")), 1).otherwise(0)))
     fit, held = detection.stratified_split(rows, "label", "page_id")
-    model = detection.train(fit, trees=20)
+    model = detection.train(fit)
     return detection.metrics(detection.predict(model, held), "label", "predicted")
 
 

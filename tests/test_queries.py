@@ -51,3 +51,12 @@ def test_hosts_of_odd_pages_count(spark, tmp_path):
     assert {r.domain for r in alerts} == hosts and all(r.risk_score >= 0.45 for r in alerts)
     near = {"secure-login.alpha.com", "secure-l0gin.alpha.com", "secure-1ogin.alpha.com"}
     assert {r.domain for r in QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()} == near
+
+
+def test_forest_has_all_trees(spark, monkeypatch):
+    from domscope import queries
+
+    seen = []
+    train = queries.detection.train
+    monkeypatch.setattr(queries.detection, "train", lambda *a, **b: seen.append(train(*a, **b)) or seen[-1])
+    assert QUERIES["train_and_score"](spark, DATA).count() == 1 and seen[0].stages[-1].getNumTrees == 100
