@@ -10,7 +10,7 @@ Blocks are grouped into shards, queries into lots, both of a fixed size; each pa
 row of its own, so memory is bounded whatever the number of either. Each pair keeps k candidates a query, and
 these are merged by aggregates.
 
-Rows whose id or vector is null, or whose vector holds a null or a non-finite component, take no part.
+Rows whose id or vector is null, or whose vector holds a null or a non-finite component, take no part. A finite component of which ``scale`` times does not fit int32 is an error.
 Rows that share an id count once, with the vector that comes first in order. Of vectors of several lengths
 the shorter ones count as ending in zeros. No vectors, or no queries: no rows.
 """
@@ -32,9 +32,12 @@ LOT = 512
 
 
 def as_integers(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component x, as double; null if one is null, not finite, or too large for long."""
-    fine = F.forall(vector, lambda x: F.coalesce((F.abs(x.cast("double") * scale) < F.lit(2.0**31)), F.lit(False)))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    """floor(scale * x) of each component x; null if one is null or not finite. An error if one is too large for int32,
+    what cells hold: such a vector is never left out in silence."""
+    fine = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
+    whole = lambda x: F.floor(x.cast("double") * scale)
+    small = lambda x: F.abs(x.cast("double") * scale) < F.lit(2.0**31)
+    return F.when(fine, F.transform(vector, lambda x: F.when(small(x), whole(x)).otherwise(F.raise_error(F.lit(f"a component times {scale} does not fit 32 bits")).cast("long"))))
 
 
 def _lots(rows: DataFrame, size: int) -> DataFrame:
@@ -76,6 +79,9 @@ def _matrix(cells: bytes, n: int, width: int, to: int) -> np.ndarray:
 
 def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int, block: int = BLOCK) -> tuple[list[tuple[int, int, int]], int]:
     """(query, id, score) of the best k of one shard for each query, and how many blocks were scored."""
+    reach = np.abs(queries).astype(np.float64) @ np.abs(cells).max(0, initial=0).astype(np.float64)
+    if reach.max(initial=0) >= 2.0**63:
+        raise OverflowError("a score may not fit 64 bits")
     starts = range(0, len(ids), block)
     high = np.stack([cells[b : b + block].max(0) for b in starts])
     low = np.stack([cells[b : b + block].min(0) for b in starts])

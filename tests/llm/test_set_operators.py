@@ -130,6 +130,19 @@ def test_top_k_equals_brute_force(spark, tmp_path):
     assert op7_topk(spark, one).count() == 0
 
 
+def test_huge_components_fail_loudly(spark, tmp_path):
+    d = write(spark, tmp_path, embeddings=([(0, [1.0], 0), (1, [8388608.0], 0), (2, [2.0], 0)], "vec_id long, embedding array<float>, label int"))
+    with pytest.raises(Exception, match="does not fit 32 bits"):
+        op7_topk(spark, d).collect()
+    fits = write(spark, tmp_path / "f", embeddings=([(0, [1.0], 0), (1, [8388607.0], 0)], "vec_id long, embedding array<float>, label int"))
+    assert [tuple(r) for r in op7_topk(spark, fits).collect()] == [(0, 1, 1, 256 * 256 * 8388607)]
+
+
+def test_huge_scores_fail_loudly():
+    with pytest.raises(OverflowError):
+        topk.best_of(np.array([0]), np.full((1, 4), 2**31 - 1), np.array([1]), np.full((1, 4), 2**31 - 1), 5)
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
     cells = np.concatenate([np.full((512, 8), k) for k in range(10)]) + rng.integers(0, 2, (5120, 8))
