@@ -11,8 +11,8 @@ spread over ranges too - and each range merges its k slices of runs with a loser
 are the global index.
 
 Null payloads count as empty, null URLs as the empty URL. Captures with a null id are left out. Rows that
-share an id are all written; of equal payloads any one row with the largest id is the response, the
-others revisit it.
+share an id are all written, each by its own payload; of equal payloads all rows with the largest id are responses,
+the others revisit that id.
 """
 
 from __future__ import annotations
@@ -112,19 +112,19 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def first_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """id, refers_to: for each capture whose payload another, larger id has, that id. Narrow rows only
+    """id, digest, n, refers_to: for each capture whose payload another, larger id has, that id. Narrow rows only
     are shuffled; equal payloads are counted before that."""
-    slim = pages.select("id", F.sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
+    slim = pages.select("id", "digest", "n").where(F.col("n") >= least_bytes)
     last = slim.groupBy("digest", "n").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     last = written(last, "last-copies")  # as an input of its own, so that the join below can split a payload with very many copies
-    return slim.join(last, ["digest", "n"]).select("id", "refers_to").where("id <> refers_to")
+    return slim.join(last, ["digest", "n"]).select("id", "digest", "n", "refers_to").where("id <> refers_to")
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts: str | None = None) -> DataFrame:
     """Archives of all captures; returns one row (archive, records) per file, already written.
 
     ``ts`` is an SQL expression for a capture's second; by default one per id from 2024-01-01 on. The payloads
-    are shuffled once, with their references, by id.
+    are shuffled once, with their references, by id and digest: of rows that share an id, each has its own reference.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
@@ -134,8 +134,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
         when.cast("long").alias("ts"),
-    ).where("id is not null")
-    full = rows.join(first_copies(rows, least_bytes).distinct(), "id", "left").select("id", "url", "ts", "payload", "refers_to")
+    ).where("id is not null").withColumns({"digest": F.sha1(F.col("payload")), "n": F.octet_length("payload")})
+    full = rows.join(first_copies(rows, least_bytes).distinct(), ["id", "digest", "n"], "left").select("id", "url", "ts", "payload", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)

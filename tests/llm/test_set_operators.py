@@ -51,6 +51,15 @@ def test_archives(spark, tmp_path):
     assert op2_warc_index(spark, write(spark, tmp_path / "e", pages=([], PAGES))).count() == 0
 
 
+def test_archives_of_repeated_ids(spark, tmp_path):
+    rows = [(1, "https://a.com/", "common"), (1, "https://a.com/", "alone"), (2, "https://b.com/", "common"), (3, "https://c.com/", "other"), (1, "https://a.com/", "other")]
+    d = write(spark, tmp_path, pages=(rows, PAGES))
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in op2_warc_index(spark, d).collect())
+    digest = lambda x: warc.digest32(x.encode())
+    want = [(1, digest("common"), "revisit", 2), (1, digest("alone"), "response", 0), (2, digest("common"), "response", 0), (3, digest("other"), "response", 0), (1, digest("other"), "revisit", 3)]
+    assert got == sorted(want)
+
+
 # Page text ---------------------------------------------------------------------------------------------------
 
 
