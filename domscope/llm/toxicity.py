@@ -77,7 +77,7 @@ class Ftrl:
 
 
 def best_cut(scored: list[tuple[float, int]]) -> float:
-    """How far above log(0.7 / 0.3) the cut with the best F0.5 lies, in the middle of the best ones; 0 without
+    """How far above log(0.7 / 0.3) the cut with the best F1 lies, in the middle of the best ones; 0 without
     examples of both kinds."""
     total = np.array([x for x, _ in scored])
     label = np.array([y for _, y in scored])
@@ -85,7 +85,7 @@ def best_cut(scored: list[tuple[float, int]]) -> float:
         return 0.0
     order = np.argsort(-total, kind="stable")
     right = np.cumsum(label[order])
-    f = 1.25 * right / (np.arange(1, len(order) + 1) + 0.25 * label.sum())
+    f = 2 * right / (np.arange(1, len(order) + 1) + label.sum())
     best = np.flatnonzero(f >= f.max() - 1e-12)
     k = best[len(best) // 2]
     below = total[order[min(k + 1, len(order) - 1)]]

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,8 @@ def test_toxicity_of_real_held_out_labels(spark):
     n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.6 and n.get((0, 1), 0) / n[0, 0] < 0.02
     assert toxicity.SAMPLE < 20_000
+
+
+def test_the_cut_weighs_recall_like_precision():
+    scored = [(5.0, 1), (4.0, 1), (3.0, 0), (2.5, 0), (2.0, 1), (1.0, 1), (0.5, 0), (0.0, 0)]
+    assert abs(toxicity.best_cut(scored) + np.log(0.7 / 0.3) - 0.75) < 1e-12  # F1 keeps all four, F0.5 only two
