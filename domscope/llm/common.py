@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``."""
@@ -53,4 +59,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     of an executor costs nothing that was computed before."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again.scratch = path
+    return again
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what written() stored, once nothing reads it any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t.scratch)
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, for mapInArrow(), as a function after which its worker gives memory back. Workers live on for later
+    tasks, of other operators too, and what allocators keep for themselves would add up."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return whole
