@@ -8,14 +8,16 @@ fewer than LEAST_DOCS of these documents have take no part. On the other fifth t
 a score of 0.7 is the cut with the best F0.5. The weights that are not zero are few, at most 2**BITS,
 and are broadcast.
 
-Null and empty texts have no features; their score is that of the bias alone. Labels that are null
-teach nothing; of several labels for one id the largest counts. Without any labelled document of both
-kinds all scores are the share of positive labels (0 if there are none).
+Null and empty texts have no features; their score is that of the bias alone. Very long texts are used whole; in learning
+they only make the bounded sample smaller. Labels that are null teach nothing; of several labels for one id the largest
+counts, and a labelled id that repeats in the documents teaches each of its rows that is in the sample. Ties in the
+order of learning are settled by label and features, so results don't depend on partitions. Without any labelled
+document of both kinds all scores are alike: with only one kind that of the bias, without labels 0. An empty table of
+documents gives an empty result. Of the columns to keep, one that has the name of the score is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -24,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Batches, lean, written
 from .words import words_of
 
 BITS = 20
 #: At most about so many labelled documents are learnt from; which ones, a hash of the id decides.
 SAMPLE = 18_000
+#: And at most about so many bytes of features (4 for each slot of each document), whatever the texts' lengths and however
+#: often an id repeats; beyond that, a hash of the rows thins them out.
+SAMPLE_BYTES = 96_000_000
 LEAST_DOCS = 4
 ROWS = 256
 _UNI, _BI, _SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -100,55 +105,74 @@ def sample_labels(labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id",
     return one.where((F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) if share < 1 else F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots with a weight, their weights, and the bias. One task learns, from the bounded sample; other
-    tasks make the features. An id of ``docs`` that repeats teaches each of its rows."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots with a weight, their weights, and the bias. One task learns, from the sample that ``most`` and
+    ``most_bytes`` bound, in one flat array; other tasks make the features."""
     chosen = sample_labels(labels, most, id_col, label_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("id", F.lit("order")).alias("place"))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Batches) -> Batches:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 sets = [np.unique(features_of(w)).astype(np.int32).tobytes() for w in words_of(part.column(0))]
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), part.column(1), part.column(2)], ["slots", "label", "place"])
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(place, slots, label) for b in batches for slots, label, place in zip(*(c.to_pylist() for c in b.columns))]
-        examples.sort(key=lambda x: (x[0], x[2], x[1]))
+    made = written(rows.mapInArrow(lean(features), "slots binary, label int, place long"), "features")
+    n, size = made.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()
+    share = min(1.0, most / max(1, n), most_bytes / max(1, size))
+    if share < 1:
+        spread = F.pmod(F.xxhash64("place", F.monotonically_increasing_id()), F.lit(1_000_000))
+        made = made.where(spread < F.lit(int(0.97 * share * 1_000_000)))
+
+    def train(batches: Batches) -> Batches:
+        flat, ends, marks = np.zeros(1 << 20, np.int32), [0], []
+        for b in batches:
+            for slots, label in zip(b.column(0), b.column(1).to_pylist()):
+                at = np.frombuffer(slots.as_buffer(), np.int32)
+                if ends[-1] + len(at) > len(flat):
+                    flat.resize(max(2 * len(flat), ends[-1] + len(at)), refcheck=False)
+                flat[ends[-1] : ends[-1] + len(at)] = at
+                ends.append(ends[-1] + len(at))
+                marks.append(label)
         docs_with = np.zeros(1 << BITS, np.int32)
-        for k, (_, slots, _) in enumerate(examples):
-            docs_with[np.frombuffer(slots, np.int32)] += k % 5 > 0
+        for k in range(len(marks)):
+            if k % 5:
+                docs_with[flat[ends[k] : ends[k + 1]]] += 1
         common = docs_with >= LEAST_DOCS
-        for k, (place, slots, label) in enumerate(examples):
-            at = np.frombuffer(slots, np.int32)
-            examples[k] = (place, at[common[at]], label)
+        upto = 0
+        for k in range(len(marks)):  # rare slots go, in place
+            at = flat[ends[k] : ends[k + 1]]
+            at = at[common[at]]
+            flat[upto : upto + len(at)] = at
+            ends[k], upto = upto, upto + len(at)
+        ends[-1] = upto
         model = Ftrl()
         for _ in range(rounds):
-            for k, (_, at, label) in enumerate(examples):
+            for k, label in enumerate(marks):
                 if k % 5:
-                    model.learn(at, label)
+                    model.learn(flat[ends[k] : ends[k + 1]], label)
         w = model.weights(slice(None))
         kept = np.flatnonzero(w)
-        bias = model.bias if examples else -35.0
-        bias -= best_cut([(w[at].sum() + bias, label) for _, at, label in examples[::5]])
+        bias = model.bias if marks else -35.0
+        bias -= best_cut([(w[flat[ends[k] : ends[k + 1]]].sum() + bias, marks[k]) for k in range(0, len(marks), 5)])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w[kept], bias))], ["slot", "weight"])
 
-    made = rows.mapInArrow(features, "slots binary, label int, place long")
-    out = written(made.repartition(1).mapInArrow(train, "slot long, weight double"), "weights").collect()
+    ordered = made.repartition(1).sortWithinPartitions("place", "label", "slots").select("slots", "label")
+    out = written(ordered.mapInArrow(lean(train), "slot long, weight double"), "weights").collect()  # at most 2**BITS rows
     weights = sorted((r.slot, r.weight) for r in out if r.slot >= 0)
     bias = next((r.weight for r in out if r.slot < 0), -35.0)
     return np.array([s for s, _ in weights], np.int64), np.array([w for _, w in weights]), bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id by default) and score double, one row per row. Other columns are
-    left out, so no name clashes."""
-    keep = ["doc_id"] if keep is None else keep
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", keep: list[str] | None = None, as_col: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id by default) and ``as_col`` double, one row per row. Other columns are
+    left out, and so is one of ``keep`` that is named ``as_col``, so no name clashes."""
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c != as_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
-    names = [*keep, "score"]
+    names = [*keep, as_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         slots, weights, bias = shared.value
         dense = np.zeros(1 << BITS)
         dense[slots] = weights
@@ -164,5 +188,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                 total = np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], batch.num_rows) + bias
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names)
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(as_col, T.DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(lean(run), schema)
