@@ -10,7 +10,9 @@ follows another kind of character. So where the white space of a text is single
 the text is cut there first; a worker remembers the ids of such parts, and lets the library encode a
 part only once. All other texts go to the library as a whole.
 
-Null texts count as empty: no ids. Ids that the vocabulary doesn't have make decode() fail.
+Null texts count as empty: no ids. Ids that the vocabulary doesn't have make decode() fail. Very long texts are encoded
+whole, and their parts of 100 characters or more aren't remembered. Each row stands alone: ties don't arise, repeated rows
+give equal results, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import base64
 import os
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts of texts that a worker remembers before it starts anew (some 90 MB).
-REMEMBERED = 350_000
+from .common import Batches, lean
+
+#: Bytes that a worker's memory of parts of texts may take before it starts anew.
+REMEMBERED = 32_000_000
 #: Rows that are worked on at a time.
 ROWS = 256
 #: White space other than single spaces and line ends within a text.
@@ -55,6 +58,35 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class Decoder:
+    """The bytes of each id of a vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = {i: token for token, i in ranks.items()}
+        self.token_bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.lengths = np.array([len(b) for b in self.token_bytes])
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, one after another, and the number of bytes of each run of ``lengths`` ids."""
+        if ids.size and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id that the vocabulary doesn't have")
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        out = self.flat[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if ids.size else 0)]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+        return out, np.diff(upto)
+
+    def column(self, lists: pa.Array) -> pa.Array:
+        """The bytes of each list of ids; null for null."""
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat, sizes = self.decode(lists.flatten().to_numpy(zero_copy_only=False), lengths)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        whole = flat.tobytes()
+        return pa.array([None if gone else whole[a:b] for a, b, gone in zip(ends[:-1], ends[1:], lists.is_null().to_pylist())], pa.binary())
+
+
 class ByteBpe:
     """One worker's tokenizer with what it remembers."""
 
@@ -76,18 +108,15 @@ class ByteBpe:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        byte_of = {c: b for b, c in enumerate(to_char)}
-        token_bytes = {i: bytes([byte_of[c] for c in s]) for s, i in vocab.items()}
-        self.token_bytes = [token_bytes.get(i, b"") for i in range(max(token_bytes) + 1)]
-        self.lengths = np.array([len(b) for b in self.token_bytes])
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self.decoder = Decoder(ranks)
         self.known: dict[str, bytes] = {}
+        self.size = 0  # of what is known, in bytes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as int32 in memory order."""
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.known.clear()
+            self.size = 0
         known, cut = self.known, []
         for text in texts:
             if not text:
@@ -99,26 +128,21 @@ class ByteBpe:
         new = list({part for parts in cut for part in parts if part not in known})
         long = {}
         for part, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(part) < 100 else long)[part] = array("i", e.ids).tobytes()
+            packed = array("i", e.ids).tobytes()
+            if len(part) < 100:
+                known[part] = packed
+                self.size += 200 + 2 * len(part) + len(packed)
+            else:
+                long[part] = packed
         look = _Both(known, long) if long else known
         return [b"".join([look[part] for part in parts]) for parts in cut]
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids, one after another, and the number of bytes of each run of ``lengths`` ids."""
-        if ids.size and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
-            raise ValueError("an id that the vocabulary doesn't have")
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        out = self.flat[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if ids.size else 0)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-        return out, np.diff(upto)
-
     def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """The characters, from and to, that each token touches; tokens that split a character share it."""
         at, out = 0, []
         owner = [k for k, c in enumerate(text) for _ in c.encode("utf-8", "surrogatepass")]
         for i in ids:
-            n = len(self.token_bytes[i])
+            n = len(self.decoder.token_bytes[i])
             out.append((owner[at], owner[at + n - 1] + 1))
             at += n
         return out
@@ -135,7 +159,7 @@ class _Both(dict):
         return self.first[key]
 
 
-_HERE: dict[tuple[str, str], ByteBpe] = {}
+_HERE: dict[tuple, ByteBpe | Decoder] = {}
 
 
 def worker_bpe(path: str, pattern: str) -> ByteBpe:
@@ -145,17 +169,25 @@ def worker_bpe(path: str, pattern: str) -> ByteBpe:
     return _HERE[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, offsets: bool = False) -> DataFrame:
-    """The columns ``keep`` (doc_id by default), ids array<int>, and with ``offsets`` two arrays of the
-    same length, char_from and char_to. One row per row; other columns are left out, so no name clashes.
-    ``path`` is that of the vocabulary on every executor.
+def worker_decoder(path: str) -> Decoder:
+    """This process's byte table for the vocabulary, which is small beside a tokenizer."""
+    if (path,) not in _HERE:
+        _HERE[path,] = Decoder(read_ranks(path))
+    return _HERE[path,]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """The columns ``keep`` (doc_id by default), ids array<int>, with ``offsets`` two arrays of the same length,
+    char_from and char_to, and with ``decoded`` what decode() makes of the ids, decoded_bytes, in the same tasks. One
+    row per row. Other columns are left out, and so are columns to keep that have the name of a result, so no name
+    clashes. ``path`` is that of the vocabulary on every executor.
     """
-    keep = ["doc_id"] if keep is None else keep
-    fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
-    if offsets:
-        fields += [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in ("char_from", "char_to")]
+    own = ["ids"] + ["char_from", "char_to"] * offsets + ["decoded_bytes"] * decoded
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in own]
+    ints = T.ArrayType(T.IntegerType(), False)
+    fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.BinaryType() if c == "decoded_bytes" else ints) for c in own]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         bpe = worker_bpe(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -169,12 +201,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
                 if offsets:
                     spans = [bpe.spans(t or "", i) for t, i in zip(texts, ids.to_pylist())]
                     columns += [pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
+                if decoded:
+                    columns.append(bpe.decoder.column(ids))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(lean(run), T.StructType(fields))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", text: bool = True) -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text: bool = True) -> DataFrame:
     """``encoded`` with decoded_bytes, the tokens' bytes in one, and with ``text`` decoded_text: those
     bytes as UTF-8, where bytes that are no whole character (ids may end within one) become U+FFFD.
     Null ids give nulls. Columns of these two names are replaced."""
@@ -182,21 +216,15 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", te
     fields = [*rest.schema.fields, T.StructField("decoded_bytes", T.BinaryType())] + [T.StructField("decoded_text", T.StringType())] * text
     where = rest.columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(path, pattern)
+    def run(batches: Batches) -> Batches:
+        decoder = worker_decoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                lists = part.column(where)
-                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                flat, sizes = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False), lengths)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                whole = flat.tobytes()
-                is_null = lists.is_null().to_pylist()
-                out = [None if gone else whole[a:b] for a, b, gone in zip(ends[:-1], ends[1:], is_null)]
-                columns = [*part.columns, pa.array(out, pa.binary())]
+                out = decoder.column(part.column(where))
+                columns = [*part.columns, out]
                 if text:
-                    columns.append(pa.array([None if b is None else b.decode("utf-8", "replace") for b in out], pa.string()))
+                    columns.append(pa.array([None if b is None else b.decode("utf-8", "replace") for b in out.to_pylist()], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return rest.mapInArrow(run, T.StructType(fields))
+    return rest.mapInArrow(lean(run), T.StructType(fields))

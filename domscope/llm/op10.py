@@ -21,8 +21,7 @@ def vocabulary() -> tuple[str, str]:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of tokens, and digests of its ids and of the bytes decoded from them."""
     path, pattern = vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(encoded, path, pattern, text=False).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

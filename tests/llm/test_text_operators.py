@@ -107,10 +107,10 @@ def test_bpe_offsets_and_split_characters(spark):
     for i, a, b in zip(rows[0].ids, rows[0].char_from, rows[0].char_to):
         assert 0 <= a < b <= len("a 🙂𓀀 b")
     half = spark.createDataFrame([(rows[0].ids[:-3],), (None,), ([],)], "ids array<int>")
-    out = bpe.decode(half, path, pattern).collect()
+    out = bpe.decode(half, path).collect()
     assert out[0].decoded_text.startswith("a ") and out[1].decoded_text is None and out[2].decoded_bytes == b""
     with pytest.raises(Exception):
-        bpe.decode(spark.createDataFrame([([10**6],)], "ids array<int>"), path, pattern).collect()
+        bpe.decode(spark.createDataFrame([([10**6],)], "ids array<int>"), path).collect()
 
 
 # Decontamination ---------------------------------------------------------------------------------------------
