@@ -10,7 +10,8 @@ only the beginning of the first run stays.
 3. Prefix doubling: the suffixes that begin at the remaining lines are ranked by their first line, then by
    their first 2, 4, 8 ... lines, each time by pairs of ranks; the distinct pairs, of which there are few,
    are sorted by range. Suffixes whose first 2**k lines nobody shares have a place of their own in the suffix
-   array and drop out. This ends when no suffix is left.
+   array and drop out. This ends when no suffix is left, or when blocks are long enough for step 4: no run that just
+   reaches the weight has more lines than words, so longer prefixes can't tell anything more about what is deleted.
 4. The suffixes that share their first n lines are an interval of the suffix array in which the longest common
    prefixes are at least n. It is named by the ranks of two blocks of 2**k lines that cover the n lines. Any
    maximal repeated run of enough weight is the union of runs that just reach the weight, counted from a line
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 MIN_WORDS = 50
 
@@ -46,22 +47,25 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(text_col).isNotNull()).select("row", F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("digest"), F.transform(F.split(text_col, "\n", -1), line).alias("lines"))
 
 
-def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def suffix_ranks(lines: DataFrame, longest: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """Of (row, id, pos, a, b, weight): the rows whose line repeats, and for each k (row, pos, rank) of the
-    suffixes whose first 2**k lines repeat. Ranks order the suffixes by these lines."""
+    suffixes whose first 2**k lines repeat. Ranks order the suffixes by these lines. Doubling ends when no suffix is
+    shared, or when two blocks of 2**k lines cover ``longest`` lines, the most that any run asks for."""
     repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ids = _ranked(repeated, ["a", "b"], "line-ids")
     kept = written(lines.join(ids.hint("merge"), ["a", "b"]).select("row", "id", "pos", "weight", "rank"), "repeated-lines")
     levels = [kept.select("row", "pos", "rank")]
-    while True:
+    while longest is None or 2 ** len(levels) <= longest:
         reach = 2 ** (len(levels) - 1)
         ahead = W.partitionBy("row").orderBy("pos").rangeBetween(reach, reach)
         pairs = levels[-1].select("row", "pos", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2")).where("r2 IS NOT NULL")
         shared = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         names = _ranked(shared, ["r1", "r2"], "pairs")
         if names.isEmpty():
-            return kept, levels
+            break
         levels.append(written(pairs.join(names.hint("merge"), ["r1", "r2"]).select("row", "pos", "rank"), "ranks"))
+        forget(names)
+    return kept, levels
 
 
 def just_enough(kept: DataFrame, min_words: int) -> DataFrame:
@@ -106,7 +110,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
     copies = table.join(heads.hint("merge"), "digest").where("row <> head.row").select("row", F.size("lines").alias("n"), F.aggregate("lines", F.lit(0), lambda t, x: t + x["weight"]).alias("weight"))
     copies = written(copies, "whole-copies")
     lines = table.join(copies.select("row").hint("merge"), "row", "left_anti").select("row", "id", F.posexplode("lines").alias("pos", "line")).select("row", "id", "pos", "line.*")
-    kept, levels = suffix_ranks(lines)
+    kept, levels = suffix_ranks(lines, max(1, min_words))  # a line weighs one word at least
     runs = later_copies(just_enough(kept, min_words), levels)
     gone = runs.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     islands = gone.withColumn("part", F.col("pos") - F.row_number().over(W.partitionBy("row").orderBy("pos"))).groupBy("row", "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -115,11 +119,11 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
     return some.unionByName(whole)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies of repeated runs deleted from the text, and the columns n_lines and n_removed.
-    Columns of these names are replaced, and one named __row is left out."""
-    rows = written(docs.drop("n_lines", "n_removed", "__row").withColumn("__row", F.monotonically_increasing_id()), "documents")
-    slim = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with later copies of repeated runs deleted from the text, and the columns n_lines and n_removed, which
+    ``counts`` may name otherwise. Columns of these names are replaced, and one named __row is left out."""
+    rows = written(docs.drop(*counts, "__row").withColumn("__row", F.monotonically_increasing_id()), "documents")
+    slim = rows.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     ranges = written(repeated_ranges(slim, "__id", "__text", min_words), "ranges").withColumnRenamed("row", "__row").withColumnRenamed("ranges", "__ranges")
     joined = rows.join(ranges.hint("merge"), "__row", "left")
     lines = F.split(text_col, "\n", -1)
@@ -127,6 +131,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     removed = F.coalesce(F.aggregate("__ranges", F.lit(0).cast("long"), lambda t, r: t + r["last"] - r["first"] + 1), F.lit(0))
     return joined.select(
         *[F.when(F.col("__ranges").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns if c != "__row"],
-        F.coalesce(F.regexp_count(text_col, F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        removed.alias("n_removed"),
+        F.coalesce(F.regexp_count(text_col, F.lit("\n")) + 1, F.lit(0)).cast("long").alias(counts[0]),
+        removed.alias(counts[1]),
     )
