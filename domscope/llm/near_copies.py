@@ -3,21 +3,25 @@
 1. Each text's set of n-grams is hashed to 64 bits a gram. Texts with equal sets are one class.
 2. A class gets a MinHash signature, cut into bands. The number of bands and of rows in each is chosen for
    the recall wanted at the threshold.
-3. Classes are shuffled by the hashes of their bands. A band hash that several classes share links each of
-   them to the smallest one; the components of these links are the groups in which pairs can be similar.
-4. A group is dealt into blocks of a bounded size. For every pair of blocks the full sets of n-grams are
-   compared, all with all, in one step on matrices; only sums and the smallest member of what is linked leave
-   the task, never the pairs. So no link is lost within a group, however large it is.
+3. Classes are shuffled by the hashes of their bands. A hash that several classes share is a bucket; classes without
+   one have no links.
+4. Classes with buckets are dealt into blocks, in order of their largest bucket, so that similar ones lie side by side. A
+   block is bounded in classes and in n-grams. Blocks that have a bucket in common are compared, each pair of blocks once,
+   in a task of its own: there the full sets of n-grams of those classes that buckets connect are compared all with all,
+   in one step on matrices. Only sums and the smallest member of what is linked leave the task, never the pairs. So
+   no link between classes that share a bucket is lost, however many there are in it, and chains of buckets cost nothing
+   beyond the buckets themselves.
 5. Components of the verified links are the classes of the result.
 
 Words are as in words_of(). A text with words, but fewer than n, has one gram, of all its words. Null texts
-and texts without words have none: they are alone, without links. Rows that share an id are taken as
-documents of their own. An empty table gives an empty result.
+and texts without words have none: they are alone, without links. Very long texts are used whole; one with more n-grams
+than a block should have is a block of its own. Rows that share an id are taken as documents of their own; a null id comes
+before all others as the name of a class. Equal sets of n-grams are one class, whose head is the smallest id, then row. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 from hashlib import blake2b
 from math import ceil, log
@@ -27,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Batches, forget, lean, written
 from .components import components
 from .words import words_of
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
+#: Classes and n-grams that a block has at most.
 BLOCK = 256
+BLOCK_GRAMS = 1_000_000
 ROWS = 256
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,18 +81,19 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """Of (row, id, text): row, id, digest of the set, bands array<long>; null digest without grams."""
+    """Of (row, id, text): row, id, digest of the set, grams (its size), bands array<long>; null digest without grams."""
     a, b = _permutations(bands * rows)
     a, b = a[:, None], b[:, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                digests, hashes = [], []
+                digests, sizes, hashes = [], [], []
                 for words in words_of(batch.column(2)):
                     grams = gram_set(words, n)
+                    sizes.append(len(grams))
                     if not len(grams):
                         digests.append(None)
                         hashes.append([])
@@ -100,9 +107,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     for r in low.reshape(bands, rows).T.astype(np.uint64):
                         h = _mix(h * _A + r)
                     hashes.append(h.astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["row", "id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["row", "id", "digest", "grams", "bands"])
 
-    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, digest binary, bands array<bigint>")
+    return docs.select("row", "id", "text").mapInArrow(lean(run), "row long, id long, digest binary, grams long, bands array<bigint>")
 
 
 def compare(sets: list[np.ndarray], left: int | None, threshold: Fraction) -> np.ndarray:
@@ -119,7 +126,7 @@ def compare(sets: list[np.ndarray], left: int | None, threshold: Fraction) -> np
     order = np.argsort(slot, kind="stable")
     slot, owner = slot[order], owner[order]
     both = np.zeros((n, n), np.float64)
-    width = 8192
+    width = 4096
     for at in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(slot, [at, at + width])
         m = np.zeros((n, min(width, int(shared.sum()) - at)), np.float32)
@@ -145,42 +152,94 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _connected(bands: list[list[int]]) -> list[np.ndarray]:
+    """The members, in order, of each component of two or more that equal band hashes make of these classes."""
+    owner = np.repeat(np.arange(len(bands)), [len(x) for x in bands])
+    _, bucket = np.unique(np.concatenate([np.array(x, np.int64) for x in bands]), return_inverse=True)
+    label = np.arange(len(bands))
+    while True:
+        least = np.full(bucket.max() + 1, len(bands))
+        np.minimum.at(least, bucket, label[owner])
+        new = label.copy()
+        np.minimum.at(new, owner, least[bucket])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    return [p for p in parts if len(p) > 1]
+
+
+def blocks_of(active: DataFrame, most: int, most_grams: int) -> DataFrame:
+    """Of (c, grams, place, ...) the rows with a column block, long: neighbours in order of place and c share one."""
+    parts = max(1, int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = active.repartitionByRange(parts, "place", "c").sortWithinPartitions("place", "c")
+    where = active.columns.index("grams")
+
+    def run(batches: Batches) -> Batches:
+        from pyspark import TaskContext
+
+        block, count, grams = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            numbers = []
+            for n in batch.column(where).to_pylist():
+                if count and (count == most or grams + n > most_grams):
+                    block, count, grams = block + 1, 0, 0
+                count, grams = count + 1, grams + n
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names)
+
+    schema = active.schema.add("block", "long")
+    names = schema.names
+    return ordered.mapInArrow(lean(run), schema)
+
+
 def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Of (grp, i, j, c, copies, text) - block pairs i <= j of a group, each with the classes of both - c, links
+    """Of (i, j, block, c, copies, bands, text) - pairs of blocks i <= j, each with the classes of both - c, links
     (documents of linked classes) and root (the smallest class linked there)."""
     exact = Fraction(threshold).limit_denominator(10**6)
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = members.select("grp", "i", "j", "block", "c", "copies", "text").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "c")
+    dealt = members.select("i", "j", "block", "c", "copies", "bands", "text").repartition(parts, "i", "j").sortWithinPartitions("i", "j", "block", "c")
 
     def solve(group: list[tuple], i: int, j: int) -> list[tuple[int, int, int]]:
-        sets = [s for _, _, _, s in group]
-        linked = compare(sets, None if i == j else sum(block == i for block, _, _, _ in group), exact)
-        if not linked.any():
-            return []
-        c = np.array([x for _, x, _, _ in group])
-        copies = np.array([x for _, _, x, _ in group])
-        root = _roots(linked[np.ix_(o, o)])[np.argsort(o)] if len(o := np.argsort(c)) else o
-        links = linked @ copies
-        return [(int(c[k]), int(links[k]), int(c[o[root[k]]])) for k in np.flatnonzero(linked.any(1))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for part in _connected([bands for _, _, _, bands, _ in group]):
+            some = [group[k] for k in part]
+            left = None if i == j else sum(block == i for block, *_ in some)
+            if left is not None and left in (0, len(some)):
+                continue
+            linked = compare([x for *_, x in some], left, exact)
+            if not linked.any():
+                continue
+            c = np.array([x for _, x, *_ in some])
+            copies = np.array([x for _, _, x, *_ in some])
+            o = np.argsort(c)
+            root = _roots(linked[np.ix_(o, o)])[np.argsort(o)]
+            links = linked @ copies
+            out += [(int(c[k]), int(links[k]), int(c[o[root[k]]])) for k in np.flatnonzero(linked.any(1))]
+        return out
+
+    def run(batches: Batches) -> Batches:
         key, group = None, []
         out: list[tuple[int, int, int]] = []
-        for batch in batches:
-            lead = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
-            for (g, i, j, block, c, copies), words in zip(lead, words_of(batch.column(6))):
-                if (g, i, j) != key:
-                    out += solve(group, *key[1:]) if len(group) > 1 else []
-                    key, group = (g, i, j), []
-                group.append((block, c, copies, gram_set(words, n)))
-            if len(out) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["c", "links", "root"])
-                out = []
-        out += solve(group, *key[1:]) if len(group) > 1 else []
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lead = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
+                for (i, j, block, c, copies, bands), words in zip(lead, words_of(batch.column(6))):
+                    if (i, j) != key:
+                        out += solve(group, *key) if len(group) > 1 else []
+                        key, group = (i, j), []
+                    group.append((block, c, copies, bands, gram_set(words, n)))
+                if len(out) > 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["c", "links", "root"])
+                    out = []
+        out += solve(group, *key) if len(group) > 1 else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["c", "links", "root"])
 
-    return dealt.mapInArrow(run, "c long, links long, root long")
+    return dealt.mapInArrow(lean(run), "c long, links long, root long")
 
 
 def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -189,21 +248,24 @@ def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESH
     included."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, n, bands, rows), "signatures")
-    one = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row")).alias("head"), F.first("bands").alias("bands"))
+    one = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "row")).alias("head"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     classes = written(one.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("c", F.explode("bands").alias("h"))
-    buckets = written(banded.groupBy("h").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
-    edges = banded.join(buckets, "h").where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b"))
-    groups = components(edges)
-
-    sizes = written(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
-    of_group = groups.join(sizes, "root").select(F.col("v").alias("c"), F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
-    active = written(of_group.join(classes.select("c", "copies", "head.row"), "c"), "active")
-    texts = docs.select("row", "text").join(active, "row")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = texts.select("*", other).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "copies", "text")
-    found = written(verified(members, n, threshold), "links")
+    buckets = written(banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    # A class has one row for each of its bands at most, so what is gathered here is small.
+    mine = banded.join(buckets, "h").groupBy("c").agg(F.collect_list("h").alias("bands"), F.max(F.struct("n", "h")).alias("place"))
+    active = classes.select("c", "copies", "grams", "head.row").join(mine, "c")
+    active = written(blocks_of(active, BLOCK, BLOCK_GRAMS), "blocks")
+
+    of_bucket = written(active.select("block", F.explode("bands").alias("h")).distinct(), "block-buckets")
+    least = of_bucket.groupBy("h").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last")
+    several = of_bucket.join(least, "h").select("h", "block")  # of blocks, not of classes: one 256th of these or fewer
+    pairs = several.alias("a").join(several.alias("b"), F.expr("a.h = b.h AND a.block < b.block")).select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    pairs = written(pairs.unionByName(active.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()), "pairs")
+    sides = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    texts = docs.select("row", "text").join(active.select("row", "block", "c", "copies", "bands"), "row")
+    found = written(verified(texts.join(sides, "block"), n, threshold), "links")
 
     tops = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
@@ -211,6 +273,7 @@ def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESH
     labelled = written(labelled.withColumn("root", F.coalesce("root", "c")), "labelled")
     best = written(labelled.groupBy("root").agg(F.min("head").alias("best")), "best")
     named = written(labelled.join(best, "root").select("digest", "best", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    forget(classes, buckets, active, of_bucket, pairs, found, labelled, best)
     return signed.select("row", "id", "digest").join(named, "digest", "left").select(
         "row", "id", F.coalesce("best.row", "row").alias("class_row"), F.when(F.col("best").isNotNull(), F.col("best.id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
