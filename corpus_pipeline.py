@@ -1,7 +1,15 @@
 """Cleaning a corpus in stages, each on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last one, which returns
-tokens. Between stages the documents are written to the shared folder and read again.
+tokens. Between stages the documents are written to the shared folder and read again; what a stage wrote goes when
+the next one is written.
+
+Of every stage: null and empty texts pass through all of them, as clean documents of no class, and end with no tokens;
+very long texts are worked on whole. Rows that share a doc_id are documents of their own; what a stage decides by id
+alone (labels to learn from) holds for each of them. Ties - equal texts, equal sets of word n-grams - are kept once,
+by the smallest doc_id, then in no given order. Columns beyond those of documents pass through to the last stage, which
+leaves them out; names of columns that the operators use inside don't clash with them. An empty table of documents,
+labels or benchmark items is no special case: without labels no document is toxic, without items none is cut.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domscope.llm import bpe
-from domscope.llm.common import table, written
+from domscope.llm.common import forget, table, written
 from domscope.llm.decontaminate import decontaminate
 from domscope.llm.line_dedup import dedup_lines
 from domscope.llm.near_copies import keep_one
@@ -23,15 +31,16 @@ from domscope.llm.toxicity import score
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; the others go."""
     names = docs.columns
-    return score(docs, fold_model(spark, docs, sf_dir), keep=names).where(F.col("score") < THRESHOLD).select(*names)
+    scored = score(docs, fold_model(spark, docs, sf_dir), keep=names, as_col="__toxicity")
+    return scored.where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of runs of lines. Documents of which nothing is left go; those that were
     empty before stay."""
-    done = dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''")
-    counted = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", counted).select(*docs.columns)
+    done = dedup_lines(docs, counts=("__lines", "__removed")).where("__removed = 0 OR trim(text) <> ''")
+    counted = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", counted).drop("__lines", "__removed")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids, and whether decoding gives the text again."""
     path, pattern = vocabulary()
-    done = bpe.decode(bpe.encode(docs, path, pattern, keep=["doc_id", "lang", "source", "n_chars", "text"]), path, pattern, text=False)
+    done = bpe.encode(docs, path, pattern, keep=["doc_id", "lang", "source", "n_chars", "text"], decoded=True)
     exact = F.col("decoded_bytes") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
 
@@ -66,7 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table documents to tokens."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
