@@ -258,14 +258,14 @@ def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESH
     active = classes.select("c", "copies", "grams", "head.row").join(mine, "c")
     active = written(blocks_of(active, BLOCK, BLOCK_GRAMS), "blocks")
 
-    of_bucket = written(active.select("block", F.explode("bands").alias("h")).distinct(), "block-buckets")
-    least = of_bucket.groupBy("h").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last")
-    several = of_bucket.join(least, "h").select("h", "block")  # of blocks, not of classes: one 256th of these or fewer
-    pairs = several.alias("a").join(several.alias("b"), F.expr("a.h = b.h AND a.block < b.block")).select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
-    pairs = written(pairs.unionByName(active.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct()), "pairs")
-    sides = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    # A class goes to its own block, and to another one if it has a bucket there; pairs of blocks meet at the smaller.
+    mine = active.select("c", "block", F.explode("bands").alias("h"))
+    of_bucket = mine.select("h", "block").distinct().groupBy("h").agg(F.collect_list("block").alias("others")).where("size(others) > 1")
+    of_bucket = written(of_bucket, "block-buckets")  # names of blocks, of which a bucket has 1/256 of its classes or few
+    away = mine.join(of_bucket, "h").select("c", "block", F.explode("others").alias("other")).where("other <> block").distinct()
+    sides = away.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).unionByName(active.select("c", F.col("block").alias("i"), F.col("block").alias("j")))
     texts = docs.select("row", "text").join(active.select("row", "block", "c", "copies", "bands"), "row")
-    found = written(verified(texts.join(sides, "block"), n, threshold), "links")
+    found = written(verified(texts.join(sides, "c"), n, threshold), "links")
 
     tops = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
@@ -273,7 +273,7 @@ def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESH
     labelled = written(labelled.withColumn("root", F.coalesce("root", "c")), "labelled")
     best = written(labelled.groupBy("root").agg(F.min("head").alias("best")), "best")
     named = written(labelled.join(best, "root").select("digest", "best", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    forget(classes, buckets, active, of_bucket, pairs, found, labelled, best)
+    forget(classes, buckets, active, of_bucket, found, labelled, best)
     return signed.select("row", "id", "digest").join(named, "digest", "left").select(
         "row", "id", F.coalesce("best.row", "row").alias("class_row"), F.when(F.col("best").isNotNull(), F.col("best.id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
