@@ -119,44 +119,60 @@ def test_top_k_equals_brute_force(spark, tmp_path):
     rows[7], rows[8], rows[9], rows[100] = (7, None, 0), (8, [0.1, None], 0), (9, [float("nan")] * 6, 0), (100, [float("inf")] * 6, 0)
     rows += [(k, rows[50][1], 0) for k in range(400, 420)] + [(None, vec(), 0), (3, rows[3][1], 0), (421, [], 0), (450, [0.9, 0.9], 0)]
     d = write(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
-    ok = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ok[i] = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-    want = []
-    for q in ok:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    old = topk.BLOCK, topk.LOT
-    topk.BLOCK, topk.LOT = 8, 3
+    ok = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = brute_top(ok)
+    old = topk.BLOCK, topk.BLOCKS_A_SHARD, topk.LOT, topk.GROUP
+    topk.BLOCK, topk.BLOCKS_A_SHARD, topk.LOT, topk.GROUP = 8, 2, 3, 4
     try:
-        assert sorted(tuple(r) for r in op7_topk(spark, d).collect()) == sorted(want)
+        assert sorted(tuple(r) for r in op7_topk(spark, d).collect()) == want
     finally:
-        topk.BLOCK, topk.LOT = old
+        topk.BLOCK, topk.BLOCKS_A_SHARD, topk.LOT, topk.GROUP = old
     assert op7_topk(spark, write(spark, tmp_path / "e", embeddings=([], "vec_id long, embedding array<float>, label int"))).count() == 0
     one = write(spark, tmp_path / "o", embeddings=([(0, [1.0], 0)], "vec_id long, embedding array<float>, label int"))
     assert op7_topk(spark, one).count() == 0
 
 
-def test_huge_components_fail_loudly(spark, tmp_path):
-    d = write(spark, tmp_path, embeddings=([(0, [1.0], 0), (1, [8388608.0], 0), (2, [2.0], 0)], "vec_id long, embedding array<float>, label int"))
-    with pytest.raises(Exception, match="does not fit 32 bits"):
-        op7_topk(spark, d).collect()
-    fits = write(spark, tmp_path / "f", embeddings=([(0, [1.0], 0), (1, [8388607.0], 0)], "vec_id long, embedding array<float>, label int"))
-    assert [tuple(r) for r in op7_topk(spark, fits).collect()] == [(0, 1, 1, 256 * 256 * 8388607)]
+def brute_top(rows):
+    """Of (id, cells): every query row against every other row, ties to the smaller id."""
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(rows) if c != q)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(want)
 
 
-def test_huge_scores_fail_loudly():
-    with pytest.raises(OverflowError):
-        topk.best_of(np.array([0]), np.full((1, 4), 2**31 - 1), np.array([1]), np.full((1, 4), 2**31 - 1), 5)
+def test_no_vector_is_lost(spark, tmp_path):
+    rows = [(0, [9e6, 0.0], 1), (1, [9e6, 0.0], 1), (2, [-2e6, 1.0], 1), (3, [1.0, 1.0], 1), (50, [1e7, 2.0], 1), (50, [5.0, 5.0], 1), (51, [0.5, 7.0], 1), (51, [0.5, 7.0], 1), (51, [8.0, -7.0], 1), (100, [-1e6, 0.25], 1)]
+    d = write(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<double>, score int"))
+    got = sorted(tuple(r) for r in op7_topk(spark, d).collect())
+    assert got == brute_top([(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows]) and any(s > 2**53 for *_, s in got)
 
 
-def test_blocks_are_pruned():
+def test_what_does_not_fit_fails_loudly(spark, tmp_path):
+    d = write(spark, tmp_path, embeddings=([(0, [1.0], 0), (1, [1e17], 0), (2, [2.0], 0)], "vec_id long, embedding array<double>, label int"))
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        op7_topk(spark, d).collect()
+    d = write(spark, tmp_path / "s", embeddings=([(0, [1e15], 0), (1, [1e15], 0)], "vec_id long, embedding array<double>, label int"))
+    with pytest.raises(Exception, match="a score does not fit 64 bits"):
+        op7_topk(spark, d).collect()
+
+
+def test_blocks_are_pruned(spark):
     rng = np.random.default_rng(0)
     cells = np.concatenate([np.full((512, 8), k) for k in range(10)]) + rng.integers(0, 2, (5120, 8))
-    _, scored = topk.best_of(np.array([10**6]), np.ones((1, 8), np.int64), np.arange(5120), cells, 5)
-    assert scored < 4  # of ten
+    _, scored, of = topk.search(np.ones((1, 8), np.int64), np.array([-1]), np.array([topk._LEAST]), cells, np.arange(5120), 5, 512)
+    assert scored < 4 and of == 10
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 8000)] + 0.05 * rng.normal(size=(8000, 16))
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])], "vec_id long, embedding array<double>")
+    old, topk.BLOCKS_A_SHARD = topk.BLOCKS_A_SHARD, 1
+    try:
+        _, seen = topk.search_all(df, F.col("vec_id") % 50 == 0, 5, 256, "vec_id", "embedding")
+        r = seen.first()
+        assert r.blocks >= 160 * 31 and r.scored < 0.2 * r.blocks
+    finally:
+        topk.BLOCKS_A_SHARD = old
 
 
 # Line runs ---------------------------------------------------------------------------------------------------
