@@ -5,14 +5,17 @@ and reports the files it ended. A file has a name of its own for each attempt of
 attempts are never listed. Of captures with equal payloads, at least ``least_bytes`` long, the one with
 the largest id is a response; the others are revisits that refer to it. Equal means the same SHA-1 and length.
 
-Reading: each archive is read in a stream, member by member; its records, sorted by URL key, time and id,
-are a run. The runs are dealt out by ranges of (URL key, time, id) - so a URL with very many captures is
-spread over ranges too - and each range merges its k slices of runs with a loser tree. Ranges in order
-are the global index.
-
-Null payloads count as empty, null URLs as the empty URL. Captures with a null id are left out. Rows that
-share an id are all written, each by its own payload; of equal payloads all rows with the largest id are responses,
-the others revisit that id.
+Reading: each archive is read in a stream, once, member by member. A task's index entries, up to RUN_ENTRIES at a time, are
+sorted by URL key, time and id and stored as a run, a Parquet file with many small row groups. Ranges of this order - so a
+URL with very many captures is spread over several - are cut at quantiles of the row groups' first entries. For each
+range one task opens all runs, skips to the row groups that reach into it, and merges these streams with a loser tree, so it
+holds a few hundred entries of each run, however long the range is. Ranges in order are the global index. More than FAN
+runs are first merged in groups, also range by range, into fewer and longer ones.
+
+Null payloads count as empty, null URLs as the empty URL, null ids come before all others. Every row gets a record. Rows
+that share id, URL, time and payload are told apart by number; of captures that share the largest id the greatest URL, then
+time, is the response. Very long payloads are records of their own like others; a table without rows gives an empty index.
+Other columns are left out, so no name clashes.
 """
 
 from __future__ import annotations
@@ -28,15 +31,21 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import Batches, lean, scratch_path, written
 
 #: An archive is ended when it has so many bytes.
 FILE_BYTES = 16 << 20
-#: A range of the index, which one task merges in memory, has about so many entries at most.
-RANGE_ENTRIES = 200_000
+#: A run has so many entries at most, which one task sorts in memory.
+RUN_ENTRIES = 100_000
+#: A range of the index has about so many; one task merges it in a stream.
+RANGE_ENTRIES = 500_000
+#: So many runs are merged at a time.
+FAN = 128
+ROW_GROUP, BATCH = 2048, 256
 ENTRY = "url_key string, ts long, id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
@@ -72,21 +81,29 @@ def _seconds(date: str) -> int:
     return int(datetime.strptime(date, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).timestamp())
 
 
-def record(capture: int, url: str, ts: int, payload: bytes, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record. A revisit holds no payload but names the capture it repeats."""
+def record_name(capture: int | None, url: str, ts: int, digest: str, number: int) -> str:
+    """The name of a record, which no other one has: ``number`` tells apart captures that are alike in all else."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{capture} {ts} {digest} {number} {url}')}>"
+
+
+def record(capture: int | None, url: str, ts: int, digest: str, size: int, payload: bytes, number: int = 0, original: tuple | None = None) -> bytes:
+    """A WARC/1.1 record. ``digest`` is the bare base32 SHA-1 of the payload. A revisit holds no payload but names the
+    capture it repeats, ``original``: its id, URL and time."""
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:capture:{capture}>",
+        f"WARC-Type: {'response' if original is None else 'revisit'}",
+        f"WARC-Record-ID: {record_name(capture, url, ts, digest, number)}",
+        *[f"WARC-Capture: {capture}"] * (capture is not None),
         f"WARC-Target-URI: {clean}",
         f"WARC-Date: {_date(ts)}",
-        f"WARC-Payload-Digest: sha1:{digest32(payload)}",
-        f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Payload-Length: {size}",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:capture:{refers_to}>"]
-    body = b"" if refers_to is not None else payload
+    if original is not None:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(*original, digest, 0)}"]
+        head += [f"WARC-Refers-To-Capture: {original[0]}"] * (original[0] is not None)
+    body = b"" if original is not None else payload
     head += ["Content-Type: text/html;charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -111,53 +128,65 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def first_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """id, digest, n, refers_to: for each capture whose payload another, larger id has, that id. Narrow rows only
-    are shuffled; equal payloads are counted before that."""
-    slim = pages.select("id", "digest", "n").where(F.col("n") >= least_bytes)
-    last = slim.groupBy("digest", "n").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    last = written(last, "last-copies")  # as an input of its own, so that the join below can split a payload with very many copies
-    return slim.join(last, ["digest", "n"]).select("id", "digest", "n", "refers_to").where("id <> refers_to")
+_CAPTURE = ["name", "url", "ts", "digest", "n"]
+
+
+def originals(captures: DataFrame, least_bytes: int) -> DataFrame:
+    """Of distinct captures and their ``copies``: those whose payload has others, with the original, a struct of id, url, ts, name.
+    Narrow rows only are shuffled; equal payloads are counted before that."""
+    head = F.max(F.struct("id", "url", "ts", "name")).alias("original")
+    groups = captures.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(head, F.sum("copies").alias("all")).where("all > 1").drop("all")
+    groups = written(groups, "originals")  # as an input of its own, so that the join below can split a payload with very many copies
+    return captures.join(groups, ["digest", "n"]).select(*_CAPTURE, "original")
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts: str | None = None) -> DataFrame:
     """Archives of all captures; returns one row (archive, records) per file, already written.
 
     ``ts`` is an SQL expression for a capture's second; by default one per id from 2024-01-01 on. The payloads
-    are shuffled once, with their references, by id and digest: of rows that share an id, each has its own reference.
+    are shuffled once, by all that tells captures apart; captures that are alike in all of it are put together before.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     when = F.expr(ts) if ts else F.lit(1704067200) + F.pmod(F.col(id_col), F.lit(31536000))
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
-        when.cast("long").alias("ts"),
-    ).where("id is not null").withColumns({"digest": F.sha1(F.col("payload")), "n": F.octet_length("payload")})
-    full = rows.join(first_copies(rows, least_bytes).distinct(), ["id", "digest", "n"], "left").select("id", "url", "ts", "payload", "refers_to")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        F.coalesce(when.cast("long"), F.lit(1704067200)).alias("ts"),
+    ).withColumns({"digest": F.sha1(F.col("payload")), "n": F.octet_length("payload")})
+    count = F.count(F.lit(1)).alias("copies")
+    captures = written(rows.groupBy("id", *_CAPTURE).agg(count), "captures")
+    full = rows.groupBy(*_CAPTURE).agg(F.first("id").alias("id"), F.first("payload").alias("payload"), count).join(originals(captures, least_bytes), _CAPTURE, "left")
+    full = full.select("id", "name", "url", "ts", "digest", "n", "payload", "copies", "original")
+
+    def write(batches: Batches) -> Batches:
         fs, base = open_fs(folder)
         out, size, n, name = None, 0, 0, ""
         for batch in batches:
-            for i, u, t, p, r in zip(*(c.to_pylist() for c in batch.columns)):
-                if out is None:
-                    name = f"{uuid.uuid4().hex}.warc.gz"
-                    out, size, n = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0
-                z = zlib.compressobj(4, zlib.DEFLATED, 31)
-                member = z.compress(record(i, u, t, p, r)) + z.flush()
-                out.write(member)
-                size, n = size + len(member), n + 1
-                if size >= FILE_BYTES:
-                    out.close()
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["archive", "records"])
-                    out = None
+            for at in range(batch.num_rows):  # payloads one at a time
+                i, own, u, t, hexed, length, payload, copies, first = (c[at].as_py() for c in batch.columns)
+                digest = base64.b32encode(bytes.fromhex(hexed)).decode()
+                for k in range(copies):
+                    # Below the least length all are responses; else the first copy of the original capture is.
+                    alone = first is None or (k == 0 and (first["name"], first["url"], first["ts"]) == (own, u, t))
+                    if out is None:
+                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        out, size, n = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0
+                    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+                    member = z.compress(record(i, u, t, digest, length, payload, k, None if alone else (first["id"], first["url"], first["ts"]))) + z.flush()
+                    out.write(member)
+                    size, n = size + len(member), n + 1
+                    if size >= FILE_BYTES:
+                        out.close()
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["archive", "records"])
+                        out = None
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["archive", "records"])
 
-    return written(full.mapInArrow(write, "archive string, records long"), "warc-list")
+    return written(full.mapInArrow(lean(write), "archive string, records long"), "warc-list")
 
 
 def read_members(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int, int, bytes]]:
@@ -181,37 +210,101 @@ def read_members(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int, int, byt
             offset += used
 
 
+_SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (x.split() for x in ENTRY.split(", "))])
+_KEY = itemgetter(0, 1, 2, 8, 9)
+_KEYS = ["url_key", "ts", "id", "archive", "offset"]
+_MARK = "struct<url_key: string, ts: bigint, id: bigint, archive: string, offset: bigint>"
+#: A run is one file, or several that follow one another: run, place, file, entries, and the first entry of each row group.
+_RUN = f"run long, place int, file string, entries long, marks array<{_MARK}>"
+_RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")[:4]] + ["marks"]
+_MARKS = pa.list_(pa.struct([(k, pa.string() if k in ("url_key", "archive") else pa.int64()) for k in _KEYS]))
+_LEAST = -(2**63)
+
+
+def _order(entry: tuple) -> tuple:
+    """The place of an entry: URL key, time, id - none before all others; then archive and offset, for captures that are alike."""
+    url, ts, i, archive, offset = _KEY(entry)
+    return url, ts, _LEAST if i is None else i, archive, offset
+
+
+def _store(folder: str, entries: Iterator[tuple]) -> tuple[str, int, list[dict]] | None:
+    """Sorted entries as a file: its name, their number, and the first of each row group; None without any."""
+    fs, base = open_fs(folder)
+    name, n, marks, held = f"{uuid.uuid4().hex}.run", 0, [], []
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as out, pq.ParquetWriter(out, _SCHEMA, compression="zstd") as writer:
+
+        def flush() -> None:
+            marks.append(dict(zip(_KEYS, _order(held[0]))))
+            writer.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _SCHEMA.types)], schema=_SCHEMA), row_group_size=ROW_GROUP)
+            held.clear()
+
+        for e in entries:
+            held.append(e)
+            n += 1
+            if len(held) == ROW_GROUP:
+                flush()
+        if held:
+            flush()
+    return (f"{folder}/{name}", n, marks) if n else None
+
+
+def _load(files: list[tuple[str, list[tuple]]], low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, tuple]]:
+    """(order, entry) of a run's entries from ``low`` on and below ``high``, in a stream. ``files`` has the first entries of row groups."""
+    for file, marks in files:
+        last = sum(m < high for m in marks) if high is not None else len(marks)
+        first = max(0, sum(m <= low for m in marks) - 1) if low is not None else 0
+        if first >= last:
+            continue
+        fs, path = open_fs(file)
+        with fs.open_input_file(path) as source, pq.ParquetFile(source, pre_buffer=False) as stored:
+            for batch in stored.iter_batches(BATCH, row_groups=list(range(first, last))):
+                for e in zip(*(c.to_pylist() for c in batch.columns)):
+                    order = _order(e)
+                    if high is not None and order >= high:
+                        return
+                    if low is None or order >= low:
+                        yield order, e
+
+
 def read_runs(archives: DataFrame) -> DataFrame:
-    """The index entries of each archive, checked against its payloads' digests, in the order of a run."""
-    names = [x.split()[0] for x in ENTRY.split(", ")]
+    """Sorted runs of index entries, checked against the payloads' digests: a row for each run's file, already written."""
+    folder = scratch_path(archives.sparkSession, "warc-runs")
+
+    def entries(archive: str) -> Iterator[tuple]:
+        fs, path = open_fs(archive)
+        for offset, length, data in read_members(fs, path):
+            h, body = parse_record(data)
+            digest = h["warc-payload-digest"].removeprefix("sha1:")
+            if h["warc-type"] == "response" and digest32(body) != digest:
+                raise ValueError(f"{archive}: a payload with another digest at {offset}")
+            number = lambda field: int(h[field]) if field in h else None
+            url = h["warc-target-uri"]
+            yield url_key(url), _seconds(h["warc-date"]), number("warc-capture"), url, int(h["warc-payload-length"]), digest, h["warc-type"], number("warc-refers-to-capture"), archive, offset, length
+
+    def read(batches: Batches) -> Batches:
+        from pyspark import TaskContext
+
+        number, held = TaskContext.get().partitionId() << 33, []
+
+        def run() -> pa.RecordBatch:
+            nonlocal number
+            held.sort(key=_order)
+            file, n, marks = _store(folder, iter(held))
+            held.clear()
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([0], pa.int32()), pa.array([file]), pa.array([n]), pa.array([marks], _MARKS)], _RUN_NAMES)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                fs, path = open_fs(archive)
-                run = []
-                for offset, length, data in read_members(fs, path):
-                    h, body = parse_record(data)
-                    digest = h["warc-payload-digest"].removeprefix("sha1:")
-                    if h["warc-type"] == "response" and digest32(body) != digest:
-                        raise ValueError(f"{archive}: a payload with another digest at {offset}")
-                    capture = int(h["warc-record-id"].rpartition(":")[2][:-1])
-                    refers = int(h["warc-refers-to"].rpartition(":")[2][:-1]) if "warc-refers-to" in h else None
-                    url = h["warc-target-uri"]
-                    run.append((url_key(url), _seconds(h["warc-date"]), capture, url, int(h["warc-payload-length"]), digest, h["warc-type"], refers, archive, offset, length))
-                run.sort(key=lambda e: e[:3])
-                for at in range(0, len(run), 10_000):
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, e)) for e in run[at : at + 10_000]], schema=_SCHEMA)
+                for e in entries(archive):
+                    held.append(e)
+                    if len(held) == RUN_ENTRIES:
+                        yield run()
+        if held:
+            yield run()
 
     n = max(archives.sparkSession.sparkContext.defaultParallelism, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return archives.select("archive").repartition(n).mapInArrow(read, ENTRY)
-
-
-_SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (x.split() for x in ENTRY.split(", "))])
-
-
-#: The place of an entry: URL key, time, id; then archive and offset, for captures that share an id.
-_ORDER = itemgetter(0, 1, 2, 8, 9)
+    return written(archives.select("archive").repartition(n).mapInArrow(lean(read), _RUN), "warc-run-list")
 
 
 class LoserTree:
@@ -221,7 +314,7 @@ class LoserTree:
     def __init__(self, runs: list[Iterator[tuple]]):
         self.runs = runs
         self.k = len(runs)
-        self.head = [next(r, None) for r in runs]
+        self.head = [next(r, None) for r in self.runs]
         self.loser = [-1] * max(1, self.k)
         for leaf in range(self.k):
             self._play(leaf)
@@ -252,29 +345,66 @@ class LoserTree:
             self._play(first)
 
 
-def merge_runs(entries: DataFrame, records: int | None = None) -> DataFrame:
+def _grouped(rows: list) -> list[list[tuple[str, list[tuple]]]]:
+    """Per run its files in order, with their marks."""
+    runs: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["run"], r["place"])):
+        runs.setdefault(r["run"], []).append((r["file"], [tuple(m[k] for k in _KEYS) for m in r["marks"]]))
+    return list(runs.values())
+
+
+def _ranges(runs: DataFrame, n: int) -> list[tuple]:
+    """At most n - 1 entries, rising, that cut the order of all entries into ranges of about the same size."""
+    marks = runs.select(F.inline("marks")).repartitionByRange(n, *_KEYS).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*_KEYS)).alias("m"))
+    return sorted(tuple(r.m) for r in marks.collect())[1:]  # n rows at most
+
+
+def _fewer(runs: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """Each FAN runs merged into one, a task for each of these and each range."""
+    folder = scratch_path(runs.sparkSession, "warc-runs")
+    order = runs.select("run").distinct()
+    parts = max(1, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = -(-order.count() // FAN)
+    member = runs.withColumn("grp", F.pmod(F.xxhash64("run"), F.lit(groups)))
+    lists = member.groupBy("grp").agg(F.collect_list(F.struct("run", "place", "file", "marks")).alias("files"))  # about FAN runs
+    tasks = lists.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).repartition(max(parts, groups), "grp", "place")
+
+    def merge(batches: Batches) -> Batches:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                grp, place, files = (batch.column(c)[at].as_py() for c in ("grp", "place", "files"))
+                low, high = (cuts[place - 1] if place else None), (cuts[place] if place < len(cuts) else None)
+                stored = _store(folder, (e for _, e in LoserTree([_load(run, low, high) for run in _grouped(files)])))
+                if stored:
+                    file, n, marks = stored
+                    yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([place], pa.int32()), pa.array([file]), pa.array([n]), pa.array([marks], _MARKS)], _RUN_NAMES)
+
+    return written(tasks.mapInArrow(lean(merge), _RUN), "warc-run-list")
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
     """The entries of all runs in global order: partition k of the result comes before k + 1, and rows
-    within a partition are in order of URL key, time and id. There are so many ranges that each holds about
-    RANGE_ENTRIES at most; ``records`` is the number of entries, if it is known."""
-    records = entries.count() if records is None else records
-    n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records // RANGE_ENTRIES))
-    dealt = entries.repartitionByRange(n, "url_key", "ts", "id")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        where = _SCHEMA.names.index("archive")
+    within a partition are in order of URL key, time and id."""
+    spark = runs.sparkSession
+    total = runs.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    cuts = _ranges(runs, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ENTRIES)))
+    while (count := runs.select("run").distinct().count()) > FAN:
+        runs = _fewer(runs, cuts)
+        if runs.select("run").distinct().count() >= count:
+            raise ValueError("FAN is too small to merge anything")
+    files = _grouped(runs.collect())  # of FAN runs at most
+
+    def merge(batches: Batches) -> Batches:
         for batch in batches:
-            for e in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(e[where], []).append(e)
-        for run in runs.values():
-            run.sort(key=_ORDER)  # in order already, unless a shuffle fetched parts of a run out of turn
-        buffer: list[tuple] = []
-        for _, e in LoserTree([iter([(_ORDER(e), e) for e in runs[k]]) for k in sorted(runs)]):
-            buffer.append(e)
-            if len(buffer) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), _SCHEMA.types)], _SCHEMA.names)
-                buffer = []
-        if buffer:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), _SCHEMA.types)], _SCHEMA.names)
-
-    return dealt.mapInArrow(merge, ENTRY)
+            for place in batch.column(0).to_pylist():
+                low, high = (cuts[place - 1] if place else None), (cuts[place] if place < len(cuts) else None)
+                buffer: list[tuple] = []
+                for _, e in LoserTree([_load(run, low, high) for run in files]):
+                    buffer.append(e)
+                    if len(buffer) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), _SCHEMA.types)], _SCHEMA.names)
+                        buffer = []
+                if buffer:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), _SCHEMA.types)], _SCHEMA.names)
+
+    return spark.range(0, len(cuts) + 1, 1, len(cuts) + 1).mapInArrow(lean(merge), ENTRY)

@@ -36,28 +36,51 @@ def test_archives(spark, tmp_path):
     pages = [(5, "http://WWW.b.com:80/x/?b=1&a=2#f", "same"), (9, "http://a.com/", "same"), (7, None, "same"), (1, "http://c.com/é \n", None), (2, "http://c.com/é \n", ""), (3, "nonsense", "ü" * 70000), (None, "x", "y"), (5, "http://b.com/x?a=2&b=1", "same")]
     d = write(spark, tmp_path, pages=([(i, u, h, ) for i, u, h in pages], PAGES))
     rows = op2_warc_index(spark, d).collect()
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows)
-    want = []
-    for i, _, h in pages:
-        if i is not None:
-            p = (h or "").encode()
-            last = max(j for j, _, g in pages if j is not None and (g or "") == (h or ""))
-            want.append((i, len(p), warc.digest32(p), "response" if i == last else "revisit", None if i == last else last))
-    assert got == sorted(want)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str)
+    assert got == brute_captures(pages)
     index = warc.merge_runs(warc.read_runs(warc.write_archives(spark.read.parquet(f"{d}/pages.parquet"), 5)))
-    entries = [tuple(r)[:3] for r in index.collect()]
-    assert entries == sorted(entries) and {r.record_type for r in index.collect()} == {"response"}
+    entries = [(r.url_key, r.ts, -1 if r.id is None else r.id) for r in index.collect()]
+    assert entries == sorted(entries) and len(entries) == len(pages)
+    assert {r.record_type for r in index.where("payload_bytes < 5").collect()} == {"response"}
     assert warc.url_key("http://WWW.b.com:80/x/?b=1&a=2#f") == warc.url_key("https://b.com/x?a=2&b=1") == "com,b)/x?a=2&b=1"
     assert op2_warc_index(spark, write(spark, tmp_path / "e", pages=([], PAGES))).count() == 0
 
 
+def brute_captures(pages):
+    """Of each payload's rows that with the largest id is the response, in all that concerns the result."""
+    want, groups = [], {}
+    for i, _, h in pages:
+        groups.setdefault((h or "").encode(), []).append(i)
+    for p, ids in groups.items():
+        ids.sort(key=lambda i: (i is not None, i or 0))
+        want += [(i, len(p), warc.digest32(p), "revisit", ids[-1]) for i in ids[:-1]] + [(ids[-1], len(p), warc.digest32(p), "response", None)]
+    return sorted(want, key=str)
+
+
 def test_archives_of_repeated_ids(spark, tmp_path):
-    rows = [(1, "https://a.com/", "common"), (1, "https://a.com/", "alone"), (2, "https://b.com/", "common"), (3, "https://c.com/", "other"), (1, "https://a.com/", "other")]
-    d = write(spark, tmp_path, pages=(rows, PAGES))
-    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in op2_warc_index(spark, d).collect())
-    digest = lambda x: warc.digest32(x.encode())
-    want = [(1, digest("common"), "revisit", 2), (1, digest("alone"), "response", 0), (2, digest("common"), "response", 0), (3, digest("other"), "response", 0), (1, digest("other"), "revisit", 3)]
-    assert got == sorted(want)
+    for n, pages in enumerate([
+        [(5, "https://a.com/", "AA"), (5, "https://a.com/", "BBB"), (9, "https://b.com/", "AA"), (8, "https://c.com/", "BBB")],
+        [(1, "https://a.com/", "common"), (1, "https://a.com/", "alone"), (2, "https://b.com/", "common"), (3, "https://c.com/", "other"), (1, "https://a.com/", "other")],
+        [(4, "https://a.com/", "x"), (4, "https://a.com/", "x"), (4, "https://z.com/", "x"), (None, None, None), (None, None, None), (None, "https://y.com/", ""), (None, "https://y.com/", "n"), (7, "https://a.com/", "long " * 200_000)],
+    ]):
+        d = write(spark, tmp_path / str(n), pages=([(*p, "c") for p in pages], PAGES + ", digest string"))
+        got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op2_warc_index(spark, d).collect()), key=str)
+        assert got == brute_captures(pages)
+
+
+def test_many_runs_merge_in_levels(spark, tmp_path):
+    random.seed(4)
+    pages = [(k, f"http://h{random.randint(0, 3)}.com/{random.randint(0, 40)}", f"text {k % 90}") for k in range(400)]
+    d = write(spark, tmp_path, pages=(pages, PAGES))
+    old = warc.RUN_ENTRIES, warc.FAN, warc.ROW_GROUP, warc.RANGE_ENTRIES
+    warc.RUN_ENTRIES, warc.FAN, warc.ROW_GROUP, warc.RANGE_ENTRIES = 7, 3, 4, 50
+    try:
+        archives = warc.write_archives(spark.read.parquet(f"{d}/pages.parquet"))
+        assert warc.read_runs(archives).count() > 50
+        entries = [(r.url_key, r.ts, r.id) for r in warc.merge_runs(warc.read_runs(archives)).collect()]
+    finally:
+        warc.RUN_ENTRIES, warc.FAN, warc.ROW_GROUP, warc.RANGE_ENTRIES = old
+    assert entries == sorted(entries) and sorted(i for *_, i in entries) == list(range(400))
 
 
 # Page text ---------------------------------------------------------------------------------------------------
