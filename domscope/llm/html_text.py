@@ -8,13 +8,18 @@ the host. Then every page is read again: the text of the containers on the winni
 never article text - menus, site headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments, hidden parts. A page without that path, or without text there, uses its own best container.
 
-Null and empty pages have an empty text. Pages without a host share one host, the empty name.
+Null and empty pages have an empty text. Pages without a host share one host, the empty name. Very long and very deeply
+nested pages take time and memory in proportion to their length: a container knows its parent and a digest of its path, and
+only a winner's path is spelt out. If paths of a host tie in votes, the greatest one in text order wins. Each row is a page
+of its own, also if rows repeat, and then votes for its host again. An empty table gives an empty result. Columns to keep that are
+named like a result (text, path) are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -22,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Batches, lean, written
 
-#: Hosts whose winning paths are broadcast (some 30 MB); more are joined by a salted shuffle.
-MOST_HOSTS = 200_000
+#: Winning paths are broadcast if they and their hosts take no more bytes than this; beyond, they are joined by a salted shuffle.
+MOST_BYTES = 16_000_000
 SALTS = 32
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_READ = frozenset("class id role style hidden aria-hidden".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "title", "svg", "iframe", "xmp")}
 _CONTAINERS = frozenset("body div article section main table tbody tr td ul ol dl center header figure details blockquote fieldset".split())
 _NEVER = frozenset("nav footer aside form button select head dialog menu object canvas audio video map".split())
@@ -41,39 +47,76 @@ _MARKS = frozenset(
     signup popup modal overlay toast comment comments commentlist disqus respond replies reply discussion share sharing social related recommended
     widget masthead toolbar search login form skip hidden""".split()
 )
+#: Words that say nothing about the content beside one of the above.
+_NEUTRAL = frozenset(
+    """area article articles bar block blog body bottom box btn button buttons col column container content desktop entry first footer group head header
+    icon icons inline inner item items large last left link links list main media message messages mobile new news outer page panel post posts primary
+    reader readers reading right row secondary section site slot small stories story text thread threads title tool tools top unit user users wrap
+    wrapper zone""".split()
+)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
+    """Those attributes of a tag that are looked at; values of others aren't mistaken for them."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        name = m[1].lower()
+        if name in _READ:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
 
 
 def _unwanted(tag: str, own: dict[str, str], within_main: bool) -> bool:
-    """Whether the element is never article text."""
+    """Whether the element is never article text. Outside the main part a container goes if any word of its names marks
+    it; within it, and for headings and paragraphs, all words of a name have to be marks or neutral."""
     if tag in _NEVER or (tag == "header" and not within_main):
         return True
     if not own or tag in ("body", "html", "main", "article"):
         return False
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
         return True
+    careful = within_main or tag not in _CONTAINERS
     for name in (*own.get("class", "").split(), own.get("id", ""), own.get("role", "")):
         words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in ("no", "has", "with") and _MARKS.intersection(words):
+        if words and words[0] not in ("no", "has", "with") and _MARKS.intersection(words) and not (careful and set(words) - _MARKS - _NEUTRAL):
             return True
     return False
 
 
+def _below(parent: bytes, step: str) -> bytes:
+    """The digest of a path that is one step longer."""
+    return blake2b(step.encode("utf-8", "surrogatepass"), key=parent, digest_size=16).digest()
+
+
+def path_digest(path: str) -> bytes:
+    digest = b""
+    for step in path.split(">"):
+        digest = _below(digest, step)
+    return digest
+
+
 class Page:
-    """Blocks of text, each with its container, and the containers' paths."""
+    """Blocks of text, each with its container, and the containers' parents, steps, and digests of paths."""
 
     def __init__(self, html: str):
-        self.paths: list[str] = ["html"]
+        self.steps: list[str] = ["html"]
         self.parents: list[int] = [-1]
+        self.digests: list[bytes] = [_below(b"", "html")]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(html)
 
+    def path(self, container: int) -> str:
+        """The generalised tag-class path of a container."""
+        steps = []
+        while container >= 0:
+            steps.append(self.steps[container])
+            container = self.parents[container]
+        return ">".join(reversed(steps))
+
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, whether its text is left out
+        stack: list[tuple[str, int, bool]] = []  # tag, container around it, whether its text is left out
+        opened: Counter[str] = Counter()
         here, out, mains, links = 0, 0, 0, 0
         parts: list[str] = []
         linked = 0
@@ -89,10 +132,10 @@ class Page:
         def close(depth: int) -> None:
             nonlocal here, out, mains
             while len(stack) > depth:
-                tag, _, left_out = stack.pop()
+                tag, here, left_out = stack.pop()
+                opened[tag] -= 1
                 out -= left_out
                 mains -= tag in ("main", "article")
-            here = next((c for _, c, _ in reversed(stack) if c >= 0), 0)
 
         at, search = 0, _TAG.search
         while m := search(html, at):
@@ -111,7 +154,7 @@ class Page:
                     continue
                 if tag in _BLOCKS:
                     flush()
-                for depth in range(len(stack) - 1, -1, -1):
+                for depth in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[depth][0] == tag:
                         flush()
                         close(depth)
@@ -141,17 +184,21 @@ class Page:
             left_out = _unwanted(tag, own, mains > 0)
             if tag in _CONTAINERS and not left_out and not out:
                 flush()
-                names = sorted({re.sub(r"\d+", "#", c.lower()) for c in own.get("class", "").split()})
-                self.paths.append(self.paths[here] + ">" + ".".join([tag, *names]))
+                names = sorted({re.sub(r"\d+", "#", c.lower().replace(">", "")) for c in own.get("class", "").split()})
+                step = ".".join([tag, *names])
+                self.steps.append(step)
                 self.parents.append(here)
-                here = len(self.paths) - 1
+                self.digests.append(_below(self.digests[here], step))
                 stack.append((tag, here, False))
+                opened[tag] += 1
+                here = len(self.steps) - 1
                 mains += tag in ("main", "article")
             elif left_out or out or tag in _CONTAINERS:
                 if left_out and not out:
                     flush()
                 if block or left_out:
-                    stack.append((tag, -1, left_out))
+                    stack.append((tag, here, left_out))
+                    opened[tag] += 1
                     out += left_out
                     mains += tag in ("main", "article")
         if not out and at < len(html):
@@ -160,28 +207,29 @@ class Page:
 
     def best(self) -> tuple[int, float]:
         """The container with the highest score, and that; the first of several."""
-        own = [0.0] * len(self.paths)
+        own = [0.0] * len(self.steps)
         for c, text, linked in self.blocks:
             n = max(0, len(text) - linked)
             own[c] += n * n / max(1, len(text))
         score = own[:]
         for c in range(len(own) - 1, 0, -1):
             score[self.parents[c]] += own[c] / 2
-        for c, path in enumerate(self.paths):
-            if path.rpartition(">")[2].partition(".")[0] in ("article", "main"):
+        for c, step in enumerate(self.steps):
+            if step.partition(".")[0] in ("article", "main"):
                 score[c] *= 1.5
         k = max(range(len(score)), key=lambda c: (score[c], -c))
         return k, score[k]
 
     def text(self, path: str | None) -> str:
         """The blocks of the containers on the path, and of all within these, or else of the best container."""
-        inside = [False] * len(self.paths)
-        for c, p in enumerate(self.paths):
-            inside[c] = p == path or (c > 0 and inside[self.parents[c]])
+        inside = [False] * len(self.steps)
+        wanted = None if path is None else path_digest(path)
+        for c, digest in enumerate(self.digests):
+            inside[c] = digest == wanted or (c > 0 and inside[self.parents[c]])
         found = [text for c, text, _ in self.blocks if inside[c]]
         if not found:
             k, _ = self.best()
-            for c in range(len(self.paths)):
+            for c in range(len(self.steps)):
                 inside[c] = c == k or (c > 0 and inside[self.parents[c]])
             found = [text for c, text, _ in self.blocks if inside[c]]
         return "\n".join(found)
@@ -196,18 +244,18 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
     """host, path: the winner of each host that has a page with text."""
     names = ["host", "path", "weight"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             votes: dict[tuple[str, str], float] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 page = Page(html.as_py())
                 k, score = page.best()
                 if score:
-                    key = host, page.paths[k]
+                    key = host, page.path(k)
                     votes[key] = votes.get(key, 0) + min(100, 1 + int(score) // 100)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names)
 
-    cast = pages.where(F.col(html_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, weight long")
+    cast = pages.where(F.col(html_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(lean(run), "host string, path string, weight long")
     sums = cast.groupBy("host", "path").agg(F.sum("weight").alias("votes"))
     return sums.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
@@ -215,20 +263,20 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (page_id and url by default), text string and path string, the winning path of
     the page's host. One row per row; other columns are left out, so no name clashes."""
-    keep = ["page_id", "url"] if keep is None else keep
+    keep = [c for c in (["page_id", "url"] if keep is None else keep) if c not in ("text", "path")]
     winners = written(vote(pages, url_col, html_col), "host-paths")
-    rows = pages.select(*keep, host_of(F.col(url_col)).alias("__host"), F.coalesce(html_col, F.lit("")).alias("__html"))
-    if winners.count() <= MOST_HOSTS:
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(url_col)).alias("__host"), F.coalesce(html_col, F.lit("")).alias("__html"))
+    if winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()[0] <= MOST_BYTES:
         joined = rows.join(F.broadcast(winners.withColumnRenamed("host", "__host")), "__host", "left")
     else:
         spread = winners.withColumnRenamed("host", "__host").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(SALTS)).cast("int")).join(spread, ["__host", "__salt"], "left")
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("path", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             paths = batch.column(len(keep) + 1)
             texts = [Page(html.as_py()).text(path) for html, path in zip(batch.column(len(keep)), paths.to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), paths], [f.name for f in schema])
 
-    return joined.select(*keep, "__html", "path").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in keep], "__html", "path").mapInArrow(lean(run), schema)
