@@ -5,25 +5,41 @@ document and its tokens, a ``delete`` takes both away, a ``revise`` adds tokens
 before anything is stored, so what is stored, and what later reads shuffle, grows with the number of groups
 and not with that of documents; a hot source is summed in every task first.
 
-A batch is committed by renaming the folder of its sums to its final name, once; a batch id that is there
-already is not applied again, so a batch may be sent again after any failure. On stores whose rename isn't
-atomic, let one writer commit at a time. compact() folds all committed sums into one and keeps their ids.
+A batch is committed by renaming the folder of its sums, staged under a name of its own, to its final name, which fails if
+that is there; a batch id that is there already is not applied again, so a batch may be sent again after any failure, and of
+two writers with the same batch one wins. On stores whose rename isn't atomic, let one writer commit at a time.
+compact() folds all committed sums into one and keeps their ids.
 
 Null group keys are a group of their own. Null counts count as 0. Rows with another op make the batch fail,
-before anything of it is stored. Groups whose documents and tokens are both 0 are left out of the totals.
+before anything of it is stored. Groups whose documents and tokens are both 0 are left out of the totals. Repeated rows
+count each; there are no ties. An empty batch is committed like others. Texts play no part but in bpe_changes(), which
+encodes them whole, null as no tokens. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
+
 KEYS = ["source", "lang", "tokenizer"]
 _SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
+def bpe_changes(docs: DataFrame, op: str, tokenizer: str, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Changes, of one op, with the documents' numbers of tokens by a byte-level BPE vocabulary. A ``revise`` takes the
+    column old_tokens, which it needs."""
+    old = ["old_tokens"] if op == "revise" else []
+    counted = bpe.encode(docs, path, pattern, text_col, keep=["source", "lang", *old])
+    before = F.col("old_tokens") if old else F.lit(None)
+    return counted.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.size("ids").cast("long").alias("tokens"), before.cast("long").alias("old_tokens"))
+
+
 class TokenRollup:
     """Totals under ``path``, a folder that the driver and all executors share."""
 
@@ -59,10 +75,23 @@ class TokenRollup:
             F.when(op == "insert", new).when(op == "delete", -new).otherwise(new - old).alias("t"),
         )
         sums = signed.groupBy(*KEYS).agg(F.sum("d").cast("long").alias("n_docs"), F.sum("t").cast("long").alias("n_tokens"))
-        staged = f"staged-{self._name(batch_id)}"
+        staged = f"staged-{uuid.uuid4().hex}"
         sums.write.mode("overwrite").parquet(f"{self.path}/{staged}")
-        if not self._fs.rename(self._hadoop(staged), self._hadoop(f"batches/{self._name(batch_id)}")):
-            raise OSError(f"batch {batch_id} could not be committed")
+        if self._moved(staged, f"batches/{self._name(batch_id)}"):
+            return True
+        self._fs.delete(self._hadoop(staged), True)
+        return False
+
+    def _moved(self, name: str, to: str) -> bool:
+        """Rename a folder; False if the new name is taken."""
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._hadoop("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(self._hadoop(name), self._hadoop(to), how)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
         return True
 
     def _list(self, folder: str) -> list[str]:
