@@ -109,6 +109,42 @@ def test_hosts_agree_on_a_path(spark, tmp_path):
     assert op4_html_text(spark, write(spark, tmp_path / "e", pages=([], PAGES))).count() == 0
 
 
+def test_attributes_are_read_as_such():
+    body = '<article><p title="the hidden gems">a</p><p data-hidden="x">b</p><p data-id="share-12">c</p><p class="share-price">d</p><h1 class="search-results">e</h1>{}</article>'
+    more = '<div class="comment-free-edition">f</div><div class="reader-comments">g</div><div class=share-buttons>h</div><p class=\'ad\'>i</p><p hidden>j</p><p data-x="a > b" aria-hidden="true">k</p>'
+    assert html_text.Page(body.format(more)).text(None) == "a\nb\nc\nd\ne\nf"
+
+
+def test_deep_pages_stay_small():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.time()
+    for deep in ('<div class="row">' * 100_000 + "x", "<nav>" + "<div>" * 50_000 + "</div>" * 50_000 + "</nav>x", "<div>" * 50_000 + "x" + "</b></span></li>" * 50_000):
+        assert html_text.Page(deep).text(None) == "x"
+    assert time.time() - start < 60 and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_page_text_of_a_whole_table_equals_plain_python(spark):
+    d = "/root/testdata/sf0.01"
+    pages = [(r.page_id, r.url, r.html or "") for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
+    votes, want = {}, []
+    host = lambda url: ((url or "").split("//", 1) + [""])[1].split("/")[0].split("?")[0].split("#")[0].rpartition("@")[2].partition(":")[0].lower()
+    for _, url, html in pages:
+        page = html_text.Page(html)
+        k, score = page.best()
+        if score:
+            of = votes.setdefault(host(url), {})
+            of[page.path(k)] = of.get(page.path(k), 0) + min(100, 1 + int(score) // 100)
+    for i, url, html in pages:
+        of = votes.get(host(url), {})
+        text = html_text.Page(html).text(max(of, key=lambda p: (of[p], p)) if of else None)
+        want.append((i, url, text, len(text)))
+    assert sorted(tuple(r) for r in op4_html_text(spark, d).collect()) == sorted(want)
+
+
 # Rollups -----------------------------------------------------------------------------------------------------
 
 
@@ -132,6 +168,23 @@ def test_rollup(spark):
     assert not r.committed("4") and r.apply("4", df())
 
 
+def test_rollup_of_real_tokens(spark):
+    from domscope.llm.op10 import vocabulary
+    from domscope.llm.token_rollup import bpe_changes
+    from tests.llm.test_text_operators import tiktoken_encoding
+
+    enc = tiktoken_encoding()
+    docs = [("a", "en", "Hello there, world!", 4), ("a", "en", None, 1), ("b", "de", "Grüße " * 5000, 2), ("a", "en", "", None), (None, "en", "naïve 日本", 3)]
+    df = spark.createDataFrame(docs, "source string, lang string, text string, old_tokens long")
+    r = TokenRollup(spark, scratch_path(spark, "test"))
+    assert r.apply("load", bpe_changes(df, "insert", "bpe", *vocabulary()))
+    count = lambda s: sum(len(enc.encode_ordinary(t or "")) for x, _, t, _ in docs if x == s)
+    want = {"a": (3, count("a")), "b": (1, count("b")), None: (1, count(None))}
+    assert {x.source: (x.n_docs, x.n_tokens) for x in r.totals().collect()} == want
+    assert r.apply("again", bpe_changes(df, "revise", "bpe", *vocabulary())) and not r._moved("batches/" + r._name("again"), "batches/" + r._name("load"))
+    assert {x.source: (x.n_docs, x.n_tokens) for x in r.totals().collect()} == {s: (n, 2 * t - sum(o or 0 for x, _, _, o in docs if x == s)) for s, (n, t) in want.items()}
+
+
 # Search ------------------------------------------------------------------------------------------------------
 
 

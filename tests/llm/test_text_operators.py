@@ -274,6 +274,11 @@ def test_decontamination_equals_brute_force(spark, tmp_path):
         n, h, of = brute_hits(t, known)
         want.append((i, n, h, len(of), hashlib.sha256(",".join(sorted(map(str, of))).encode()).hexdigest(), h > 0))
     assert got == sorted(want)
+    named = write(spark, tmp_path / "n", documents=([(i, t, "en", "s", 0) for i, t in docs], DOCS), benchmark=([(f"item {i}" if i is not None else None, t) for i, t in items], "item_id string, text string"))
+    texts = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in op8_decontaminate(spark, named).collect()}
+    assert all(texts[i] == (n, h, len(of)) for i, t in docs if i != 63 for n, h, of in [brute_hits(t, known)])
+    clash = spark.createDataFrame([(1, "z", 5, "s")], "doc_id long, text string, n_words int, spans string")
+    assert decontaminate.find_hits(clash, spark.createDataFrame([(1, "z")], "item_id long, text string"), keep=["doc_id", "n_words", "spans"]).first().n_words == 1
     old, decontaminate.MOST_WORDS = decontaminate.MOST_WORDS, 30
     try:  # in turns
         assert sorted(tuple(r) for r in op8_decontaminate(spark, d).collect()) == sorted(want)
@@ -327,6 +332,63 @@ def test_toxicity(spark, tmp_path):
     assert op9_toxicity(spark, e).first().predicted == 0
 
 
+def brute_ftrl(examples, rounds=5):
+    """FTRL-proximal over (words, label) in plain Python: weight by slot, and bias before the cut is set."""
+    from zlib import crc32
+
+    m64 = 2**64 - 1
+    uni, bi, skip = (int(x) for x in (toxicity._UNI, toxicity._BI, toxicity._SKIP))
+    sets = []
+    for words, _ in examples:
+        h = [crc32(w.encode()) * uni & m64 for w in words]
+        x = [v ^ (v >> 29) for v in h]
+        slots = {v >> 44 for v in h} | {((a * bi + b & m64) * uni & m64) >> 44 for a, b in zip(x, x[1:])} | {((a * skip + b & m64) * bi & m64) >> 44 for a, b in zip(x, x[2:])}
+        sets.append(slots)
+    seen = {}
+    for k, s in enumerate(sets):
+        for i in s if k % 5 else ():
+            seen[i] = seen.get(i, 0) + 1
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    a, b, l1 = 2.0, 1.0, 5.0
+    w = lambda i: 0.0 if abs(z.get(i, 0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((b + n[i] ** 0.5) / a)
+    sets = [[i for i in s if seen.get(i, 0) >= toxicity.LEAST_DOCS] for s in sets]
+    for _ in range(rounds):
+        for k, s in enumerate(sets):
+            if k % 5:
+                own, bias = {i: w(i) for i in s}, -bz / ((b + bn**0.5) / a)
+                g = 1 / (1 + np.exp(-(sum(own.values()) + bias))) - examples[k][1]
+                for i in s:
+                    m = n.get(i, 0.0) + g * g
+                    z[i] = z.get(i, 0.0) + g - (m**0.5 - n.get(i, 0.0) ** 0.5) / a * own[i]
+                    n[i] = m
+                m = bn + g * g
+                bz, bn = bz + g - (m**0.5 - bn**0.5) / a * bias, m
+    return {i: w(i) for i in z if w(i)}, -bz / ((b + bn**0.5) / a), sets, w
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    random.seed(12)
+    docs = [(k, " ".join(random.choices([f"w{j}" for j in range(40)], k=random.randint(0, 30)) + ["bad", "word"] * (k % 3 == 0))) for k in range(300)]
+    labels = [(k, int(k % 3 == 0)) for k in range(0, 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ls = spark.createDataFrame(labels, "doc_id long, toxic int")
+    slots, weights, bias = toxicity.learn(df, ls)
+    order = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id", F.lit("order"))).collect()]
+    examples = [(words(docs[k][1]), labels[k][1]) for k in order]
+    want, raw, sets, w = brute_ftrl(examples)
+    assert set(want) == set(slots.tolist()) and all(abs(want[s] - v) < 1e-6 for s, v in zip(slots.tolist(), weights.tolist()))
+    cut = toxicity.best_cut([(sum(map(w, sets[k])) + raw, examples[k][1]) for k in range(0, len(sets), 5)])
+    assert abs(bias - (raw - cut)) < 1e-6
+
+
+def test_toxicity_learns_within_bounds(spark):
+    df = spark.createDataFrame([(k % 7, f"a b c {k} " + "x y z " * (50 * (k % 7 == 1)), "own") for k in range(400)], "doc_id long, text string, score string")
+    ls = spark.createDataFrame([(k, int(k == 1)) for k in range(7)], "doc_id long, toxic int")
+    model = toxicity.learn(df, ls, most=100, most_bytes=5000)
+    got = toxicity.score(df, model, keep=["doc_id", "score"])
+    assert got.columns == ["doc_id", "score"] and got.count() == 400 and dict(got.dtypes)["score"] == "double"
+
+
 def test_toxicity_of_real_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     got = op9_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
