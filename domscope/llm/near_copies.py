@@ -258,14 +258,16 @@ def similar_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESH
     active = classes.select("c", "copies", "grams", "head.row").join(mine, "c")
     active = written(blocks_of(active, BLOCK, BLOCK_GRAMS), "blocks")
 
-    # A class goes to its own block, and to another one if it has a bucket there; pairs of blocks meet at the smaller.
+    # A class goes to its own block, and to another one if it has a bucket there; pairs of blocks meet at the smaller. What is listed
+    # are names of blocks, of which a bucket has 1/256 of its classes or few.
     mine = active.select("c", "block", F.explode("bands").alias("h"))
     of_bucket = mine.select("h", "block").distinct().groupBy("h").agg(F.collect_list("block").alias("others")).where("size(others) > 1")
-    of_bucket = written(of_bucket, "block-buckets")  # names of blocks, of which a bucket has 1/256 of its classes or few
-    away = mine.join(of_bucket, "h").select("c", "block", F.explode("others").alias("other")).where("other <> block").distinct()
-    sides = away.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).unionByName(active.select("c", F.col("block").alias("i"), F.col("block").alias("j")))
-    texts = docs.select("row", "text").join(active.select("row", "block", "c", "copies", "bands"), "row")
-    found = written(verified(texts.join(sides, "c"), n, threshold), "links")
+    of_bucket = written(of_bucket, "block-buckets")
+    away = mine.join(of_bucket, "h").groupBy("c").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    placed = active.join(away, "c", "left").select("row", "c", "copies", "bands", "block", F.coalesce("others", F.array("block")).alias("others"))
+    # A merge join at every size: the texts are shuffled once, and no limit of broadcasts changes that as tables grow.
+    texts = docs.select("row", "text").join(written(placed, "placed").hint("merge"), "row").withColumn("other", F.explode("others"))
+    found = written(verified(texts.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), n, threshold), "links")
 
     tops = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
