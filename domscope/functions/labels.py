@@ -12,6 +12,7 @@ TASK_STATUS = {"pending": "待执行", "processing": "执行中", "completed": "
 TASK_PROGRESS = {"pending": 0, "processing": 60, "completed": 100, "failed": 0}
 TASK_TYPE = {"malicious": "恶意性检测", "impersonation": "仿冒域名检测"}
 DATA_SOURCE = {"upload": "上传文件", "newDomain": "新注册域名"}
+TERMS = {"码址": "域名"}
 TRAINING_STATUS = {"pending": "idle", "training": "running", "paused": "paused", "stopped": "stopped", "completed": "completed", "failed": "failed"}
 MAJOR_THREATS = ("供应链攻击", "漏洞利用", "勒索软件", "APT攻击")
 GRAVE_THREATS = ("C2通信", "钓鱼攻击")
@@ -38,6 +39,23 @@ def mapped(c: Column, names: Mapping[str, object], default: object = None) -> Co
     return out
 
 
+def category_label(category: Column) -> Column:
+    """What a model's category is called; null for others."""
+    return mapped(category, TASK_TYPE)
+
+
+def usual_terms(text: Column) -> Column:
+    """Texts with the usual words in place of older ones."""
+    for old, new in TERMS.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def first_key(json: Column, *keys: str) -> Column:
+    """The first value of these keys of a JSON object that isn't null."""
+    return F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in keys])
+
+
 def confidence(score: Column) -> Column:
     """high from 0.8, medium from 0.5, low above 0, else none."""
     return F.when(score >= 0.8, "high").when(score >= 0.5, "medium").when(score > 0, "low").otherwise("none")

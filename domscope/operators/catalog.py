@@ -56,6 +56,14 @@ def task_listing(tasks: DataFrame, models: DataFrame, files: DataFrame, names: M
     return labelled.orderBy(F.desc(c["created"]), F.desc(c["task"]))
 
 
+def seed_links(user_models: DataFrame, users: DataFrame, models: DataFrame, username: str, when: Column) -> DataFrame:
+    """``user_models`` with links of a user to all active official models that they lack."""
+    one = users.where(F.col("username") == username).select(F.col("id").alias("user_id")).limit(1)
+    new = models.where((F.col("model_type") == "official") & (F.col("status") == "active")).select(F.col("id").alias("model_id")).join(F.broadcast(one))
+    rows = new.select(F.lit(None).cast("long").alias("id"), "user_id", "model_id", F.lit("official").alias("source"), when.cast("timestamp_ntz").alias("acquired_at"), F.lit(True).alias("is_active"))
+    return insert_missing(user_models, rows, ["user_id", "model_id"])
+
+
 def acquire(user_models: DataFrame, models: DataFrame, user: int, model: int, when: Column) -> DataFrame:
     """``user_models`` with a public model added for the user, or made active again."""
     again = update_rows(user_models, (F.col("user_id") == user) & (F.col("model_id") == model), is_active=F.lit(True))

@@ -70,6 +70,12 @@ def alert_rows(df: DataFrame, threshold_percent: float, domain: str = "domain",
     return first_by_key(rows.where("__key <> ''"), ["__key"], [F.col(position)]).drop("__key")
 
 
+def look_alike_alert_rows(matches: DataFrame, stats: DataFrame, domain: str = "domain") -> DataFrame:
+    """The distinct names of look-alikes, for an alert; none if the statistics, a row, count no phishing."""
+    some = stats.where("phishing > 0").select(F.lit(True).alias("__some"))
+    return matches.where(F.col(domain).isNotNull()).select(domain).distinct().join(F.broadcast(some)).drop("__some")
+
+
 def metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """One row: accuracy, precision, recall, f1; 0 where a denominator is."""
     cell = lambda y, p: F.count(F.when((F.col(label) == y) & (F.col(predicted) == p), 1)).cast("double")

@@ -6,42 +6,18 @@ nations and regions the places, orders the tasks, parts the models, hosts of pag
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from collections.abc import Callable
-from datetime import date, timedelta
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import labels, lexical, names
 from .functions.cleaning import any_list, mixed_date, percent_text, pipe_list, relative_time, to_int
 from .operators import attribution, catalog, client, detection, entities, housekeeping, lookalike, situation
 from .plans.relational import insert_missing, latest_by_key, missing_from, page, top_by_key, update_from, with_fallback
-from .sources.daily import daily_feed, day_path
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import table as _t
+from . import queries_files  # noqa: F401  registers its queries
 
 AS_OF = "2024-01-31"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _as_of():
     return F.lit(AS_OF).cast("date")
 
@@ -239,11 +215,11 @@ def catalog_added_flag(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END AS place FROM part ORDER BY place, p_size DESC, p_partkey LIMIT 50
+SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END AS place FROM part ORDER BY place, p_size DESC, p_partkey
 """)
 def ranked_sources(spark, sf_dir):
     place = labels.mapped(F.col("p_type"), {"ECONOMY": 1, "SMALL": 2, "MEDIUM": 3}, 4)
-    return _t(spark, sf_dir, "part").withColumn("place", place).orderBy("place", F.desc("p_size"), "p_partkey").limit(50).select("p_partkey", "p_type", "place")
+    return _t(spark, sf_dir, "part").withColumn("place", place).orderBy("place", F.desc("p_size"), "p_partkey").select("p_partkey", "p_type", "place")
 
 
 @query("""
@@ -299,7 +275,7 @@ SELECT doc_id, lang, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LA
 def match_search_order(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
     m = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain_name"), (F.col("quality") * F.lit(0.5).cast("double") + F.col("toxic")).alias("actor_score"), F.lit(0).alias("created_at"))
-    top = housekeeping.match_search(m).limit(30)
+    top = housekeeping.match_search(m).limit(30)  # the first page of the listing
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("actor_score"), F.desc("id")))  # of the 30 rows of a page
@@ -506,7 +482,7 @@ def pattern_scores(spark, sf_dir):
 _PROFILES = "list_sort(list_distinct(list_filter({0}, lambda x: length(x) >= 3 AND x NOT IN ('com', 'net', 'org', 'www'))))"
 _MATCH = rf"""
 WITH h AS (SELECT host, string_split(host, '.') AS l, list_distinct(list_filter(regexp_split_to_array(host, '[-_.0-9]+'), lambda x: x <> '')) AS t, {_GRAMS.format("host")} AS g FROM {_HOSTS}),
-o AS (SELECT page_id % 20 AS org, regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS ioc FROM pages WHERE url IS NOT NULL AND page_id % 2 = 0 GROUP BY ALL),
+o AS (SELECT page_id % 20 AS org, regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS ioc FROM pages WHERE url IS NOT NULL GROUP BY ALL),
 og AS (SELECT org, ioc, {_GRAMS.format("ioc")} AS g, string_split(ioc, '.') AS l FROM o),
 pr AS (SELECT org, 'Blog ' || CAST(org AS VARCHAR) AS name, {_PROFILES.format("flatten(list(regexp_split_to_array(array_to_string(l[:-2], '.'), '[-_.0-9]+')))")} AS kw, list_distinct(list(l[-1])) AS tlds FROM og GROUP BY org),
 ioc AS (SELECT host, org, max(len(list_intersect(h.g, og.g)) / (len(h.g) + len(og.g) - len(list_intersect(h.g, og.g)))) AS s FROM h, og GROUP BY ALL),
@@ -518,12 +494,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY round(CAST(score
 """
 
 
-_MATCH_ALL = _MATCH.replace(" AND page_id % 2 = 0", "")
-
-
-def _profiles(spark, sf_dir, some: str = "page_id % 2 = 0") -> DataFrame:
-    """The profiles of the slice of pages that _MATCH has, or of others."""
-    known = _t(spark, sf_dir, "pages").where(f"url IS NOT NULL AND {some}").select((F.col("page_id") % 20).alias("organization_id"), names.normal_domain(F.col("url")).alias("domain_name"))
+def _profiles(spark, sf_dir) -> DataFrame:
+    known = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select((F.col("page_id") % 20).alias("organization_id"), names.normal_domain(F.col("url")).alias("domain_name"))
     orgs = known.select(F.col("organization_id").alias("id")).distinct().select("id", F.concat(F.lit("Blog "), F.col("id").cast("string")).alias("name"))
     return attribution.profiles(orgs, known)
 
@@ -532,20 +504,10 @@ def _found(spark, sf_dir, profiles: DataFrame) -> DataFrame:
     return attribution.candidates(_hosts(spark, sf_dir).select(F.col("host").alias("domain")), profiles)
 
 
-def _top5(found: DataFrame) -> DataFrame:
-    return found.select("domain", "rank", "organization_id", F.round("score", 6).alias("score"), "confidence")
-
-
 @query(_MATCH)
 def actor_match_top5(spark, sf_dir):
-    """Hosts against profiles built from every other page."""
-    return _top5(_found(spark, sf_dir, _profiles(spark, sf_dir)))
-
-
-@query(_MATCH_ALL)
-def actor_match_all(spark, sf_dir):
-    """Hosts against profiles built from all pages; actor_match_top5 is the slice that its SQL has."""
-    return _top5(_found(spark, sf_dir, _profiles(spark, sf_dir, "TRUE")))
+    """Hosts against profiles built from all pages."""
+    return _found(spark, sf_dir, _profiles(spark, sf_dir)).select("domain", "rank", "organization_id", F.round("score", 6).alias("score"), "confidence")
 
 
 def _grouped(found: DataFrame) -> DataFrame:
@@ -561,11 +523,6 @@ def org_grouped_domains(spark, sf_dir):
     return _grouped(_found(spark, sf_dir, _profiles(spark, sf_dir)))
 
 
-@query(_GROUPED.replace("{0}", _MATCH_ALL))
-def org_grouped_all(spark, sf_dir):
-    return _grouped(_found(spark, sf_dir, _profiles(spark, sf_dir, "TRUE")))
-
-
 def _alert(spark, sf_dir, profiles: DataFrame) -> DataFrame:
     hosts = _hosts(spark, sf_dir).select(F.col("host").alias("domain"), F.xxhash64("host").alias("position"))
     found = attribution.best_matches(attribution.candidates(hosts, profiles))
@@ -587,60 +544,28 @@ def alert_document(spark, sf_dir):
     return _alert(spark, sf_dir, _profiles(spark, sf_dir))
 
 
-@query(_ALERT.replace("__MATCH__", _MATCH_ALL))
-def alert_document_all(spark, sf_dir):
-    """The same with profiles of all pages."""
-    return _alert(spark, sf_dir, _profiles(spark, sf_dir, "TRUE"))
-
-
 # Look-alikes -----------------------------------------------------------------------------------------------
 
-_EVEN = "SELECT DISTINCT regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS t FROM pages WHERE page_id % 2 = 0"
-_ODD = _EVEN.replace("= 0", "= 1").replace("AS t", "AS d")
+_NAMED = "SELECT DISTINCT regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS t FROM pages WHERE url IS NOT NULL"
 
 
 @query(rf"""
-SELECT d AS domain FROM ({_ODD}) WHERE EXISTS (SELECT 1 FROM ({_EVEN}) WHERE t <> d AND levenshtein(replace(d, '.', ''), replace(t, '.', '')) <= greatest(2, least(6, length(replace(t, '.', '')) // 2)))
-  OR d IN (SELECT t FROM ({_EVEN}))
+SELECT d AS domain FROM ({_NAMED.replace("AS t", "AS d")}) WHERE EXISTS (SELECT 1 FROM ({_NAMED}) WHERE t <> d AND levenshtein(replace(d, '.', ''), replace(t, '.', '')) <= greatest(2, least(6, length(replace(t, '.', '')) // 2)))
 """)
 def edit_distance_candidates(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages").select(names.normal_domain(F.col("url")).alias("domain"), "page_id")
-    odd, even = p.where("page_id % 2 = 1").select("domain").distinct(), p.where("page_id % 2 = 0").select(F.col("domain").alias("target")).distinct()
-    return lookalike.within_reach(odd, even)
-
-
-_ALL = _EVEN.replace(" WHERE page_id % 2 = 0", " WHERE url IS NOT NULL")
-
-
-@query(rf"""
-SELECT d AS domain FROM ({_ALL.replace("AS t", "AS d")}) WHERE EXISTS (SELECT 1 FROM ({_ALL}) WHERE t <> d AND levenshtein(replace(d, '.', ''), replace(t, '.', '')) <= greatest(2, least(6, length(replace(t, '.', '')) // 2)))
-""")
-def edit_distance_all(spark, sf_dir):
-    """Every host against all other hosts; edit_distance_candidates has the roles by parity of SURVEY's table."""
+    """Every host against all other hosts."""
     h = _hosts(spark, sf_dir)
     return lookalike.within_reach(h.select(F.col("host").alias("domain")), h.select(F.col("host").alias("target")), itself=False)
 
 
-@query("""
-WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0), t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 1),
-s AS (SELECT q.vec_id AS vec_id, t.vec_id AS target, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * t.e[i])) / (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(t.e, lambda x: x * x)))) AS c FROM q, t)
-SELECT vec_id, target, round(c, 6) AS similarity, c > 0.35 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, target) AS k FROM s) WHERE k = 1
-""")
-def lookalike_match(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    targets = e.where("vec_id % 10 = 1").withColumn("ord", F.col("vec_id"))
-    best = lookalike.best_target(e.where("vec_id % 10 = 0"), targets, {"embedding": 1.0}, "vec_id", "vec_id", "ord")
-    return best.select("vec_id", "target", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.35).alias("matched"))
-
-
 @query("""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS r FROM e),
 s AS (SELECT q.vec_id AS vec_id, t.vec_id AS target, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * t.e[i])) / (q.r * t.r) AS c FROM n q JOIN n t ON q.vec_id <> t.vec_id)
 SELECT vec_id, target, round(c, 6) AS similarity, c > 0.35 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, target) AS k FROM s) WHERE k = 1
 """)
-def lookalike_all(spark, sf_dir):
-    """Every vector against all others. lookalike_match is the slice of two residues that its SQL has."""
+def lookalike_match(spark, sf_dir):
+    """Every vector against all others."""
     e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("ord", F.col("vec_id"))
     best = lookalike.best_target(e, e, {"embedding": 1.0}, "vec_id", "vec_id", "ord", itself=False)
     return best.select("vec_id", "target", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.35).alias("matched"))
@@ -698,19 +623,3 @@ def train_and_score(spark, sf_dir):
     fit, held = detection.stratified_split(rows, "label", "page_id")
     model = detection.train(fit)
     return detection.metrics(detection.predict(model, held), "label", "predicted")
-
-
-@query()
-def daily_feed_distinct(spark, sf_dir):
-    """Domains of a week of daily ZIPs, once each, and the days that are missing. The ZIPs are made here, in local
-    mode, from the regions' names; elsewhere the feed is there already."""
-    root = tempfile.mkdtemp(prefix="feed-")
-    names_ = [r.r_name.lower().replace(" ", "-") for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
-    for n in range(7):
-        day = date(2024, 9, 2) + timedelta(n)
-        if n != 3:
-            os.makedirs(os.path.dirname(day_path(root, day)), exist_ok=True)
-            with zipfile.ZipFile(day_path(root, day), "w") as z:
-                z.writestr("dailyupdate.txt", "\n".join(f"{x}{n % 2}.example.com" for x in names_) + "\n\n")
-    found, gone = daily_feed(spark, root, "2024-09-02", "2024-09-08", strict=True)
-    return found.select("domain", F.lit("read").alias("status")).unionByName(gone.select(F.col("day").cast("string").alias("domain"), "status"))

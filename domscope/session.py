@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere, ANSI errors instead of silent nulls, and run-time replanning for skew and small inputs.
@@ -19,3 +22,19 @@ def session(name: str = "domscope", **settings: str) -> SparkSession:
     """A session with SETTINGS, and ``settings`` on top (dots written as two underscores)."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS)
     return builder.config(map={k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under what spark.checkpoint.dir names, or in local mode, where that is
+    unset, a temporary one. It is deleted when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='domscope-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path if "://" in path else path.replace("file:", "file://", 1)

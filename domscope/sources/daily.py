@@ -49,7 +49,7 @@ class DailyReader(DataSourceReader):
     def read(self, partition: Day) -> Iterator[tuple]:
         try:
             data = _open(day_path(self.root, partition.day))
-        except OSError:
+        except FileNotFoundError:  # other failures - no access, a store that is down - fail the task
             yield partition.day, None, "missing"
             return
         try:

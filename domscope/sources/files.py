@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -45,6 +46,27 @@ def _decoded_csv(spark: SparkSession, path: str, names: list[str], schema: str,
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
 
 
+def write_encoded_csv(df: DataFrame, path: str, encoding: str) -> None:
+    """CSV files with a header in any character set, one for each partition, in a folder that pyarrow opens."""
+    import pyarrow.fs as pafs
+
+    names = df.columns
+    pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1]) if "://" in path else pafs.LocalFileSystem().create_dir(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        rows = 0
+        with fs.open_output_stream(f"{inner}/{uuid.uuid4().hex}.csv", compression=None) as out:
+            for head, batch in enumerate(batches):
+                text = io.StringIO(newline="")
+                csv.writer(text).writerows(([] if head else [names]) + list(zip(*(c.to_pylist() for c in batch.columns))))
+                out.write(text.getvalue().encode(encoding))
+                rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+
+    df.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """The trimmed lines of a text file, without blank ones and remarks (#); what isn't UTF-8 is left out."""
     text = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))

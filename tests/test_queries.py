@@ -35,7 +35,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_all_vectors_and_hosts_have_a_row(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    assert QUERIES["lookalike_all"](spark, DATA).where("target IS NOT NULL").select("vec_id").distinct().count() == e.select("vec_id").distinct().count()
+    assert QUERIES["lookalike_match"](spark, DATA).where("target IS NOT NULL").select("vec_id").distinct().count() == e.select("vec_id").distinct().count()
     assert QUERIES["lookalike_hosts"](spark, DATA).first().total == QUERIES["host_normalise"](spark, DATA).where("host <> ''").select("host").distinct().count()
 
 
@@ -43,14 +43,14 @@ def test_hosts_of_odd_pages_count(spark, tmp_path):
     pages = [(1, "https://secure-login.alpha.com/x"), (2, "https://news.beta.org/"), (3, "https://secure-l0gin.alpha.com/"), (4, "https://secure-1ogin.alpha.com/"), (21, "https://www.alpha.com/")]
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     hosts = {u.split("/")[2] for _, u in pages}
-    best = {r.domain: r for r in QUERIES["actor_match_all"](spark, str(tmp_path)).where("rank = 1").collect()}
+    best = {r.domain: r for r in QUERIES["actor_match_top5"](spark, str(tmp_path)).where("rank = 1").collect()}
     assert set(best) == hosts and best["secure-login.alpha.com"].organization_id == 1 and best["www.alpha.com"].organization_id == 1 and best["secure-l0gin.alpha.com"].organization_id == 3
-    groups = {r.organization: r.domains for r in QUERIES["org_grouped_all"](spark, str(tmp_path)).collect()}
+    groups = {r.organization: r.domains for r in QUERIES["org_grouped_domains"](spark, str(tmp_path)).collect()}
     assert groups == {1: "secure-login.alpha.com,www.alpha.com", 2: "news.beta.org", 3: "secure-l0gin.alpha.com", 4: "secure-1ogin.alpha.com"}
-    alerts = QUERIES["alert_document_all"](spark, str(tmp_path)).collect()
+    alerts = QUERIES["alert_document"](spark, str(tmp_path)).collect()
     assert {r.domain for r in alerts} == hosts and all(r.risk_score >= 0.45 for r in alerts)
     near = {"secure-login.alpha.com", "secure-l0gin.alpha.com", "secure-1ogin.alpha.com"}
-    assert {r.domain for r in QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()} == near
+    assert {r.domain for r in QUERIES["edit_distance_candidates"](spark, str(tmp_path)).collect()} == near
 
 
 def test_forest_has_all_trees(spark, monkeypatch):
