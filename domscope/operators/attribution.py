@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import any_list
 from ..functions import labels
 from ..functions.labels import confidence, evidence_lines, profile_version, risk_level
+from ..functions.names import labels as labels_of
 from ..functions.names import char_grams, domain_keywords, domain_tlds, domain_tokens, normal_domain, pattern_score, sld, text_tokens, tld
-from ..plans.relational import first_by_key, top_by_key
+from ..plans.relational import first_by_key, numbered, top_by_key
 
 # The weights of what speaks for a match, and what is kept of the candidates.
 WEIGHTS = {"ioc": 0.45, "keyword": 0.2, "tld": 0.1, "pattern": 0.15, "label": 0.1}
@@ -60,15 +63,41 @@ def ioc_similarity(names: DataFrame, iocs: DataFrame) -> DataFrame:
     return shared.groupBy("domain", "organization_id").agg(F.max(F.struct(score.alias("ioc_score"), (-F.col("place")).alias("p"), "ioc")).alias("b")).select("domain", "organization_id", F.col("b.ioc").alias("ioc"), F.col("b.ioc_score").alias("ioc_score"))
 
 
-def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT) -> DataFrame:
+def last_labels(names: DataFrame) -> DataFrame:
+    """``names`` (domain) with sld and tld: the label before the last, and the last."""
+    return names.withColumns({"sld": sld(F.col("domain")), "tld": tld(F.col("domain"))})
+
+
+def public_suffixes(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A splitter like last_labels() by a table of suffixes (rule): ``com``, ``co.uk``, ``*.ck`` for any label there, or
+    ``!www.ck`` for a name that such a rule isn't meant for. The rule of most labels counts; without one the ending is
+    empty and sld the last label; an IPv4 address is its own sld. Endings meet rules in an equi-join."""
+    known = rules.select(F.lower(F.trim("rule")).alias("rule")).where("rule <> ''").distinct()
+
+    def split(names: DataFrame) -> DataFrame:
+        x = names.where(~F.col("domain").rlike(r"^\d+(\.\d+){3}$")).select("domain", labels_of(F.col("domain")).alias("l")).where(F.size("l") > 0).distinct()
+        ends = x.select("domain", "l", F.explode(F.sequence(F.lit(1), F.size("l"))).alias("n")).withColumn("end", F.array_join(F.slice("l", -F.col("n"), F.col("n")), "."))
+        forms = F.array(F.col("end"), F.concat(F.lit("!"), "end"), F.concat(F.lit("*"), F.substr("end", F.char_length(F.element_at("l", -F.col("n"))) + 1)))
+        hits = ends.select("domain", "n", F.explode(forms).alias("rule")).join(known, "rule")
+        # An exception is stronger than all others, and its own first label isn't part of the ending.
+        kept = hits.groupBy("domain").agg(F.max(F.when(F.startswith("rule", F.lit("!")), F.col("n") - 1)).alias("e"), F.max("n").alias("m"))
+        j = names.join(kept, "domain", "left").withColumns({"__l": labels_of(F.col("domain")), "__n": F.coalesce("e", "m", F.lit(0))}).drop("e", "m")
+        size = F.size("__l") - F.col("__n")
+        own = F.when(F.col("domain").rlike(r"^\d+(\.\d+){3}$"), F.col("domain")).otherwise(F.coalesce(F.get("__l", size - 1), F.lit("")))
+        return j.withColumns({"sld": own, "tld": F.array_join(F.slice("__l", size + 1, F.col("__n")), ".")}).drop("__l", "__n")
+
+    return split
+
+
+def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Callable[[DataFrame], DataFrame] = last_labels) -> DataFrame:
     """The best ``kept`` profiles of each domain with their scores and evidence, rank 1 first; equals by id.
 
     Scores come from equi-joins on trigrams, keywords, endings and labels. A profile that shares none of these
     with a domain scores the same as all such profiles, so of them only the first few can be among the best;
-    likewise of those that share the ending alone. No domain meets all profiles.
+    likewise of those that share the ending alone. No domain meets all profiles. ``split`` gives sld and tld.
     """
     d = domains.select(normal_domain(F.col("domain")).alias("domain")).where("domain <> ''").distinct()
-    d = d.select("domain", sld(F.col("domain")).alias("sld"), tld(F.col("domain")).alias("tld"), domain_tokens(F.col("domain")).alias("tokens"), char_grams(F.col("domain")).alias("grams"))
+    d = split(d).select("domain", "sld", "tld", domain_tokens(F.col("domain")).alias("tokens"), char_grams(F.col("domain")).alias("grams"))
     d = d.withColumn("pattern_score", pattern_score(F.col("tokens")))
     lower = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
     p = profs.select(
@@ -128,6 +157,14 @@ def best_matches(found: DataFrame) -> DataFrame:
     )
 
 
+def with_snapshot(matches: DataFrame, profs: DataFrame, split: Callable[[DataFrame], DataFrame] = last_labels) -> DataFrame:
+    """``matches`` with enrichment_snapshot, JSON: what the score saw of the domain, and how many profiles were scored."""
+    n = profs.agg(F.count(F.lit(1)).alias("candidate_count"))
+    seen = F.struct("domain", "sld", "tld", domain_tokens(F.col("domain")).alias("tokens"))
+    snapshot = F.to_json(F.struct(seen.alias("domain_features"), "candidate_count"))
+    return split(matches).join(F.broadcast(n)).select(*matches.columns, snapshot.alias("enrichment_snapshot"))
+
+
 def alert_items(high_risk: DataFrame, matches: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """One row for each domain of the alert, whatever its case, in order of position: the classifier's score, else
     the organization's, its level, organizations and evidence. ``scores``: domain, score, position; the last wins."""
@@ -188,6 +225,19 @@ def notice_text(groups: DataFrame) -> DataFrame:
     return g.select("total", "known", F.when(F.col("total") == 0, labels.NOTICE_NONE).otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n\n"))).alias("text"))
 
 
+def create_domains(domains: DataFrame, names: DataFrame, when: Column) -> DataFrame:
+    """``domains`` with a row for each name (domain) that none of them has, whatever its case, with the ids after the
+    largest; of spellings that differ in case alone the first. persist_matches() finds the ids there."""
+    key = F.lower(F.trim("domain"))
+    new = names.groupBy(key.alias("__key")).agg(F.min(F.trim("domain")).alias("domain_name")).where("__key <> ''")
+    new = new.join(domains.select(F.lower(F.trim("domain_name")).alias("__key")), "__key", "left_anti").select("domain_name")
+    last = domains.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    rows = numbered(new, "domain_name", "__n").join(F.broadcast(last))
+    kinds = dict(domains.dtypes)
+    rows = rows.select((F.col("__last") + F.col("__n")).cast(kinds["id"]).alias("id"), "domain_name", *([when.cast(kinds["created_at"]).alias("created_at")] if "created_at" in kinds else []))
+    return domains.unionByName(rows, allowMissingColumns=True)
+
+
 def persist_matches(stored: DataFrame, matches: DataFrame, domains: DataFrame, alert_id: str, when: Column) -> DataFrame:
     """``stored`` matches with those of an alert added, as pending, at 4 decimals; a pair of alert and domain
     that is there already is left as it is."""

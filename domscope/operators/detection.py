@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import percent_text
-from ..functions.lexical import NAMES, features
-from ..plans.relational import first_by_key
+from ..functions.lexical import NAMES, features, segments
+from ..plans.relational import first_by_key, numbered
 
 # What labels are called.
 MALICIOUS, BENIGN = "恶意", "正常"
 
 
-def with_features(df: DataFrame, domain: str = "domain") -> DataFrame:
-    """``df`` with the lexical features of the domain."""
-    return df.select("*", *features(F.col(domain)))
+def with_features(df: DataFrame, domain: str = "domain", segment: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``df`` with the lexical features of the domain; ``segment`` finds the words of long parts, once a row."""
+    if segment is None:
+        return df.select("*", *features(F.col(domain)))
+    cut = df.withColumn("__words", segments(F.col(domain), segment))
+    return cut.select(*df.columns, *features(F.col(domain), F.col("__words")))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): of each label about the share by a hash of the key, the same rows every time; no label
-    is gathered in one task."""
-    place = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(10_000))
-    cut = int(share * 10_000)
-    return df.where(place < cut), df.where(place >= cut)
+    """(train, test): the test part has the rest of the share, rounded up, and each label its part of both, what
+    remains going to the labels with the largest remainders, then to the smaller label. Which rows is settled by a hash
+    of the key, the same every time; no task holds a whole label."""
+    counts = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    everything = Window.partitionBy()  # of the counts: a row a label
+    total = F.sum("__n").over(everything)
+    fit = (total - F.ceil(F.round(total * (1 - share), 6))).cast("long")
+    quota = counts.withColumns({"__fit": fit, "__exact": F.col("__n") * fit / total}).withColumn("__take", F.floor("__exact"))
+    order = Window.orderBy(F.desc(F.round(F.col("__exact") - F.col("__take"), 9)), F.col("__l"))
+    left = F.col("__fit") - F.sum("__take").over(everything)
+    quota = quota.withColumn("__take", F.col("__take") + (F.row_number().over(order) <= left).cast("long")).select("__l", "__take")
+    hashed = df.withColumn("__key", F.xxhash64(F.col(key), F.lit(seed)))
+    placed = numbered(hashed, "__key", "__at", [label]).join(quota, F.col(label).eqNullSafe(F.col("__l")))
+    part = lambda test: placed.where(test).select(*df.columns)
+    return part(F.col("__at") <= F.col("__take")), part(F.col("__at") > F.col("__take"))
 
 
 def train(df: DataFrame, label: str = "label", columns: tuple[str, ...] = NAMES, kind: str = "forest", trees: int = 100, seed: int = 42) -> PipelineModel:

@@ -29,12 +29,12 @@ def official_targets(official: DataFrame, company: str = "company", domain: str
 
 def within_reach(candidates: DataFrame, targets: DataFrame, domain: str = "domain", target: str = "target", itself: bool = True) -> DataFrame:
     """The candidates whose key is within the edits that some target's key allows - a target of another name, if
-    ``itself`` is false. Only keys whose lengths are that close are compared: an equi-join on the length."""
+    ``itself`` is false. Only keys whose lengths are that close are compared: an equi-join on the length; a comparison ends once the bound is passed."""
     c = candidates.withColumn("__key", key_domain(F.trim(domain))).withColumn("__length", F.char_length("__key"))
     t = targets.select(key_domain(F.col(target)).alias("__t"), *([] if itself else [F.col(target).alias("__name")])).distinct().withColumn("__k", edit_bound(F.col("__t")))
     reach = F.explode(F.sequence(F.greatest(F.char_length("__t") - F.col("__k"), F.lit(0)), F.char_length("__t") + F.col("__k")))
     t = t.select("__t", "__k", *([] if itself else ["__name"]), reach.alias("__length"))
-    near = (c["__length"] == t["__length"]) & (F.levenshtein(F.col("__key"), F.col("__t")) <= F.col("__k"))
+    near = (c["__length"] == t["__length"]) & (F.call_function("levenshtein", F.col("__key"), F.col("__t"), F.col("__k")) >= 0)
     near = near if itself else near & (c[domain] != t["__name"])
     return c.join(t, near, "left_semi").drop("__key", "__length")
 

@@ -101,3 +101,17 @@ def missing_from(rows: DataFrame, key: str, *others: tuple[DataFrame, str]) -> D
         have = df.where(F.col(c).isNotNull()).select(F.col(c).alias("__have"))
         rows = rows.join(have, rows[key] == have["__have"], "left_anti")
     return rows
+
+
+def numbered(df: DataFrame, key: str, name: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+    """``df`` with a column ``name`` that counts its rows from 1, for each value of ``by`` if given, in an order that a
+    hash of the key fixes. A task sorts a bucket of hashes, never all rows; of rows with equal keys any comes first."""
+    by = by or []
+    b = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sums = b.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__b"), (F.sum("__n").over(W.partitionBy(*by).orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    placed = b.withColumn("__place", F.row_number().over(W.partitionBy(*by, "__bucket").orderBy(key, F.xxhash64(*df.columns))))
+    same = F.col("__bucket") == F.col("__b")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return placed.join(before, same).select(*df.columns, (F.col("__before") + F.col("__place")).alias(name))

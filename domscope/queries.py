@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import labels, lexical, names
 from .functions.cleaning import any_list, mixed_date, percent_text, pipe_list, relative_time, to_int
 from .operators import attribution, catalog, client, detection, entities, housekeeping, lookalike, situation
-from .plans.relational import insert_missing, latest_by_key, missing_from, page, top_by_key, update_from, with_fallback
+from .plans.relational import insert_missing, latest_by_key, missing_from, numbered, page, top_by_key, update_from, with_fallback
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
 from . import queries_files  # noqa: F401  registers its queries
@@ -544,6 +544,50 @@ def alert_document(spark, sf_dir):
     return _alert(spark, sf_dir, _profiles(spark, sf_dir))
 
 
+_RULES = ("com", "org", "example.com", "*.org", "!example.org", "nowhere")
+
+
+@query(rf"""
+WITH h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM {_HOSTS}),
+r AS (SELECT unnest({list(_RULES)!r}) AS rule),
+e AS (SELECT host, n, array_to_string(l[-n:], '.') AS e, '*' || substr(array_to_string(l[-n:], '.'), length(l[-n]) + 1) AS wild FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS n FROM h)),
+k AS (SELECT host, max(CASE WHEN '!' || e IN (SELECT rule FROM r) THEN n - 1 END) AS x, max(CASE WHEN e IN (SELECT rule FROM r) OR wild IN (SELECT rule FROM r) THEN n END) AS m FROM e GROUP BY host),
+c AS (SELECT h.host, l, coalesce(x, m, 0) AS n FROM h LEFT JOIN k ON h.host = k.host)
+SELECT host AS domain, CASE WHEN len(l) > n THEN l[len(l) - n] ELSE '' END AS sld, CASE WHEN n = 0 THEN '' ELSE array_to_string(l[-n:], '.') END AS tld FROM c
+""")
+def public_suffix_parts(spark, sf_dir):
+    """Hosts divided by a table of public suffixes, with rules for any label and an exception."""
+    rules = spark.createDataFrame([(r,) for r in _RULES], "rule string")
+    return attribution.public_suffixes(rules)(_hosts(spark, sf_dir).select(F.col("host").alias("domain")))
+
+
+@query(rf"""
+SELECT host AS domain, l[-2] AS sld, l[-1] AS tld, array_to_string(list_filter(regexp_split_to_array(host, '[-_.0-9]+'), lambda x: x <> ''), ' ') AS tokens,
+  (SELECT CAST(count(DISTINCT page_id % 20) AS BIGINT) FROM pages WHERE url IS NOT NULL) AS candidate_count FROM (SELECT host, string_split(host, '.') AS l FROM {_HOSTS})
+""")
+def match_snapshots(spark, sf_dir):
+    """What is kept beside a match of what its score saw, read back from its JSON."""
+    hosts = _hosts(spark, sf_dir).select(F.col("host").alias("domain"))
+    kind = "domain_features struct<domain: string, sld: string, tld: string, tokens: array<string>>, candidate_count long"
+    rows = attribution.with_snapshot(hosts, _profiles(spark, sf_dir)).select("domain", F.from_json("enrichment_snapshot", kind).alias("s"))
+    return rows.select("domain", "s.domain_features.sld", "s.domain_features.tld", F.array_join("s.domain_features.tokens", " ").alias("tokens"), "s.candidate_count")
+
+
+@query(rf"""
+WITH h AS (SELECT host FROM {_HOSTS}), n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM h), k AS (SELECT CAST(count(*) AS BIGINT) AS k FROM h WHERE host LIKE 'blog.%')
+SELECT host AS name, host NOT LIKE 'blog.%' AS fresh, n AS ids, n.n - k.k + 1000 AS last FROM h, n, k
+""")
+def domains_created(spark, sf_dir):
+    """Names that are no domains yet get the ids after the largest, without gaps."""
+    h = _hosts(spark, sf_dir)
+    there = h.where("startswith(host, 'blog.')").select(F.upper("host").alias("domain_name"), F.lit(1000).alias("id"))
+    there = numbered(there.drop("id"), "domain_name", "n").select((1001 - F.col("n")).cast("int").alias("id"), "domain_name")
+    all_names = h.select(F.col("host").alias("domain")).unionByName(h.select(F.initcap("host").alias("domain")))
+    rows = attribution.create_domains(there, all_names, F.lit(AS_OF))
+    sums = rows.agg(F.count_distinct("id").alias("ids"), F.max("id").cast("long").alias("last"))
+    return rows.select(F.lower("domain_name").alias("name"), (F.col("id") > 1000).alias("fresh")).join(F.broadcast(sums))
+
+
 # Look-alikes -----------------------------------------------------------------------------------------------
 
 _NAMED = "SELECT DISTINCT regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS t FROM pages WHERE url IS NOT NULL"
@@ -623,3 +667,26 @@ def train_and_score(spark, sf_dir):
     fit, held = detection.stratified_split(rows, "label", "page_id")
     model = detection.train(fit)
     return detection.metrics(detection.predict(model, held), "label", "predicted")
+
+
+@query("""
+WITH c AS (SELECT quality, toxic, toxic * 2 + quality AS label FROM labels), n AS (SELECT label, count(*) AS n FROM c GROUP BY label),
+f AS (SELECT label, n, sum(n) OVER () - ceil(round(sum(n) OVER () * 0.2::DOUBLE, 6)) AS fit, sum(n) OVER () AS total FROM n),
+q AS (SELECT label, n, fit, floor(n * fit / total) AS take, n * fit / total - floor(n * fit / total) AS rest FROM f),
+r AS (SELECT *, row_number() OVER (ORDER BY round(rest, 9) DESC, label) AS k, fit - sum(take) OVER () AS more FROM q)
+SELECT CAST(label AS INT) AS label, CAST(take + CASE WHEN k <= more THEN 1 ELSE 0 END AS BIGINT) AS fit, CAST(n - take - CASE WHEN k <= more THEN 1 ELSE 0 END AS BIGINT) AS held FROM r
+""")
+def split_shares(spark, sf_dir):
+    """How many rows of each of four labels are for training, and for the test."""
+    rows = _t(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") * 2 + F.col("quality")).cast("int").alias("label"))
+    fit, held = detection.stratified_split(rows, "label", "doc_id")
+    both = fit.withColumn("fit", F.lit(1)).unionByName(held.withColumn("fit", F.lit(0)))
+    return both.groupBy("label").agg(F.count(F.when(F.col("fit") == 1, 1)).alias("fit"), F.count(F.when(F.col("fit") == 0, 1)).alias("held"))
+
+
+@query()
+def segmented_features(spark, sf_dir):
+    """The features that depend on words, by a small dictionary of words."""
+    h = _hosts(spark, sf_dir)
+    segment = lexical.dictionary_segmenter({"ads": 9.0, "track": 8.0, "example": 40.0, "blog": 30.0, "the": 90.0, "ran": 4.0, "ren": 1.0, "her": 12.0, "tion": 1.0})
+    return detection.with_features(h, "host", segment).select("host", *[f"edit_{k}" for k in lexical.EDIT_WORDS], "words", "split_parts", "split_mean")

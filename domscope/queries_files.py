@@ -206,6 +206,30 @@ def alert_text(spark, sf_dir):
     return spark.read.text(path).select(F.lit(inner).alias("path"), F.from_json("value", "n long, total long, level string").alias("d")).select("path", "d.*")
 
 
+@query("""
+SELECT 'alerts' AS bucket, 'alerts/2024/01/05/user_7/subscription_s/task_t/alert_a/full_result.json' AS object_key, 'full_result.json' AS filename, CAST(octet_length(encode(d)) AS BIGINT) AS size, 'full_result' AS artifact_type, '7' AS user_id, d AS document
+FROM (SELECT '{"n":' || count(*) || ',"level":"高"}' AS d FROM part)
+""")
+def document_registered(spark, sf_dir):
+    """An alert's document with its row of the table of files, read back."""
+    root, when = scratch(spark, "files"), F.lit("2024-01-05 00:00:00")
+    inner = files.document_path(date(2024, 1, 5), 7, "s", "t", "a")
+    body = _t(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n")).select(F.to_json(F.struct("n", F.lit("高").alias("level"))).alias("document"))
+    row = files.document_row(body, "alerts", inner, {"alert_id": "a", "user_id": 7}, when)
+    files.store_document(body, f"{root}/alerts", inner, row, lambda r: files.append(r, f"{root}/files"))
+    metadata = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("artifact_type", "user_id")]
+    return spark.read.parquet(f"{root}/files").select("bucket", "object_key", "filename", "size", *metadata).join(spark.read.text(f"{root}/alerts/{inner}").select(F.col("value").alias("document")))
+
+
+@query("SELECT unnest(['one,1', 'two,2']) AS line, 36 + 1 AS key_length")
+def uploaded_object(spark, sf_dir):
+    """A file that a user uploads, stored under a random key and read by it."""
+    bucket = f"{scratch(spark, 'files')}/uploads"
+    key = files.put_object(spark, b"one,1\ntwo,2", "list.of.csv", bucket)
+    found = files.get_objects(spark, bucket, spark.createDataFrame([(key,)], "key string"))
+    return found.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"), (F.char_length("key") + 1).alias("key_length"))
+
+
 @query("SELECT event_id, user_id, CAST(NULL AS DOUBLE) AS weight FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, NULL FROM events WHERE event_id % 2 = 1")
 def appended_rows(spark, sf_dir):
     """Rows appended in two batches, read back with a column that the table lacks."""

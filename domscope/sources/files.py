@@ -6,7 +6,7 @@ import csv
 import io
 import itertools
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,6 +145,51 @@ def write_document(document: DataFrame, path: str) -> None:
     document.select("document").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put_object(spark: SparkSession, content: bytes, filename: str, bucket: str) -> str:
+    """Stores what a user uploads, which the caller holds anyway, and gives its key: a random name with the ending of
+    the file's. The folder is made if need be."""
+    key = f"{uuid.uuid4().hex}.{filename.rsplit('.', 1)[-1] if '.' in filename else ''}"
+    place, fs = _hadoop(spark, f"{bucket}/{key}")
+    out = fs.create(place, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return key
+
+
+def get_objects(spark: SparkSession, bucket: str, keys: DataFrame | None = None) -> DataFrame:
+    """key, content of the objects of a bucket, or of those that ``keys`` (key) names."""
+    found = spark.read.format("binaryFile").load(bucket).select(F.element_at(F.split("path", "/"), -1).alias("key"), "content")
+    return found if keys is None else found.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def document_row(document: DataFrame, bucket: str, key: str, facts: Mapping[str, str | int], when: Column) -> DataFrame:
+    """The row of the table files for a document of one row; ``facts`` are added to its metadata."""
+    fixed = {"source": "scheduled_alert", "artifact_type": "full_result", "file_format": "json", "schema_version": "v1"}
+    meta = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in {**fixed, **facts}.items()]))
+    return document.select(
+        F.lit(bucket).alias("bucket"), F.lit(key).alias("object_key"), F.lit(key.rsplit("/", 1)[-1]).alias("filename"),
+        F.octet_length("document").cast("long").alias("size"), meta.alias("metadata"), when.cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def store_document(document: DataFrame, bucket: str, key: str, row: DataFrame, register: Callable[[DataFrame], None]) -> None:
+    """Writes a document and registers its row; if that fails the document goes again, and the failure is passed on."""
+    write_document(document, f"{bucket}/{key}")
+    try:
+        register(row)
+    except Exception:
+        place, fs = _hadoop(document.sparkSession, f"{bucket}/{key}")
+        fs.delete(place, True)
+        raise
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -118,7 +118,7 @@ def test_look_alikes_of_all_names(spark):
 def test_detection(spark):
     rows = spark.createDataFrame([(f"{'a-b' if k % 2 else 'ab'}{k}.com", k % 2, k) for k in range(60)], "domain string, label int, id int")
     fit, held = detection.stratified_split(rows, "label", "id")
-    assert fit.count() + held.count() == 60 and fit.join(held, "id").count() == 0
+    assert (fit.count(), held.count()) == (48, 12) and fit.join(held, "id").count() == 0
     out = detection.predict(detection.train(detection.with_features(fit), trees=5), detection.with_features(held), threshold=0.5)
     assert detection.metrics(out, "label", "predicted").first().accuracy == 1.0
     svm = detection.predict(detection.train(detection.with_features(fit), kind="svm"), detection.with_features(held))
@@ -205,3 +205,89 @@ def test_schedules(spark):
     s = spark.createDataFrame([(1, True, datetime(2024, 1, 1, 9)), (2, True, datetime(2024, 1, 5)), (3, False, datetime(2024, 1, 1)), (4, True, datetime(2023, 12, 1))], "id int, is_active boolean, next_run_at timestamp_ntz")
     now = F.lit(datetime(2024, 1, 1, 9)).cast("timestamp_ntz")
     assert sorted(r.id for r in schedule.due(s, now).collect()) == [1, 4] and [r.id for r in schedule.missed(s, now).collect()] == [1]
+
+
+def test_split_is_exact(spark):
+    import math
+
+    rows = [(k, "abc"[0 if k % 10 < 7 else 1 if k % 10 < 9 else 2]) for k in range(103)] + [(500, None), (501, None), (7, "a"), (7, "a")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    fit, held = detection.stratified_split(df, "label", "id", 0.7)
+    n = {x: sum(r[1] == x for r in rows) for x in (None, "a", "b", "c")}
+    whole = len(rows) - math.ceil(len(rows) * 0.3)
+    exact = {x: k * whole / len(rows) for x, k in n.items()}
+    take = {x: int(e) for x, e in exact.items()}
+    for x in sorted(n, key=lambda x: (-(exact[x] - take[x]), x is not None, x or ""))[: whole - sum(take.values())]:
+        take[x] += 1
+    got = {r.label: r["count"] for r in fit.groupBy("label").count().collect()}
+    assert got == take and sorted(map(str, fit.unionByName(held).collect())) == sorted(map(str, df.collect()))
+    again = detection.stratified_split(df.repartition(3), "label", "id", 0.7)[0]
+    assert sorted(map(str, again.collect())) == sorted(map(str, fit.collect()))
+    empty = detection.stratified_split(df.limit(0), "label", "id")
+    assert empty[0].count() == empty[1].count() == 0
+
+
+def test_numbers_are_dense(spark):
+    df = spark.range(500).selectExpr("id", "id % 3 AS g", "CAST(NULL AS string) AS nothing")
+    assert sorted(r.n for r in relational.numbered(df, "id", "n").collect()) == list(range(1, 501))
+    by = relational.numbered(df, "id", "n", ["g", "nothing"], buckets=4).groupBy("g").agg(F.sort_array(F.collect_list("n")).alias("n")).collect()
+    assert all(r.n == list(range(1, len(r.n) + 1)) for r in by) and len(by) == 3
+
+
+def test_segmenter_is_brute_force():
+    import itertools
+    import math
+    import random
+
+    from domscope.functions import lexical
+
+    words = {"mail": 50, "server": 40, "serv": 3, "er": 2, "army": 10, "my": 30, "ar": 1, "log": 8, "in": 60, "login": 20}
+    pairs, total = {"mail server": 30, "log in": 7.9, "my mail": 11}, 224.0
+
+    def score(ws):
+        s = 0
+        for before, w in zip(["<s>", *ws], ws):
+            pair = pairs.get(f"{before} {w}") if before in words else None
+            s += math.log10(pair / words[before]) if pair else math.log10(words[w] / total) if w in words else math.log10(10 / (total * 10 ** len(w)))
+        return s
+
+    random.seed(3)
+    for _ in range(60):
+        t = "".join(random.choice([*words, "q", "zz"]) for _ in range(3))[:13]
+        cuts = ([0, *c, len(t)] for k in range(len(t)) for c in itertools.combinations(range(1, len(t)), k))
+        best = max(score([t[a:b] for a, b in zip(c, c[1:])]) for c in cuts)
+        got = lexical.segmented(t, words, pairs, total)
+        assert "".join(got) == t and abs(score(got) - best) < 1e-9
+    assert lexical.segmented("", words, pairs, total) == [] and lexical.segmented("-.", words, pairs, total) == []
+    assert "".join(lexical.segmented("x" * 400, words, pairs, total)) == "x" * 400
+
+
+def test_features_with_a_dictionary(spark):
+    from domscope.functions import lexical
+
+    segment = lexical.dictionary_segmenter({"mail": 50, "server": 40, "login": 20, "gov": 9})
+    rows = spark.createDataFrame([("mailserver12-login.com",), ("12345678.com",), ("",), (None,)], "d string")
+    got = detection.with_features(rows, "d", segment).collect()
+    r = got[0]
+    assert (r.words, r.split_parts, r.split_mean, r.edit_mail) == (4.0, 1.0, 12.0, 0.0)
+    assert (got[1].words, got[1].split_parts) == (1.0, 0.0) and got[2].words == 1.0
+
+
+def test_public_suffixes(spark):
+    rules = spark.createDataFrame([(r,) for r in ("com", "uk", "co.uk", "*.ck", "!www.ck", None, " ")], "rule string")
+    names = ["a.b.com", "com", "x.y.co.uk", "co.uk", "shop.any.ck", "www.ck", "a.www.ck", "10.0.0.1", "x.unknown", "unknown", ""]
+    got = {r.domain: (r.sld, r.tld) for r in attribution.public_suffixes(rules)(spark.createDataFrame([(n,) for n in names], "domain string")).collect()}
+    assert got == {"a.b.com": ("b", "com"), "com": ("", "com"), "x.y.co.uk": ("y", "co.uk"), "co.uk": ("", "co.uk"), "shop.any.ck": ("shop", "any.ck"), "www.ck": ("www", "ck"), "a.www.ck": ("www", "ck"), "10.0.0.1": ("10.0.0.1", ""), "x.unknown": ("unknown", ""), "unknown": ("unknown", ""), "": ("", "")}
+    profs = spark.createDataFrame([(1, "Y", [], [], [], ["co.uk"], "v")], PROFILE)
+    r = attribution.candidates(spark.createDataFrame([("x.y.co.uk",)], "domain string"), profs, split=attribution.public_suffixes(rules)).first()
+    assert r.tld_hit and r.label_hit
+
+
+def test_domains_are_created_once(spark):
+    there = spark.createDataFrame([(4, "A.com"), (9, "b.com")], "id int, domain_name string")
+    names = spark.createDataFrame([("a.COM",), ("new.org ",), ("NEW.org",), ("x.net",), (" ",), (None,)], "domain string")
+    once = attribution.create_domains(there, names, F.lit("2024-01-01"))
+    rows = {r.domain_name: r.id for r in once.collect()}
+    assert set(rows) == {"A.com", "b.com", "NEW.org", "x.net"} and {rows["NEW.org"], rows["x.net"]} == {10, 11} and once.dtypes == there.dtypes
+    assert attribution.create_domains(once, names, F.lit("2024-01-01")).count() == 4
+    assert attribution.create_domains(there.limit(0), names, F.lit("2024-01-01")).agg(F.max("id")).first()[0] == 3

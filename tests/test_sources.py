@@ -106,3 +106,34 @@ def test_spreadsheets(spark, tmp_path):
         xlsx.read_xlsx(spark, path, "钓鱼域名列表").count()
     xlsx.write_result_book(path, df, df.limit(1), df.where("domain = 'a.com'"), "impersonation")
     assert xlsx.read_xlsx(spark, path, "钓鱼域名列表").count() == 1
+
+
+def test_jdbc(spark):
+    from domscope.sources import jdbc
+
+    url, driver = "jdbc:derby:memory:scan;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).selectExpr("id", "id % 7 AS g", "CAST(id AS string) AS name")
+    jdbc.write_jdbc(rows.union(spark.sql("SELECT NULL, NULL, 'none'")), url, "things", driver=driver, connections=1)
+    got = jdbc.jdbc_table(spark, url, "things", split_on="id", parts=4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 101 and got.where("id IS NULL").count() == 1
+    plan = got.where("G = 3").select("NAME")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(g,3)" in plan and "ReadSchema: struct<name:string>" in plan
+    assert jdbc.jdbc_table(spark, url, "things", driver=driver).where("G = 3").count() == 14
+    assert jdbc.jdbc_table(spark, url, "(SELECT * FROM things WHERE \"id\" < 0) t", split_on="id", driver=driver).count() == 0
+
+
+def test_a_document_goes_when_its_row_fails(spark, tmp_path):
+    import os
+
+    import pytest
+
+    body = spark.createDataFrame([("{}",)], "document string")
+
+    def fails(row):
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        files.store_document(body, str(tmp_path), "a/full.json", body, fails)
+    assert not os.path.exists(f"{tmp_path}/a/full.json")
+    with pytest.raises(Exception):
+        files.get_objects(spark, f"{tmp_path}/none").count()
