@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,26 +109,22 @@ def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Ca
     )
     iocs = p.select("organization_id", F.posexplode("previous_domains").alias("place", "ioc")).withColumn("ioc", normal_domain(F.col("ioc"))).where("ioc <> ''")
     by_ioc = ioc_similarity(d, iocs)
-    words = d.select("domain", F.explode(F.array_distinct("tokens")).alias("w")).join(p.select("organization_id", F.explode("kw").alias("w"), F.size("kw").alias("nk")), "w")
-    by_word = words.groupBy("domain", "organization_id").agg(F.array_sort(F.collect_list("w")).alias("keyword_overlap"), (F.count(F.lit(1)) / F.first("nk")).alias("keyword_score"))
+    by_word = d.select("domain", F.explode(F.array_distinct("tokens")).alias("word")).join(p.select("organization_id", F.explode("kw").alias("word")), "word")
     by_label = d.where("sld <> ''").join(p.select("organization_id", F.explode("words").alias("sld")), "sld").select("domain", "organization_id")
     tlds = p.select("organization_id", F.explode("tlds").alias("tld")).distinct()
     by_tld = d.where("tld <> ''").select("domain", "tld").join(top_by_key(tlds, ["tld"], [F.col("organization_id")], kept), "tld").select("domain", "organization_id")
     first = p.select("organization_id").orderBy("organization_id").limit(kept).agg(F.collect_list("organization_id").alias("ids"))
     by_default = d.select("domain").join(F.broadcast(first)).select("domain", F.explode("ids").alias("organization_id"))
-    pairs = by_ioc.select("domain", "organization_id").union(by_word.select("domain", "organization_id")).union(by_label).union(by_tld).union(by_default).distinct()
-    full = (
-        pairs.join(d.select("domain", "tld", "sld", "pattern_score"), "domain")
-        .join(p.select("organization_id", "name", "tlds", "words"), "organization_id")
-        .join(by_ioc, ["domain", "organization_id"], "left")
-        .join(by_word, ["domain", "organization_id"], "left")
-    )
+    # What speaks for a pair meets in one aggregation, however many kinds of evidence there are.
+    kinds = {"ioc": "string", "ioc_score": "double", "word": "string"}
+    rows = [df.select("domain", "organization_id", *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]) for df in (by_ioc, by_word, by_label, by_tld, by_default)]
+    pairs = reduce(DataFrame.union, rows).groupBy("domain", "organization_id").agg(F.max("ioc").alias("ioc"), F.max("ioc_score").alias("ioc_score"), F.array_sort(F.collect_list("word")).alias("keyword_overlap"))
+    full = pairs.join(d.select("domain", "tld", "sld", "pattern_score"), "domain").join(p.select("organization_id", "name", "tlds", "words", F.size("kw").alias("nk")), "organization_id")
     zero = F.lit(0.0)
     full = full.withColumns(
         {
             "ioc_score": F.coalesce("ioc_score", zero),
-            "keyword_score": F.coalesce("keyword_score", zero),
-            "keyword_overlap": F.coalesce("keyword_overlap", F.array().cast("array<string>")),
+            "keyword_score": F.when(F.size("keyword_overlap") > 0, F.size("keyword_overlap") / F.col("nk")).otherwise(zero),
             "tld_hit": (F.col("tld") != "") & F.array_contains("tlds", F.col("tld")),
             "label_hit": (F.col("sld") != "") & F.array_contains("words", F.col("sld")),
         }
@@ -184,7 +181,7 @@ def alert_items(high_risk: DataFrame, matches: DataFrame, scores: DataFrame | No
 
 
 def alert_document(alert: DataFrame, items: DataFrame) -> DataFrame:
-    """``alert`` - one row - with the document: version, the alert, counts, its domains in order, as JSON."""
+    """``alert`` - one row - with the document: version, the alert, counts, its domains in order, as JSON in lines that people can read."""
     body = F.struct("position", "domain", "risk_score", "risk_level", F.struct(F.col("organization_score")).alias("scores"), "matched_organizations", "top_candidates", F.struct("evidence", "evidence_lines").alias("evidence_summary"))
     listed = items.agg(F.array_sort(F.collect_list(body)).alias("__items"))
     j = alert.crossJoin(listed)  # two frames of one row
@@ -197,7 +194,7 @@ def alert_document(alert: DataFrame, items: DataFrame) -> DataFrame:
         F.transform("__items", lambda x: x.dropFields("position")).alias("high_risk_domains"),
         F.struct(F.lit("subscription_alert").alias("source")).alias("meta"),
     )
-    return j.select(*alert.columns, F.to_json(document).alias("document"))
+    return j.select(*alert.columns, F.to_json(document, {"pretty": "true"}).alias("document"))
 
 
 def version_of(matched: DataFrame, profs: DataFrame) -> DataFrame:

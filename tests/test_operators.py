@@ -56,7 +56,9 @@ def test_alert_document(spark):
     import json
 
     alert = spark.createDataFrame([("a", 9)], "alert_id string, detected_count int")
-    d = json.loads(attribution.alert_document(alert, items).first().document)
+    text = attribution.alert_document(alert, items).first().document
+    assert text.startswith('{\n  "schema_version" : "v1",\n') and "未" not in text.split("evidence_lines")[0]
+    d = json.loads(text)
     assert d["schema_version"] == "v1" and d["summary"] == {"detected_count": 9, "high_risk_count": 2} and [x["domain"] for x in d["high_risk_domains"]] == ["Mail-Login.zeta.com", "un.known"]
     groups = attribution.by_organization(best)
     assert [(r.organization, r.n, r.known) for r in groups.collect()] == [("Zeta", 1, True), ("未知", 1, False)]
