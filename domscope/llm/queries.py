@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op13
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 
 QUERIES = {
     "op1_pii": op1.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontaminate": op8.op8_decontaminate,
     "op9_toxicity": op9.op9_toxicity,
     "op10_byte_bpe": op10.op10_byte_bpe,
+    "op11_licenses": op11.op11_licenses,
+    "op12_divergence": op12.op12_divergence,
     "op13_merkle": op13.op13_merkle,
 }
 
@@ -25,5 +27,6 @@ ORACLE_SQL = {
     "op6_near_copies": op6.ORACLE,
     "op7_topk": op7.ORACLE,
     "op8_decontaminate": op8.ORACLE,
+    "op12_divergence": op12.ORACLE,
     "op13_merkle": op13.ORACLE,
 }
