@@ -14,6 +14,8 @@ from ..functions.labels import confidence, evidence_lines, profile_version, risk
 from ..functions.names import labels as labels_of
 from ..functions.names import char_grams, domain_keywords, domain_tlds, domain_tokens, normal_domain, pattern_score, sld, text_tokens, tld
 from ..plans.relational import first_by_key, numbered, top_by_key
+from ..session import stored
+from . import similar_sets
 
 # The weights of what speaks for a match, and what is kept of the candidates.
 WEIGHTS = {"ioc": 0.45, "keyword": 0.2, "tld": 0.1, "pattern": 0.15, "label": 0.1}
@@ -55,13 +57,13 @@ def profiles(organizations: DataFrame, domains: DataFrame) -> DataFrame:
 def ioc_similarity(names: DataFrame, iocs: DataFrame) -> DataFrame:
     """domain, organization_id, ioc, ioc_score: for each pair that shares a trigram the most similar of the
     organization's known domains by Jaccard; of equals the first. ``names``: domain, grams; ``iocs``:
-    organization_id, place, ioc. An equi-join on trigrams and a count, exact and without pairs that share none."""
-    i = iocs.withColumn("grams", char_grams(F.col("ioc"))).withColumn("ni", F.size("grams"))
-    grams = i.select("organization_id", "place", "ioc", "ni", F.explode("grams").alias("g"))
-    own = names.select("domain", F.size("grams").alias("nd"), F.explode("grams").alias("g"))
-    shared = own.join(grams, "g").groupBy("domain", "nd", "organization_id", "place", "ioc", "ni").agg(F.count(F.lit(1)).alias("k"))
-    score = F.col("k") / (F.col("nd") + F.col("ni") - F.col("k"))
-    return shared.groupBy("domain", "organization_id").agg(F.max(F.struct(score.alias("ioc_score"), (-F.col("place")).alias("p"), "ioc")).alias("b")).select("domain", "organization_id", F.col("b.ioc").alias("ioc"), F.col("b.ioc_score").alias("ioc_score"))
+    organization_id, place, ioc. Exact, see similar_sets; candidates() needs only some of these pairs."""
+    found = similar_sets.most_similar_of_each(names.select(F.col("domain").alias("own"), "grams"), _known_sets(iocs), "organization_id")
+    return found.select(F.col("own").alias("domain"), "organization_id", F.col("name").alias("ioc"), F.col("score").alias("ioc_score"))
+
+
+def _known_sets(iocs: DataFrame) -> DataFrame:
+    return iocs.select("organization_id", "place", F.col("ioc").alias("name"), char_grams(F.col("ioc")).alias("grams"))
 
 
 def last_labels(names: DataFrame) -> DataFrame:
@@ -90,12 +92,14 @@ def public_suffixes(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return split
 
 
-def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Callable[[DataFrame], DataFrame] = last_labels) -> DataFrame:
+def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Callable[[DataFrame], DataFrame] = last_labels, most: int = similar_sets.MOST) -> DataFrame:
     """The best ``kept`` profiles of each domain with their scores and evidence, rank 1 first; equals by id.
 
-    Scores come from equi-joins on trigrams, keywords, endings and labels. A profile that shares none of these
+    Scores come from equi-joins on rare trigrams, keywords, endings and labels. A profile that shares none of these
     with a domain scores the same as all such profiles, so of them only the first few can be among the best;
-    likewise of those that share the ending alone. No domain meets all profiles. ``split`` gives sld and tld.
+    likewise of those that share the ending alone. What common trigrams (``com`` and the like) make alike is the same for all
+    domains of a class: of it, too, the first few profiles are enough, with the domain's ending and whatever theirs is, and for
+    a pair that something else speaks for the class is looked up. No domain meets all profiles. ``split`` gives sld and tld; a trigram that more than ``most`` known domains have is common.
     """
     d = domains.select(normal_domain(F.col("domain")).alias("domain")).where("domain <> ''").distinct()
     d = split(d).select("domain", "sld", "tld", domain_tokens(F.col("domain")).alias("tokens"), char_grams(F.col("domain")).alias("grams"))
@@ -108,17 +112,31 @@ def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Ca
         F.array_distinct(F.concat(text_tokens(F.col("name")), F.flatten(F.transform("alias", text_tokens)))).alias("words"),
     )
     iocs = p.select("organization_id", F.posexplode("previous_domains").alias("place", "ioc")).withColumn("ioc", normal_domain(F.col("ioc"))).where("ioc <> ''")
-    by_ioc = ioc_similarity(d, iocs)
+    known = stored(similar_sets.ordered(_known_sets(iocs), _known_sets(iocs), most), "known-sets")
+    own = stored(similar_sets.ordered(d.select(F.col("domain").alias("own"), "tld", "grams"), known, most), "own-sets")
+    best = lambda rows: rows.select(F.col("own").alias("domain"), "organization_id", F.col("name").alias("ioc"), "place", F.col("score").alias("ioc_score"))
+    by_rare = best(similar_sets.rare_pairs(own, known, ["organization_id"]))
+    classes = stored(similar_sets.class_best(own, known, ["organization_id"]), "classes")
     by_word = d.select("domain", F.explode(F.array_distinct("tokens")).alias("word")).join(p.select("organization_id", F.explode("kw").alias("word")), "word")
     by_label = d.where("sld <> ''").join(p.select("organization_id", F.explode("words").alias("sld")), "sld").select("domain", "organization_id")
     tlds = p.select("organization_id", F.explode("tlds").alias("tld")).distinct()
     by_tld = d.where("tld <> ''").select("domain", "tld").join(top_by_key(tlds, ["tld"], [F.col("organization_id")], kept), "tld").select("domain", "organization_id")
     first = p.select("organization_id").orderBy("organization_id").limit(kept).agg(F.collect_list("organization_id").alias("ids"))
     by_default = d.select("domain").join(F.broadcast(first)).select("domain", F.explode("ids").alias("organization_id"))
+    # Of a class the first profiles of any ending, and those of each ending that its domains have.
+    alike = [F.desc("score"), F.col("organization_id")]
+    mine = own.select("own", "tld", F.size("grams").alias("nx"), "common")
+    of_any = mine.join(top_by_key(classes, ["nx", "common"], alike, kept), ["nx", "common"])
+    ended = mine.select("nx", "common", "tld").distinct().join(classes.join(tlds.withColumnRenamed("tld", "end"), "organization_id"), ["nx", "common"]).where("tld = end")
+    of_end = mine.join(top_by_key(ended, ["nx", "common", "tld"], alike, kept), ["nx", "common", "tld"])
     # What speaks for a pair meets in one aggregation, however many kinds of evidence there are.
-    kinds = {"ioc": "string", "ioc_score": "double", "word": "string"}
-    rows = [df.select("domain", "organization_id", *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]) for df in (by_ioc, by_word, by_label, by_tld, by_default)]
-    pairs = reduce(DataFrame.union, rows).groupBy("domain", "organization_id").agg(F.max("ioc").alias("ioc"), F.max("ioc_score").alias("ioc_score"), F.array_sort(F.collect_list("word")).alias("keyword_overlap"))
+    kinds = {"ioc": "string", "ioc_score": "double", "place": "int", "word": "string"}
+    widen = lambda df: df.select("domain", "organization_id", *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+    rows = [widen(df) for df in (by_rare, best(of_any), best(of_end), by_word, by_label, by_tld, by_default)]
+    met = stored(reduce(DataFrame.union, rows).groupBy("domain", "organization_id").agg(F.min(F.when(F.col("ioc_score").isNotNull(), F.struct((-F.col("ioc_score")).alias("s"), "place", "ioc"))).alias("best"), F.array_sort(F.collect_list("word")).alias("keyword_overlap")), "evidence")
+    looked = met.join(mine.withColumnRenamed("own", "domain"), "domain").join(classes, ["nx", "common", "organization_id"], "left")
+    common = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("place"), F.col("name").alias("ioc")))
+    pairs = looked.withColumn("best", F.least("best", common)).select("domain", "organization_id", F.col("best.ioc").alias("ioc"), (-F.col("best.s")).alias("ioc_score"), "keyword_overlap")
     full = pairs.join(d.select("domain", "tld", "sld", "pattern_score"), "domain").join(p.select("organization_id", "name", "tlds", "words", F.size("kw").alias("nk")), "organization_id")
     zero = F.lit(0.0)
     full = full.withColumns(

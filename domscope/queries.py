@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels, lexical, names
 from .functions.cleaning import any_list, mixed_date, percent_text, pipe_list, relative_time, to_int
-from .operators import attribution, catalog, client, detection, entities, housekeeping, lookalike, situation
+from .operators import attribution, catalog, client, detection, entities, housekeeping, lookalike, similar_sets, situation
 from .plans.relational import insert_missing, latest_by_key, missing_from, numbered, page, top_by_key, update_from, with_fallback
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
@@ -456,11 +456,9 @@ p AS (SELECT a.host AS domain, b.host AS ioc, len(list_intersect(a.g, b.g)) / (l
 SELECT domain, ioc, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY s DESC, ioc) AS k FROM p) WHERE k = 1
 """)
 def ngram_jaccard_top(spark, sf_dir):
-    h = _hosts(spark, sf_dir).select("host", names.char_grams(F.col("host")).alias("g"), F.size(names.char_grams(F.col("host"))).alias("n"))
-    one = h.select("host", "n", F.explode("g").alias("g"))
-    pairs = one.alias("a").join(one.alias("b"), F.expr("a.g = b.g AND a.host <> b.host")).groupBy(F.col("a.host").alias("domain"), F.col("b.host").alias("ioc"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    scored = pairs.withColumn("s", F.col("k") / (F.col("x") + F.col("y") - F.col("k")))
-    return top_by_key(scored, ["domain"], [F.desc("s"), F.col("ioc")], 1).select("domain", "ioc", F.round("s", 9).alias("score"))
+    h = _hosts(spark, sf_dir).select(F.col("host").alias("own"), names.char_grams(F.col("host")).alias("grams"))
+    best = similar_sets.most_similar(h, h.select(F.col("own").alias("name"), F.col("own").alias("place"), "grams"), itself=False)
+    return best.select(F.col("own").alias("domain"), F.col("name").alias("ioc"), F.round("score", 9).alias("score"))
 
 
 _ANY = lambda words: "(" + " OR ".join(f"list_contains(t, '{w}')" for w in words) + ")"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere, ANSI errors instead of silent nulls, and run-time replanning for skew and small inputs.
 SETTINGS = {
@@ -38,3 +38,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
     return path if "://" in path else path.replace("file:", "file://", 1)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several jobs read is computed once, and is not lost with an executor."""
+    path = f"{scratch(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

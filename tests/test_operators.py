@@ -26,7 +26,8 @@ def brute_scores(domain, profile):
     return 0.45 * ioc + 0.2 * (len(tokens & set(keywords)) / len(keywords) if keywords else 0) + 0.1 * (parts[-1] in tlds) + 0.15 * pattern + 0.1 * (parts[-2] in words)
 
 
-def test_attribution_equals_all_pairs(spark):
+@pytest.mark.parametrize("most", [200, 3, 0])
+def test_attribution_equals_all_pairs(spark, most):
     import random
 
     random.seed(4)
@@ -35,7 +36,7 @@ def test_attribution_equals_all_pairs(spark):
     profs = [(k, f"Team {word()}", [word()], [name() for _ in range(random.randint(0, 4))], [word() for _ in range(random.randint(0, 2))], random.sample(["com", "org", "top", "info"], random.randint(0, 2)), "v") for k in range(25)]
     profs = [(o, n, a, i, sorted({*k}), t, v) for o, n, a, i, k, t, v in profs]
     domains = sorted({name() for _ in range(40)} | {"nothing.xyz", "qqq.qq"})
-    found = attribution.candidates(spark.createDataFrame([(d,) for d in domains], "domain string"), spark.createDataFrame(profs, PROFILE))
+    found = attribution.candidates(spark.createDataFrame([(d,) for d in domains], "domain string"), spark.createDataFrame(profs, PROFILE), most=most)
     got = {}
     for r in found.collect():
         got.setdefault(r.domain, []).append((r.rank, r.organization_id, round(r.score, 9)))
