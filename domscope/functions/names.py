@@ -93,9 +93,18 @@ def key_domain(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("."), F.lit(""))
 
 
+#: The most edits that edit_bound() allows.
+MOST_EDITS = 6
+
+
+def edits_of_length(n: Column) -> Column:
+    """The edits allowed for a key of n characters: half of them, 2 to 6."""
+    return F.greatest(F.lit(2), F.least(F.lit(MOST_EDITS), F.floor(n / 2).cast("int")))
+
+
 def edit_bound(key: Column) -> Column:
-    """The edits allowed for a key: half its length, 2 to 6."""
-    return F.greatest(F.lit(2), F.least(F.lit(6), F.floor(F.char_length(key) / 2).cast("int")))
+    """The edits allowed for a key."""
+    return edits_of_length(F.char_length(key))
 
 
 def similarity_bound(key: Column, override: float | None = None) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def all_of(terms: Iterable[Column | None]) -> Column:
     """The conjunction of the terms that are given; true without any."""
@@ -115,3 +117,18 @@ def numbered(df: DataFrame, key: str, name: str, by: list[str] | None = None, bu
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     return placed.join(before, same).select(*df.columns, (F.col("__before") + F.col("__place")).alias(name))
+
+
+def in_order(df: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """``df``, stored, with a column ``name`` that counts its rows from 1 by ``order`` (nulls first), for each value of ``by`` if given. Rows
+    are sorted by ranges, and what is before a range is a sum over ranges, so no value of ``by`` has to fit in a task."""
+    by, row = by or [], "__row"
+    sort = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    kept = stored(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn(row, F.monotonically_increasing_id()), "in-order")
+    part = F.call_function("shiftright", F.col(row), F.lit(33))
+    own = [F.col(c).alias(f"__{c}") for c in by]
+    sums = kept.groupBy(*own, part.alias("__part")).agg(F.min(row).alias("__low"), F.count(F.lit(1)).alias("__n"))
+    window = W.partitionBy(*[f"__{c}" for c in by]).orderBy("__part")
+    before = sums.withColumn("__before", F.sum("__n").over(window) - F.col("__n"))
+    same = all_of([part == F.col("__part"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]])
+    return kept.join(before, same).select(*df.columns, (F.col(row) - F.col("__low") + F.col("__before") + 1).alias(name))

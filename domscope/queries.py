@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import labels, lexical, names
 from .functions.cleaning import any_list, mixed_date, percent_text, pipe_list, relative_time, to_int
 from .operators import attribution, catalog, client, detection, entities, housekeeping, lookalike, similar_sets, situation
-from .plans.relational import insert_missing, latest_by_key, missing_from, numbered, page, top_by_key, update_from, with_fallback
+from .plans.relational import in_order, insert_missing, latest_by_key, missing_from, numbered, page, top_by_key, update_from, with_fallback
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
 from . import queries_files  # noqa: F401  registers its queries
@@ -613,12 +613,27 @@ def lookalike_match(spark, sf_dir):
     return best.select("vec_id", "target", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.35).alias("matched"))
 
 
-@query()
+_COSINE = "CASE WHEN list_sum(list_transform(a.{0}, lambda x: x * x)) * list_sum(list_transform(b.{0}, lambda x: x * x)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, 65), lambda i: a.{0}[i] * b.{0}[i])) / sqrt(list_sum(list_transform(a.{0}, lambda x: x * x))) / sqrt(list_sum(list_transform(b.{0}, lambda x: x * x))) END"
+_SLOTS = "list_transform({0}, lambda g: CAST('0x' || substr(md5(g), 1, 4) AS INT) % 64)"
+_COUNTS = "list_transform(range(64), lambda k: CAST(len(list_filter({0}, lambda s: s = k)) AS DOUBLE))"
+
+
+@query(rf"""
+WITH h AS (SELECT DISTINCT host, replace(host, '.', '') AS k FROM {_HOSTS} WHERE host <> ''),
+slots AS (SELECT host, k, {_SLOTS.format(_GRAMS.format("host"))} AS f, {_SLOTS.format(_GRAMS.format("k"))} AS g FROM h),
+v AS MATERIALIZED (SELECT host, k, {_COUNTS.format("f")} AS f, {_COUNTS.format("g")} AS g FROM slots),
+near AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM h WHERE h.host <> v.host AND levenshtein(v.k, h.k) <= greatest(2, least(6, length(h.k) // 2)))),
+s AS (SELECT a.host AS domain, b.host AS target, length(b.k) AS n, 0.7 * ({_COSINE.format("g")}) + 0.3 * ({_COSINE.format("f")}) AS s FROM near a JOIN v b ON a.host <> b.host),
+m AS (SELECT domain, target, 'Owner of ' || target AS company, printf('%.4f', CAST(s AS DOUBLE)) AS similarity, 'semantic' AS match_type
+  FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY round(CAST(s AS DOUBLE), 12) DESC, target) AS r FROM s) WHERE r = 1 AND s > CASE WHEN n <= 4 THEN 0.92 WHEN n <= 6 THEN 0.88 ELSE 0.85 END),
+t AS (SELECT CAST((SELECT count(*) FROM h) AS BIGINT) AS total, CAST((SELECT count(*) FROM m) AS BIGINT) AS phishing)
+SELECT total, phishing, total - phishing AS benign, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * phishing / total END AS phishing_rate, m.* FROM t LEFT JOIN m ON TRUE
+""".replace("'semantic'", f"'{labels.MATCH_TYPE}'"))
 def lookalike_hosts(spark, sf_dir):
     """The whole operator: every host against all other hosts, with the statistics beside each match."""
-    hosts = _hosts(spark, sf_dir).where("host <> ''")
-    official = hosts.select(F.concat(F.lit("Owner of "), "host").alias("company"), F.col("host").alias("domain"), F.xxhash64("host").alias("position"))
-    matches, stats = lookalike.look_alikes(hosts.select(F.col("host").alias("domain")), official, itself=False)
+    hosts = _hosts(spark, sf_dir).where("host <> ''").select(F.col("host").alias("domain"))
+    official = in_order(hosts, ["domain"], "position").select(F.concat(F.lit("Owner of "), "domain").alias("company"), "domain", "position")
+    matches, stats = lookalike.look_alikes(hosts, official, itself=False)
     return stats.join(matches, how="left")
 
 

@@ -111,6 +111,25 @@ def test_best_target_is_brute_force(spark, monkeypatch):
     assert all(abs(got[i].similarity + s) < 1e-8 for i, (s, _) in want.items())
 
 
+def test_lots_out_of_reach_are_left_out(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lookalike, "LOT", 10)
+    rng = np.random.default_rng(2)
+    spots = rng.normal(size=(20, 8))
+    rows = [(k, (spots[k % 20] * 9 + rng.normal(size=8) * 0.3).tolist()) for k in range(400)]
+    e = spark.createDataFrame(rows, "id long, v array<double>").withColumn("o", F.col("id"))
+    sent = []
+    elsewhere = lookalike._elsewhere
+    monkeypatch.setattr(lookalike, "_elsewhere", lambda *a: sent.append(elsewhere(*a)) or sent[-1])
+    got = {r.id: r.target for r in lookalike.best_target(e, e, {"v": 1.0}, "id", "id", "o", itself=False).collect()}
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    scores = unit @ unit.T - 2 * np.eye(400)
+    assert got == {k: int(scores[k].argmax()) for k in range(400)}
+    assert sent[0].count() < 400 * 40 * 0.2
+
+
 def test_look_alikes_of_all_names(spark):
     official = spark.createDataFrame([("A", "example.com", 1), ("B", "examp1e.com", 2), ("C", "completely-other.org", 3)], "company string, domain string, position int")
     matches, stats = lookalike.look_alikes(official.select("domain"), official, threshold=0.3, itself=False)
