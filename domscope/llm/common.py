@@ -70,6 +70,13 @@ def forget(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.scratch)
 
 
+def fresh(names: list[str], name: str) -> str:
+    """``name``, made longer until it is none of ``names``."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run``, for mapInArrow(), as a function after which its worker gives memory back. Workers live on for later
     tasks, of other operators too, and what allocators keep for themselves would add up."""

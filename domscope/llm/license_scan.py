@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, lean
+from .common import Batches, fresh, lean
 from .words import words_of
 
 MOST_CHARS = 100_000
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, notices: Iterable[Notice] = NOTICES, text_col: str = "
                 columns = [*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(found, pa.list_(one))]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(lean(run), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh(keep, "__text"))).mapInArrow(lean(run), schema)
 
 
 def labels(notices: Column) -> Column:

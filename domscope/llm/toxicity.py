@@ -5,7 +5,7 @@ words with one word between them, each hashed into 2**BITS slots; a feature coun
 it occurs. Learning goes a few times through four fifths of a bounded, hash-ordered sample of labelled
 documents, with a rate per coordinate and an L1 penalty that leaves most weights at zero; slots that
 fewer than LEAST_DOCS of these documents have take no part. On the other fifth the bias is moved so that
-a score of 0.7 is the cut with the best F0.5. The weights that are not zero are few, at most 2**BITS,
+a score of 0.7 is the cut with the best F1. The weights that are not zero are few, at most 2**BITS,
 and are broadcast.
 
 Null and empty texts have no features; their score is that of the bias alone. Very long texts are used whole; in learning
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, lean, written
+from .common import Batches, fresh, lean, written
 from .words import words_of
 
 BITS = 20
@@ -189,4 +189,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names)
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(as_col, T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(lean(run), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh(keep, "__text"))).mapInArrow(lean(run), schema)
