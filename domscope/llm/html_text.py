@@ -3,10 +3,11 @@
 First each page's containers are scored: the text of a container's own blocks outside links, half of that
 of the containers within it, and half as much again for article and main. The page votes for the generalised
 tag-class path of its best container, with its score as the weight of the vote, capped so that no page counts
-for more than a hundred short ones. Spark sums the votes by host and path, and the path with most votes wins
+for more than a hundred short ones. A title or an introduction beside the best container belongs to it: then the container around both has the
+vote. Spark sums the votes by host and path, and the path with most votes wins
 the host. Then every page is read again: the text of the containers on the winning path, without what is
-never article text - menus, site headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, hidden parts. A page without that path, or without text there, uses its own best container.
+never article text - menus, site headers, footers, sidebars, notices, adverts, forms (but one around the whole page), scripts, styles,
+reader comments, hidden parts. A page without that path, or without text there, uses its own best container.
 
 Null and empty pages have an empty text. Pages without a host share one host, the empty name. Very long and very deeply
 nested pages take time and memory in proportion to their length: a container knows its parent and a digest of its path, and
@@ -32,12 +33,17 @@ from .common import Batches, lean, written
 #: Winning paths are broadcast if they and their hosts take no more bytes than this; beyond, they are joined by a salted shuffle.
 MOST_BYTES = 16_000_000
 SALTS = 32
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Characters outside links from which on a form may be the page's frame.
+WHOLE_FORM = 200
+_OPEN = re.compile(r"<(?:!--|[!?/]|[a-zA-Z])")
+#: A tag, whose quotes count only behind an equals sign, as they do in browsers; and one that ends at the next >. Neither gives characters back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]++)))?""")
 _READ = frozenset("class id role style hidden aria-hidden".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "title", "svg", "iframe", "xmp")}
-_CONTAINERS = frozenset("body div article section main table tbody tr td ul ol dl center header figure details blockquote fieldset".split())
-_NEVER = frozenset("nav footer aside form button select head dialog menu object canvas audio video map".split())
+_CONTAINERS = frozenset("body div article section main table tbody tr td ul ol dl center header figure details blockquote fieldset form".split())
+_NEVER = frozenset("nav footer aside button select head dialog menu object canvas audio video map".split())
 _BLOCKS = _CONTAINERS | _NEVER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption summary caption th thead tfoot hr legend option html hgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of classes, ids and roles that mark what isn't article text.
@@ -47,6 +53,8 @@ _MARKS = frozenset(
     signup popup modal overlay toast comment comments commentlist disqus respond replies reply discussion share sharing social related recommended
     widget masthead toolbar search login form skip hidden""".split()
 )
+#: Those of them that name a subject, too, unless they are the last word of a name that isn't neutral.
+_VAGUE = frozenset("alert banner comment discussion form hidden login menu notice notices promotion recommended related replies reply respond search share sharing skip social subscribe".split())
 #: Words that say nothing about the content beside one of the above.
 _NEUTRAL = frozenset(
     """area article articles bar block blog body bottom box btn button buttons col column container content desktop entry first footer group head header
@@ -68,8 +76,9 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _unwanted(tag: str, own: dict[str, str], within_main: bool) -> bool:
-    """Whether the element is never article text. Outside the main part a container goes if any word of its names marks
-    it; within it, and for headings and paragraphs, all words of a name have to be marks or neutral."""
+    """Whether the element is never article text. Outside the main part a container goes if any word of its names marks it, a vague
+    one only as the last word; within it, and for headings and paragraphs, all words of a name have to be marks or neutral. A form's
+    name may say that it is one."""
     if tag in _NEVER or (tag == "header" and not within_main):
         return True
     if not own or tag in ("body", "html", "main", "article"):
@@ -79,7 +88,13 @@ def _unwanted(tag: str, own: dict[str, str], within_main: bool) -> bool:
     careful = within_main or tag not in _CONTAINERS
     for name in (*own.get("class", "").split(), own.get("id", ""), own.get("role", "")):
         words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in ("no", "has", "with") and _MARKS.intersection(words) and not (careful and set(words) - _MARKS - _NEUTRAL):
+        marks = _MARKS.intersection(words) - ({"form"} if tag == "form" else set())
+        if not marks or words[0] in ("no", "has", "with"):
+            continue
+        if careful:
+            if not set(words) - _MARKS - _NEUTRAL:
+                return True
+        elif marks - _VAGUE or next((w for w in reversed(words) if w not in _NEUTRAL), "") in marks:
             return True
     return False
 
@@ -137,18 +152,28 @@ class Page:
                 out -= left_out
                 mains -= tag in ("main", "article")
 
-        at, search = 0, _TAG.search
-        while m := search(html, at):
-            if not out and m.start() > at:
-                text = html[at : m.start()]
+        at, end, careful = 0, html.rfind(">"), True
+        while (o := _OPEN.search(html, at)) and (o.start() <= end or o[0] == "<!--"):
+            if not out and o.start() > at:
+                text = html[at : o.start()]
                 text = unescape(text) if "&" in text else text
                 parts.append(text)
                 linked += len(text) if links else 0
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            at = o.start()
+            if o[0] == "<!--":
+                close_at = html.find("-->", at + 2)
+                at = close_at + 3 if close_at >= 0 else len(html)
+                continue
+            m = _TAG.match(html, at) if careful else None
+            if m is None and (tag_follows := _PLAIN.match(html, at)):
+                # No > outside quotes up to the end of the page: from here on quotes don't count.
+                m, careful = tag_follows, False
+            if m is None:
+                at = html.index(">", at) + 1 if o[0] in ("<!", "<?", "</") else at + 1
                 continue
-            if m[1] or m[4]:
+            at = m.end()
+            tag = m[2].lower()
+            if m[1]:
                 if tag == "a":
                     links = 0
                     continue
@@ -163,8 +188,8 @@ class Page:
                         break
                 continue
             if tag in _RAW:
-                end = _RAW[tag].search(html, at)
-                at = end.end() if end else len(html)
+                raw = _RAW[tag].search(html, at)
+                at = raw.end() if raw else len(html)
                 continue
             if tag == "br":
                 parts.append(" ")
@@ -172,7 +197,7 @@ class Page:
             if tag == "a":
                 links = 1
                 continue
-            attributes = m[3] or m[6] or ""
+            attributes = m[3]
             own = _attributes(attributes)
             block = tag in _BLOCKS
             if block:
@@ -202,8 +227,21 @@ class Page:
                     out += left_out
                     mains += tag in ("main", "article")
         if not out and at < len(html):
-            parts.append(unescape(html[at:].partition("<")[0] if re.match(r"[^<]*<[a-zA-Z/!][^>]*\Z", html[at:]) else html[at:]))
+            tail = _OPEN.search(html, at)  # a tag that never ends
+            parts.append(unescape(html[at : tail.start() if tail else len(html)]))
         flush()
+        self._without_forms()
+
+    def _without_forms(self) -> None:
+        """Forms go with their blocks, but for one that holds most of the page's text: some sites put the whole page in a form."""
+        form = [-1] * len(self.steps)
+        for c, step in enumerate(self.steps):
+            form[c] = form[self.parents[c]] if c and form[self.parents[c]] >= 0 else c if step.partition(".")[0] == "form" else -1
+        sizes: Counter[int] = Counter()
+        for c, text, linked in self.blocks:
+            sizes[form[c]] += len(text) - linked
+        whole = {f for f, n in sizes.items() if f < 0 or n >= WHOLE_FORM and 2 * n > sizes.total()}
+        self.blocks = [b for b in self.blocks if form[b[0]] in whole]
 
     def best(self) -> tuple[int, float]:
         """The container with the highest score, and that; the first of several."""
@@ -218,7 +256,28 @@ class Page:
             if step.partition(".")[0] in ("article", "main"):
                 score[c] *= 1.5
         k = max(range(len(score)), key=lambda c: (score[c], -c))
-        return k, score[k]
+        return self._around(k), score[k]
+
+    def _around(self, k: int) -> int:
+        """The outermost container, below body, that adds text of its own to that of k - a title, an introduction - and adds more text than
+        links; or else the article or main part around, if it adds more text than links."""
+        texts, links, own = ([0] * len(self.steps) for _ in range(3))
+        for c, text, linked in self.blocks:
+            texts[c] += len(text)
+            links[c] += linked
+            own[c] += len(text) - linked
+        for c in range(len(self.steps) - 1, 0, -1):
+            texts[self.parents[c]] += texts[c]
+            links[self.parents[c]] += links[c]
+        best, c = k, self.parents[k]
+        while c > 0 and (tag := self.steps[c].partition(".")[0]) != "body":
+            more = texts[c] - texts[best]
+            if more and (own[c] > 0 or tag in ("article", "main")) and 2 * (links[c] - links[best]) < more:
+                best = c
+            if tag in ("article", "main"):
+                break
+            c = self.parents[c]
+        return best
 
     def text(self, path: str | None) -> str:
         """The blocks of the containers on the path, and of all within these, or else of the best container."""
