@@ -14,11 +14,14 @@ labels or benchmark items is no special case: without labels no document is toxi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domscope.llm import bpe
-from domscope.llm.common import forget, table, written
+from domscope.llm.common import forget, fresh, table, written
 from domscope.llm.decontaminate import decontaminate
 from domscope.llm.line_dedup import dedup_lines
 from domscope.llm.near_copies import keep_one
@@ -28,13 +31,34 @@ from domscope.llm.op10 import vocabulary
 from domscope.llm.toxicity import score
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_further_columns(stage: Stage) -> Stage:
+    """``stage``, which gets columns beyond those of documents as one, so that no operator sees their names."""
+
+    @wraps(stage)
+    def whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in COLUMNS]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        held = docs.select(*COLUMNS, F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(more)]).alias("further_columns"))
+        back = {c: F.col(f"further_columns.c{k}").alias(c) for k, c in enumerate(more)}
+        return stage(spark, held, sf_dir).select(*[back.get(c, c) for c in docs.columns])
+
+    return whole
+
+
+@with_further_columns
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; the others go."""
-    names = docs.columns
-    scored = score(docs, fold_model(spark, docs, sf_dir), keep=names, as_col="__toxicity")
-    return scored.where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    own = fresh(docs.columns, "__toxicity")
+    scored = score(docs, fold_model(spark, docs, sf_dir), keep=docs.columns, as_col=own)
+    return scored.where(F.col(own) < THRESHOLD).drop(own)
 
 
+@with_further_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of runs of lines. Documents of which nothing is left go; those that were
     empty before stay."""
@@ -43,11 +67,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("n_chars", counted).drop("__lines", "__removed")
 
 
+@with_further_columns
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones."""
     return keep_one(docs)
 
 
+@with_further_columns
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; documents that hardly hold anything else go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), WINDOW)
