@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .functions import labels, lexical, names
 from .functions.cleaning import any_list, mixed_date, percent_text, pipe_list, relative_time, to_int
-from .operators import attribution, catalog, client, detection, entities, housekeeping, lookalike, similar_sets, situation
+from .operators import attribution, catalog, client, detection, entities, forest, housekeeping, lookalike, similar_sets, situation
 from .plans.relational import in_order, insert_missing, latest_by_key, missing_from, numbered, page, top_by_key, update_from, with_fallback
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
+from .session import stored
 from . import queries_files  # noqa: F401  registers its queries
 
 AS_OF = "2024-01-31"
@@ -672,16 +673,62 @@ def ratio_text(spark, sf_dir):
     return o.select("status", percent_text(F.col("k"), F.col("n")).alias("share"))
 
 
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Hosts of pages with the label of the document of the same number, which no feature holds; one row for each page."""
+    p = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", names.normal_domain(F.col("url")).alias("domain"))
+    label = _t(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("toxic").alias("label"))
+    return stored(detection.with_features(p.join(label, "page_id")), "labelled")
+
+
 @query()
 def train_and_score(spark, sf_dir):
-    """A forest on lexical features of hosts, whether they have a hyphen; accuracy and the like on held-out rows."""
-    p = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", names.normal_domain(F.col("url")).alias("domain"))
-    rows = detection.with_features(p.withColumn("label", F.when(F.contains("domain", F.lit("-")), 1).otherwise(0)))
-    fit, held = detection.stratified_split(rows, "label", "page_id")
+    """A forest on lexical features of hosts; accuracy and the like on held-out rows."""
+    fit, held = detection.stratified_split(_labelled(spark, sf_dir), "label", "page_id")
     model = detection.train(fit)
     return detection.metrics(detection.predict(model, held), "label", "predicted")
 
 
+@query()
+def forest_scores(spark, sf_dir):
+    """Every host by a forest fitted on labelled ones, stored as a table of nodes and read again; from a probability of 0.3 on a host counts as malicious."""
+    nodes = stored(forest.node_table(detection.train(_labelled(spark, sf_dir))), "nodes")
+    return forest.score(nodes, detection.with_features(_hosts(spark, sf_dir), "host"), 0.3).select("host", "predicted", "label_text", "probability")
+
+
+#: A stored model of two trees. tree, node, feature (from 0), shift, scale, threshold, left, right, shares of both classes, depth.
+_MODEL = (
+    (0, 0, 2, 4.0, 0.5, 0.25, 1, 2, 0.6, 0.4, 2),
+    (0, 1, None, None, None, None, None, None, 0.9, 0.1, 2),
+    (0, 2, 9, 3.0, 1.0, 0.0, 3, 4, 0.3, 0.7, 2),
+    (0, 3, None, None, None, None, None, None, 0.625, 0.375, 2),
+    (0, 4, None, None, None, None, None, None, 0.125, 0.875, 2),
+    (1, 0, 21, 3.0, 2.0, 0.4567, 1, 2, 0.5, 0.5, 3),
+    (1, 1, 0, 0.0, 1.0, 6.5, 3, 4, 0.7, 0.3, 3),
+    (1, 2, None, None, None, None, None, None, 0.25, 0.75, 3),
+    (1, 3, None, None, None, None, None, None, 0.8, 0.2, 3),
+    (1, 4, 10, 5.0, 1.0, -0.5, 5, 6, 0.4, 0.6, 3),
+    (1, 5, None, None, None, None, None, None, 0.5, 0.5, 3),
+    (1, 6, None, None, None, None, None, None, 0.375, 0.625, 3),
+)
+_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"{x}" for x in r) + ")" for r in _MODEL)
+
+
+@query(rf"""
+WITH RECURSIVE n(tree, node, feature, shift, scale, threshold, l, r, share_0, share_1, depth) AS (VALUES {_ROWS}),
+v AS (SELECT host, [sld_length, rest_length, parts, part_mean, entropy] AS f FROM ({_LEX})),
+w AS (
+  SELECT host, f, tree, 0 AS node FROM v, (SELECT DISTINCT tree FROM n)
+  UNION ALL
+  SELECT host, f, w.tree, CASE WHEN (f[CASE feature WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 9 THEN 3 WHEN 10 THEN 4 ELSE 5 END] - shift) * scale <= threshold THEN l ELSE r END FROM w JOIN n ON n.tree = w.tree AND n.node = w.node WHERE feature IS NOT NULL),
+s AS (SELECT host, sum(CAST(share_0 AS DOUBLE)) AS a, sum(CAST(share_1 AS DOUBLE)) AS b FROM w JOIN n ON n.tree = w.tree AND n.node = w.node WHERE feature IS NULL GROUP BY host)
+SELECT host, CASE WHEN b / (a + b) >= 0.5 THEN 1 ELSE 0 END AS predicted, CASE WHEN b / (a + b) >= 0.5 THEN '{detection.MALICIOUS}' ELSE '{detection.BENIGN}' END AS label_text, round(b / (a + b), 9) AS probability FROM s
+""")
+def stored_forest(spark, sf_dir):
+    """Every host by a forest that is given as a table of nodes."""
+    nodes = spark.createDataFrame(_MODEL, forest.NODES)
+    return forest.score(nodes, detection.with_features(_hosts(spark, sf_dir), "host"), 0.5).select("host", "predicted", "label_text", F.round("probability", 9).alias("probability"))
+
+
 @query("""
 WITH c AS (SELECT quality, toxic, toxic * 2 + quality AS label FROM labels), n AS (SELECT label, count(*) AS n FROM c GROUP BY label),
 f AS (SELECT label, n, sum(n) OVER () - ceil(round(sum(n) OVER () * 0.2::DOUBLE, 6)) AS fit, sum(n) OVER () AS total FROM n),
