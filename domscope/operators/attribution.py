@@ -13,8 +13,9 @@ from ..functions import labels
 from ..functions.labels import confidence, evidence_lines, profile_version, risk_level
 from ..functions.names import labels as labels_of
 from ..functions.names import char_grams, domain_keywords, domain_tlds, domain_tokens, normal_domain, pattern_score, sld, text_tokens, tld
-from ..plans.relational import first_by_key, numbered, top_by_key
+from ..plans.relational import first_by_key, in_order, numbered, top_by_key
 from ..session import stored
+from ..sources.stitched import write_stitched
 from . import similar_sets
 
 # The weights of what speaks for a match, and what is kept of the candidates.
@@ -198,23 +199,45 @@ def alert_items(high_risk: DataFrame, matches: DataFrame, scores: DataFrame | No
     return j.select("position", "domain", risk.alias("risk_score"), risk_level(risk).alias("risk_level"), F.col("actor_score").alias("organization_score"), organizations.alias("matched_organizations"), lines.alias("evidence_lines"), "evidence", "top_candidates")
 
 
-def alert_document(alert: DataFrame, items: DataFrame) -> DataFrame:
-    """``alert`` - one row - with the document: version, the alert, counts, its domains in order, as JSON in lines that people can read."""
-    body = F.struct("position", "domain", "risk_score", "risk_level", F.struct(F.col("organization_score")).alias("scores"), "matched_organizations", "top_candidates", F.struct("evidence", "evidence_lines").alias("evidence_summary"))
-    listed = items.agg(F.array_sort(F.collect_list(body)).alias("__items"))
-    j = alert.crossJoin(listed)  # two frames of one row
-    count = F.size("__items")
+def _item() -> list[Column]:
+    """What a document says of a domain."""
+    return [F.col("domain"), F.col("risk_score"), F.col("risk_level"), F.struct("organization_score").alias("scores"), F.col("matched_organizations"), F.col("top_candidates"), F.struct("evidence", "evidence_lines").alias("evidence_summary")]
+
+
+def _document(alert: DataFrame, count: Column, listed: Column) -> Column:
     given = lambda c: F.coalesce(F.col(c), count) if c in alert.columns else count
-    document = F.struct(
+    return F.struct(
         F.lit("v1").alias("schema_version"),
         F.struct(*[F.col(c) for c in alert.columns]).alias("alert"),
         F.struct(given("detected_count").alias("detected_count"), given("high_risk_count").alias("high_risk_count")).alias("summary"),
-        F.transform("__items", lambda x: x.dropFields("position")).alias("high_risk_domains"),
+        listed.alias("high_risk_domains"),
         F.struct(F.lit("subscription_alert").alias("source")).alias("meta"),
     )
+
+
+def alert_document(alert: DataFrame, items: DataFrame) -> DataFrame:
+    """``alert`` - one row - with the document: version, the alert, counts, its domains in order, as JSON in lines that people can
+    read. All in one row; write_alert() has no such bound."""
+    listed = items.agg(F.array_sort(F.collect_list(F.struct("position", *_item()))).alias("__items"))
+    j = alert.crossJoin(listed)  # two frames of one row
+    document = _document(alert, F.size("__items"), F.transform("__items", lambda x: x.dropFields("position")))
     return j.select(*alert.columns, F.to_json(document, {"pretty": "true"}).alias("document"))
 
 
+def write_alert(alert: DataFrame, items: DataFrame, path: str) -> None:
+    """The file of alert_document(), byte by byte, for an alert of any number of domains: each is written as it stands in the
+    document, numbered by ranges, and only the alert itself passes through the driver."""
+    one = F.to_json(F.struct(F.array(F.struct(*_item())).alias("high_risk_domains")), {"pretty": "true"})
+    inner = F.regexp_extract(one, r"(?s)^\{\s+\"high_risk_domains\" : \[ \{\n(.*)\n  \} \]\s+\}$", 1)
+    placed = in_order(items.select("position", "domain", inner.alias("line")), ["position", "domain"], "at")
+    n = placed.count()
+    frame = alert.select(F.to_json(_document(alert, F.lit(n), F.array().cast("array<int>")), {"pretty": "true"}).alias("d")).first().d
+    head, _, tail = frame.partition('"high_risk_domains" : [ ],\n')
+    between = F.when(F.col("at") < n, "\n  }, {").otherwise("\n  } ],")
+    opening = '"high_risk_domains" : [ {\n' if n else '"high_risk_domains" : [ ],\n'
+    write_stitched(placed.select("at", F.concat("line", between).alias("line")), ["at"], path, head + opening, tail + "\n")
+
+
 def version_of(matched: DataFrame, profs: DataFrame) -> DataFrame:
     """One row: the version that all matched profiles have, ``mixed`` if they differ, the first one without any."""
     v = matched.join(profs.select("organization_id", "version"), "organization_id", "left_outer").agg(F.collect_set("version").alias("v"))
@@ -240,6 +263,27 @@ def notice_text(groups: DataFrame) -> DataFrame:
     return g.select("total", "known", F.when(F.col("total") == 0, labels.NOTICE_NONE).otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n\n"))).alias("text"))
 
 
+def notice_lines(matches: DataFrame, unknown: str = "未知") -> DataFrame:
+    """u, l, organization, at, line: the lines of notice_text() below its totals, in this order. Domains are numbered by ranges within their group, so a
+    group may have any number of them; the first line of a group has its heading before it."""
+    name = F.when(F.trim("organization_name") != "", F.trim("organization_name")).otherwise(unknown)
+    rows = first_by_key(matches.withColumns({"organization": name, "__key": F.lower("domain")}), ["__key"], [F.col("domain")])
+    keyed = rows.select((F.col("organization") == unknown).alias("u"), F.lower("organization").alias("l"), "organization", "__key", "domain")
+    placed = in_order(keyed, ["__key", "domain"], "at", ["u", "l", "organization"])
+    sizes = placed.groupBy("organization").agg(F.count(F.lit(1)).alias("n"))
+    heading = F.concat(F.lit("\n" + labels.NOTICE_GROUP[0]), F.col("organization"), F.lit(labels.NOTICE_GROUP[1]), F.col("n").cast("string"), F.lit(labels.NOTICE_GROUP[2] + "\n"))
+    line = F.concat(F.when(F.col("at") == 1, heading).otherwise(""), F.col("at").cast("string"), F.lit(". "), F.col("domain"))
+    return placed.join(sizes, "organization").select("u", "l", "organization", "at", line.alias("line"))
+
+
+def write_notice(matches: DataFrame, path: str, unknown: str = "未知") -> None:
+    """The text of notice_text() as a file, with a line end."""
+    lines = notice_lines(matches, unknown)
+    total, known = lines.agg(F.count(F.lit(1)), F.count(F.when(~F.col("u"), 1))).first()
+    head = f"{labels.NOTICE_TOTALS[0]}{total}\n{labels.NOTICE_TOTALS[1]}{known}\n" if total else f"{labels.NOTICE_NONE}\n"
+    write_stitched(lines, ["u", "l", "organization", "at"], path, head)
+
+
 def create_domains(domains: DataFrame, names: DataFrame, when: Column) -> DataFrame:
     """``domains`` with a row for each name (domain) that none of them has, whatever its case, with the ids after the
     largest; of spellings that differ in case alone the first. persist_matches() finds the ids there."""

@@ -15,7 +15,7 @@ from .operators import attribution, catalog, client, detection, entities, forest
 from .plans.relational import in_order, insert_missing, latest_by_key, missing_from, numbered, page, top_by_key, update_from, with_fallback
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
-from .session import stored
+from .session import scratch, stored
 from . import queries_files  # noqa: F401  registers its queries
 
 AS_OF = "2024-01-31"
@@ -543,6 +543,18 @@ def alert_document(spark, sf_dir):
     return _alert(spark, sf_dir, _profiles(spark, sf_dir))
 
 
+@query(_ALERT.replace("__MATCH__", _MATCH))
+def alert_file(spark, sf_dir):
+    """The same from the file that is written by ranges."""
+    hosts = _hosts(spark, sf_dir).select(F.col("host").alias("domain"), F.xxhash64("host").alias("position"))
+    found = attribution.best_matches(_found(spark, sf_dir, _profiles(spark, sf_dir)))
+    path = f"{scratch(spark, 'files')}/full_result.json"
+    attribution.write_alert(spark.createDataFrame([("a1", "s1")], "alert_id string, subscription_id string"), attribution.alert_items(hosts, found), path)
+    kind = "summary struct<high_risk_count: long>, high_risk_domains array<struct<domain: string, risk_score: double, risk_level: string>>"
+    d = spark.read.schema(kind).json(path, multiLine=True).select("summary", F.explode("high_risk_domains").alias("x"))
+    return d.select("x.domain", F.round("x.risk_score", 6).alias("risk_score"), "x.risk_level", F.col("summary.high_risk_count").alias("n_domains"))
+
+
 _RULES = ("com", "org", "example.com", "*.org", "!example.org", "nowhere")
 
 

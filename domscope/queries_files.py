@@ -450,18 +450,30 @@ def profile_versions(spark, sf_dir):
     return profs.join(F.broadcast(attribution.version_of(profs.select("organization_id"), profs).withColumnRenamed("version", "consensus"))).select(F.col("organization_id").alias("id"), "version", "consensus")
 
 
-@query("""
+_NOTICE = """
 WITH o AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN '未知' ELSE c_mktsegment END AS org, c_name, row_number() OVER (PARTITION BY CASE WHEN c_custkey % 11 = 0 THEN '未知' ELSE c_mktsegment END ORDER BY lower(c_name)) AS k FROM customer),
 g AS (SELECT org, count(*) AS n, '【' || org || '】(' || count(*) || '个)' || chr(10) || string_agg(k || '. ' || c_name, chr(10) ORDER BY k) AS s FROM o GROUP BY org)
 SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE org <> '未知') AS BIGINT) AS known, '本批次高风险域名数量：' || CAST(sum(n) AS BIGINT) || chr(10) || '已形成组织关联的域名数量：' || CAST(sum(n) FILTER (WHERE org <> '未知') AS BIGINT) || chr(10) || chr(10)
   || string_agg(s, chr(10) || chr(10) ORDER BY org = '未知', lower(org)) AS text FROM g
-""")
+"""
+
+
+@query(_NOTICE)
 def notice(spark, sf_dir):
     """The text of a notice, by organization, the unknown one last."""
     m = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("domain"), F.when(F.col("c_custkey") % 11 == 0, " ").otherwise(F.col("c_mktsegment")).alias("organization_name"))
     return attribution.notice_text(attribution.by_organization(m)).select("total", "known", "text")
 
 
+@query(f"SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text || chr(10), chr(10))[:-2]) AS line FROM ({_NOTICE})) GROUP BY line")
+def notice_file(spark, sf_dir):
+    """The lines of the notice as a file, written by ranges."""
+    m = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("domain"), F.when(F.col("c_custkey") % 11 == 0, " ").otherwise(F.col("c_mktsegment")).alias("organization_name"))
+    path = f"{scratch(spark, 'files')}/notice.txt"
+    attribution.write_notice(m, path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Catalog, matches, details ---------------------------------------------------------------------------------
 
 
