@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import io
 import zipfile
-from datetime import date, timedelta
+from datetime import date
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import cleaning, labels, names
 from .operators import attribution, catalog, client, detection, entities, etl, housekeeping, lookalike
-from .plans.relational import page
+from .plans.relational import in_order, page
 from .registry import query
 from .registry import table as _t
-from .session import scratch
-from .sources import files, lookup, xlsx
+from .session import scratch, stored
+from .sources import archives, files, jdbc, lookup, xlsx
 from .sources.daily import MEMBER, daily_feed, day_path
+from .sources.stitched import write_stitched
 from .streaming import feed, schedule
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -221,13 +223,22 @@ def document_registered(spark, sf_dir):
     return spark.read.parquet(f"{root}/files").select("bucket", "object_key", "filename", "size", *metadata).join(spark.read.text(f"{root}/alerts/{inner}").select(F.col("value").alias("document")))
 
 
-@query("SELECT unnest(['one,1', 'two,2']) AS line, 36 + 1 AS key_length")
+@query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS digest, 32 + 5 AS key_length FROM pages WHERE html IS NOT NULL")
 def uploaded_object(spark, sf_dir):
-    """A file that a user uploads, stored under a random key and read by it."""
-    bucket = f"{scratch(spark, 'files')}/uploads"
-    key = files.put_object(spark, b"one,1\ntwo,2", "list.of.csv", bucket)
-    found = files.get_objects(spark, bucket, spark.createDataFrame([(key,)], "key string"))
-    return found.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"), (F.char_length("key") + 1).alias("key_length"))
+    """The html of all pages as objects under random keys, written by tasks, found by key and read again."""
+    bucket = f"{scratch(spark, 'files')}/pages"
+    keys = files.put_objects(_t(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.encode("html", "UTF-8").alias("content")), bucket, "html")
+    found = files.get_objects(spark, bucket, keys).join(keys, "key")
+    return found.select("page_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"), F.char_length("key").alias("key_length"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 3)")
+def database_rows(spark, sf_dir):
+    """A table of a database, written exactly once though its batch is sent twice, and read in ranges, with filter and columns pushed down."""
+    url, driver = f"jdbc:derby:memory:{scratch(spark, 'x').rpartition('-')[2]};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    for _ in range(2):
+        jdbc.write_once(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), url, "nation", "first", connections=1, driver=driver)
+    return stored(jdbc.jdbc_table(spark, url, "nation", split_on="n_nationkey", parts=4, driver=driver).where("n_regionkey IN (1, 3)"), "nation")
 
 
 @query("SELECT event_id, user_id, CAST(NULL AS DOUBLE) AS weight FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, NULL FROM events WHERE event_id % 2 = 1")
@@ -353,20 +364,38 @@ def unfinished_tasks(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT f, s, DATE '2024-03-01' + CAST(n AS INT) AS today, CASE WHEN n % 5 > 0 THEN DATE '2024-03-01' + CAST(n AS INT) - CAST((n * 7) % 40 AS INT) END AS last, n FROM range(60) AS g(n), (VALUES ('daily', 1), ('weekly', 7), ('monthly', 30)) AS v(f, s)),
-w AS (SELECT f, n, today, today - 1 AS last_day, CASE WHEN last IS NULL THEN today - 1 - (s - 1) ELSE greatest(last + 1, today - 1 - (s - 1)) END AS first_day, last + 1 > today - 1 AS nothing, s FROM p)
-SELECT f AS frequency, today, first_day, last_day, CASE WHEN f = 'daily' THEN today ELSE today + s END AS next_run FROM w WHERE NOT coalesce(nothing, FALSE)
+WITH r AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'yearly' END AS f, CAST(o_orderdate AS DATE) AS today, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) - CAST((o_orderkey * 7) % 40 AS INT) END AS last,
+  CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INT)) AS now FROM orders),
+s AS (SELECT *, CASE f WHEN 'daily' THEN 1 WHEN 'monthly' THEN 30 ELSE 7 END AS s FROM r),
+w AS (SELECT *, CASE WHEN last IS NULL THEN today - s WHEN last + 1 > today - 1 THEN NULL WHEN f = 'yearly' THEN last + 1 ELSE greatest(last + 1, today - s) END AS first_day FROM s)
+SELECT o_orderkey, f AS frequency, CAST(first_day AS DATE) AS first_day, CASE WHEN first_day IS NOT NULL THEN CAST(today - 1 AS DATE) END AS last_day,
+  CAST(CAST(now AS DATE) + CASE WHEN hour(now) >= 9 THEN 1 ELSE 0 END + CASE f WHEN 'daily' THEN 0 WHEN 'weekly' THEN 7 WHEN 'monthly' THEN 30 ELSE 1 END AS DATE) AS next_day, 9 AS next_hour FROM w
 """)
 def planned_windows(spark, sf_dir):
-    """The days that runs read, and the days of their next runs, over two months of schedules."""
-    rows = []
-    for frequency in schedule.SPAN:
-        for n in range(60):
-            today = date(2024, 3, 1) + timedelta(n)
-            got = schedule.window(frequency, today, today - timedelta((n * 7) % 40) if n % 5 else None)
-            if got:
-                rows.append((frequency, today, *got, schedule.next_run(frequency, schedule.datetime.combine(today, schedule.time(8))).date()))
-    return spark.createDataFrame(rows, "frequency string, today date, first_day date, last_day date, next_run date")
+    """The days that a run for each order would read, and when the next one is."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    rows = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 4 == 0, "daily").when(k % 4 == 1, "weekly").when(k % 4 == 2, "monthly").otherwise("yearly").alias("frequency"), day.alias("today"),
+        F.when(k % 5 > 0, F.date_sub(day, ((k * 7) % 40).cast("int"))).alias("last"), (day.cast("timestamp") + F.make_interval(hours=(k % 24).cast("int"))).alias("now"),
+    )
+    out = schedule.next_runs(schedule.windows(rows))
+    return out.select("o_orderkey", "frequency", "first_day", "last_day", F.to_date("next_run").alias("next_day"), F.hour("next_run").alias("next_hour"))
+
+
+_READ = "SELECT DISTINCT o_custkey AS s, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 > 0"
+
+
+@query(f"""
+WITH r AS ({_READ}), own AS (SELECT c_custkey AS s, DATE '1995-01-01' + CAST(c_custkey % 900 AS INT) AS since FROM customer), u AS (SELECT DATE '1998-06-30' AS upto),
+days AS (SELECT s, since - 1 AS d FROM own UNION ALL SELECT s, upto + 1 FROM own, u UNION ALL SELECT r.s, d FROM r JOIN own ON own.s = r.s, u WHERE d BETWEEN since AND upto),
+g AS (SELECT s, CAST(d + 1 AS DATE) AS a, CAST(lead(d) OVER (PARTITION BY s ORDER BY d) - 1 AS DATE) AS z FROM days)
+SELECT s AS subscription_id, a AS first_day, z AS last_day FROM g WHERE a <= z
+""")
+def unread_days(spark, sf_dir):
+    """The runs of days that each subscription - a customer - hasn't read, late and missed ones among them."""
+    own = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subscription_id"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")).alias("since"))
+    read = _t(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("subscription_id"), F.to_date("o_orderdate").alias("day"))
+    return schedule.unread(own, read, F.lit("1998-06-30").cast("date"))
 
 
 # Codes and texts -------------------------------------------------------------------------------------------
@@ -474,6 +503,111 @@ def notice_file(spark, sf_dir):
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Archives, filters, previews -------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH h AS (SELECT page_id % 37 AS k, regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS host FROM pages WHERE url IS NOT NULL)
+SELECT k AS archive, host, CAST(count(*) * CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n, CAST(length(host) - length(replace(host, '-', '')) AS DOUBLE) AS hyphens, CAST(len(regexp_split_to_array(host, '[-._]')) AS DOUBLE) AS parts FROM h WHERE host <> '' GROUP BY k, host
+""")
+def traversed_archives(spark, sf_dir):
+    """Archives of hosts in folders, some within others, some twice; the second half comes after the first was read."""
+    root, cache = scratch(spark, "archives"), f"{scratch(spark, 'features')}/cache"
+    h = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select((F.col("page_id") % 37).alias("k"), names.normal_domain(F.col("url")).alias("host")).where("host <> ''")
+    for half in range(2):
+        _archives(h.where(F.col("k") % 2 == half), root)
+        out = archives.traverse(spark, root, cache)
+    k = F.regexp_extract("path", r"list-(\d+)", 1).cast("long").alias("archive")
+    return out.groupBy(k, F.col("domain").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.max("hyphens").alias("hyphens"), F.max("parts").alias("parts"))
+
+
+def _archives(rows, root: str) -> None:
+    """One archive for each k of (k, host), every third within another, every fifth twice under two names."""
+
+    def write(group: pa.Table) -> pa.Table:
+        import pyarrow.fs as pafs
+
+        k = group["k"][0].as_py()
+        data = _zipped("\n".join(["", *group["host"].to_pylist()]).encode())
+        if k % 3 == 0:
+            outer = io.BytesIO()
+            with zipfile.ZipFile(outer, "w") as z:
+                z.writestr("in/inner.zip", data)
+                z.writestr("readme.txt", "no list")
+            data = outer.getvalue()
+        fs, inner = pafs.FileSystem.from_uri(root)
+        for n in range(2 if k % 5 == 0 else 1):
+            fs.create_dir(f"{inner}/{k % 4}/{n}")
+            with fs.open_output_stream(f"{inner}/{k % 4}/{n}/list-{k}.zip", compression=None) as f:
+                f.write(data)
+        return pa.table({"n": [group.num_rows]})
+
+    rows.orderBy("host").groupBy("k").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND (contains(lower(p_name), 'al') OR contains(lower(p_type), 'al'))")
+def client_models(spark, sf_dir):
+    """Models of a source whose name or description has a keyword."""
+    test = client.task_filter(kind="Brand#13", keyword=" AL ", kind_col="p_brand", texts=("p_name", "p_type"))
+    return _t(spark, sf_dir, "part").where(test).select("p_partkey")
+
+
+@query("SELECT event_id FROM events WHERE user_id = 17 UNION ALL SELECT event_id FROM events WHERE event_type = 'error'")
+def client_equalities(spark, sf_dir):
+    """Events of an organization, and alerts of a model."""
+    e = _t(spark, sf_dir, "events")
+    of = lambda c, v: e.where(client.task_filter(kind=v, kind_col=c)).select("event_id")
+    return of("user_id", 17).unionByName(of("event_type", "error"))
+
+
+@query("SELECT p_name || p_partkey AS domain, CAST(p_partkey % 2 AS INT) AS label FROM part ORDER BY p_partkey LIMIT 5")
+def training_preview(spark, sf_dir):
+    """The first rows of a training list, one file in the order of its lines."""
+    k = F.col("p_partkey")
+    lines = in_order(_t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", k, F.lit(","), k % 2).alias("line")), ["p_partkey"], "at")
+    path = f"{scratch(spark, 'files')}/training.csv"
+    write_stitched(lines, ["at"], path, head="no label\nx,7\n")
+    return files.preview(files.training_list(spark, path))
+
+
+@query("SELECT id, CAST(row_number() OVER (ORDER BY t, n, id) AS INT) AS place FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS t, l_linestatus AS n FROM lineitem WHERE l_partkey = 7)")
+def records_in_order(spark, sf_dir):
+    """The DNS records of a domain by type, then name."""
+    d = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("d"), "p_partkey").alias("domain_name"), F.lit(1).alias("organization_id"))
+    none = spark.createDataFrame([], "id long, domain_id long, name string, query_time date, created_at date")
+    dns = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("domain_id"), F.col("l_returnflag").alias("record_type"), F.col("l_linestatus").alias("record_name"))
+    sorted_rows = entities.domain_detail(d, "D7", none.select("id", "name"), none, dns, none)["dns"].withColumn("row", F.monotonically_increasing_id())
+    return sorted_rows.select("id", F.row_number().over(Window.orderBy("row")).alias("place"))
+
+
+@query("""
+SELECT p_name || p_partkey AS domain, CAST(p_size AS VARCHAR) AS similarity, 'all' AS sheet FROM part UNION ALL SELECT p_name || p_partkey, CAST(p_size AS VARCHAR), 'positive' FROM part WHERE p_size > 25
+UNION ALL SELECT 'total', CAST(count(*) AS VARCHAR), 'statistics' FROM part
+""")
+def lookalike_book(spark, sf_dir):
+    """The workbook of a look-alike detection, with its own names of sheets, written and read back."""
+    rows = _t(spark, sf_dir, "part").select(F.concat("p_name", "p_partkey").alias("domain"), F.col("p_size").alias("similarity"))
+    path = f"{scratch(spark, 'files')}/lookalikes.xlsx"
+    statistics = rows.agg(F.count(F.lit(1)).alias("similarity")).select(F.lit("total").alias("domain"), "similarity")
+    xlsx.write_result_book(path, rows, statistics, rows.where("similarity > 25"), "impersonation")
+    sheets = {"检测结果": "all", "钓鱼域名列表": "positive", "统计信息": "statistics"}
+    out = [xlsx.read_xlsx(spark, path, sheet).select("domain", "similarity", F.lit(name).alias("sheet")) for sheet, name in sheets.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""
+WITH e AS (SELECT DISTINCT {_FEED} AS domain, CAST(ts AS DATE) + 250 AS day FROM events), d AS (SELECT CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2024-09-20', TIMESTAMP '2024-10-20', INTERVAL 1 DAY) AS g(d))
+SELECT DISTINCT domain, 'read' AS status FROM e WHERE day IN (SELECT d FROM d) UNION ALL SELECT CAST(d AS VARCHAR), 'missing' FROM d WHERE d NOT IN (SELECT day FROM e)
+""")
+def daily_feed_strict(spark, sf_dir):
+    """The longest range that a user may ask for."""
+    root = scratch(spark, "feed")
+    e = _t(spark, sf_dir, "events").select(F.date_add(F.to_date("ts"), 250).alias("day"), F.concat(F.lower("event_type"), F.col("user_id") % 700, F.lit(".example.com")).alias("domain"))
+    _daily_files(e, lambda day: day_path(root, day), _zipped)
+    found, gone = daily_feed(spark, root, "2024-09-20", "2024-10-20", strict=True)
+    return found.select("domain", F.lit("read").alias("status")).unionByName(gone.select(_s("day").alias("domain"), "status"))
+
+
 # Catalog, matches, details ---------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import STAGING
+from ..session import stored
 
 #: What Spark's own reader decodes.
 SPARK_CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
@@ -163,6 +164,28 @@ def put_object(spark: SparkSession, content: bytes, filename: str, bucket: str)
     return key
 
 
+def put_objects(objects: DataFrame, bucket: str, ending: str) -> DataFrame:
+    """The other columns of ``objects`` with the key under which the column content was stored, one object a row. Keys are drawn before, so a
+    task that runs again writes its objects again under the same keys."""
+    spark = objects.sparkSession
+    keyed = stored(objects.withColumn("key", F.concat(F.replace(F.uuid(), F.lit("-")), F.lit(f".{ending}"))), "objects")
+    place, fs = _hadoop(spark, bucket)
+    fs.mkdirs(place)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        store, root = pafs.FileSystem.from_uri(bucket)
+        for batch in batches:
+            for key, content in zip(batch.column("key").to_pylist(), batch.column("content")):
+                with store.open_output_stream(f"{root}/{key}", compression=None) as f:
+                    f.write(content.as_buffer())
+            yield batch.select(["key"])
+
+    keyed.where("content IS NOT NULL").select("key", "content").mapInArrow(write, "key string").write.format("noop").mode("overwrite").save()
+    return keyed.where("content IS NOT NULL").drop("content")
+
+
 def get_objects(spark: SparkSession, bucket: str, keys: DataFrame | None = None) -> DataFrame:
     """key, content of the objects of a bucket, or of those that ``keys`` (key) names."""
     found = spark.read.format("binaryFile").load(bucket).select(F.element_at(F.split("path", "/"), -1).alias("key"), "content")
