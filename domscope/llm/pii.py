@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, in SQL expressions alone.
 
-Candidates are found by one regular expression and validated by kind: payment cards (Luhn), IBANs (mod 97),
-dates (a day from 1900 to 2099), IPv4 addresses, social security numbers, telephone numbers, e-mail names.
+Candidates are found by one regular expression and validated by kind: payment cards (Luhn), IBANs in capitals (mod 97),
+dates (a day from 1900 to 2099, also at the head of a timestamp), IP addresses, social security numbers, telephone numbers with
+separators or a country code, e-mail names. IPv4 octets have no leading zeros; IPv6 addresses have eight groups or ``::``, a digit, and a group of
+three characters or more, and keep which characters are digits and which are letters.
 What is valid is written as two numbers (l, r) with l < a and r < b, so that exactly the format's values are
 covered, and goes through a Feistel network whose rounds add a keyed SHA-256 of the one to the other, modulo
 a and b in turns. That is a permutation of the format: equal values get equal pseudonyms in all documents,
@@ -13,6 +15,8 @@ texts and values take time in proportion to their length. Each row stands alone:
 replaced alike, and there are no ties. An empty table gives an empty one. Of other columns only one named pii is
 replaced. Dates with slashes are month/day if that is a date, else day/month; the latter can't always be restored, all
 else can.
+
+The key is a column of a frame of one row, which joins the documents: plans, the UI and event logs show its name, not its value.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 10
 #: Characters of a mail name that go through the network together; up to 18 digits or 22 letters fit.
 MAIL_CHUNK = 18
@@ -27,11 +33,11 @@ KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "card")
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z/-])",
-    "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-SU-Za-z/-]|T(?![0-9]))",
+    "ip": r"(?<![0-9A-Za-z.:])(?:(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})(?![0-9A-Za-z]|\.[0-9])|(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:]|\.[0-9]))",
     "phone": r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|(?:[0-9]{4}[ .-]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 PATTERN = "|".join(_PATTERNS[k] for k in KINDS)
 
@@ -50,14 +56,14 @@ def _all(pattern: str) -> str:
 
 
 class _Feistel:
-    """Writes the network's SQL for one key and direction."""
+    """Writes the network's SQL for one direction and the key, which is the SQL of a column."""
 
     def __init__(self, key: str, back: bool):
         self.key, self.back = key, back
 
     def pair(self, kind: str, left: str, right: str, a: str, b: str) -> str:
         """A struct (l, r): where (left, right), below (a, b), goes. ``kind`` is SQL for the format's name."""
-        f = lambda half: f"(cast(conv(substr(sha2(concat({_quoted(self.key)}, '|', {kind}, '|', i, '|', {half}), 256), 1, 15), 16, 10) as bigint))"
+        f = lambda half: f"(cast(conv(substr(sha2(concat({self.key}, '|', {kind}, '|', i, '|', {half}), 256), 1, 15), 16, 10) as bigint))"
         step = lambda x, m, half: f"(({m} + {x} - {f(half)} % {m}) % {m})" if self.back else f"(({x} + {f(half)} % {m}) % {m})"
         turns = f"sequence({ROUNDS - 1}, 0, -1)" if self.back else f"sequence(0, {ROUNDS - 1})"
         return (
@@ -72,12 +78,12 @@ class _Feistel:
         pair = self.pair(f"concat({kind}, length({d}))", f"if({u} = 0, 0, cast(concat('0', substr({d}, 1, {u})) as bigint))", f"cast(substr({d}, {u} + 1) as bigint)", power(u), power(v))
         return _let("p", pair, f"concat(if({u} = 0, '', lpad(cast(p.l as string), {u}, '0')), lpad(cast(p.r as string), {v}, '0'))")
 
-    def letters(self, kind: str, w: str) -> str:
-        """A string of a-z, 1 to 22 of them, as another of the same length."""
+    def letters(self, kind: str, w: str, base: int = 26) -> str:
+        """A string of the first ``base`` letters, 1 to 22 of a-z or 48 of a-f, as another of the same length."""
         u, v = f"(length({w}) div 2)", f"(length({w}) - length({w}) div 2)"
-        number = lambda s: f"aggregate(filter(split({s}, ''), c -> c <> ''), 0L, (n, c) -> n * 26 + ascii(c) - 97)"
-        spelt = lambda x, n: f"if({n} = 0, '', aggregate(sequence(1, greatest(1, {n})), named_struct('o', '', 'x', {x}), (s, i) -> named_struct('o', concat(char(97 + s.x % 26), s.o), 'x', s.x div 26), s -> s.o))"
-        power = lambda n: f"aggregate(sequence(1, greatest(1, {n})), 1L, (q, i) -> if({n} = 0, 1L, q * 26))"
+        number = lambda s: f"aggregate(filter(split({s}, ''), c -> c <> ''), 0L, (n, c) -> n * {base} + ascii(c) - 97)"
+        spelt = lambda x, n: f"if({n} = 0, '', aggregate(sequence(1, greatest(1, {n})), named_struct('o', '', 'x', {x}), (s, i) -> named_struct('o', concat(char(97 + s.x % {base}), s.o), 'x', s.x div {base}), s -> s.o))"
+        power = lambda n: f"aggregate(sequence(1, greatest(1, {n})), 1L, (q, i) -> if({n} = 0, 1L, q * {base}))"
         pair = self.pair(f"concat({kind}, length({w}))", number(f"substr({w}, 1, {u})"), number(f"substr({w}, {u} + 1)"), power(u), power(v))
         return _let("p", pair, f"concat({spelt('p.l', u)}, {spelt('p.r', v)})")
 
@@ -123,10 +129,19 @@ def _rules(f: _Feistel) -> dict[str, str]:
         "w", shape,
         _let("t", "try_to_date(m, w)", "CASE WHEN year(t) BETWEEN 1900 AND 2099 THEN " + _let("n", "datediff(t, date'1900-01-01')", _let("p", f.pair(_quoted("date"), "n div 4297", "n % 4297", "17L", "4297L"), f"date_format(date_add(date'1900-01-01', cast(p.l * 4297 + p.r as int)), {out})")) + " END"),
     )
-    ip = _let(
+    v4 = _let(
         "o", "transform(split(m, '[.]'), x -> cast(x as int))",
         "CASE WHEN forall(o, x -> x < 256) THEN " + _let("p", f.pair(_quoted("ip"), "o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536L", "65536L"), "concat_ws('.', p.l div 256, p.l % 256, p.r div 256, p.r % 256)") + " END",
     )
+    spelt = lambda h: (  # noqa: E731  its letters and digits, in order, replaced by those of e and g
+        f"aggregate(split({h}, ''), named_struct('o', '', 'j', 1, 'k', 1), (s, c) -> CASE WHEN c rlike '^[0-9]$' THEN named_struct('o', concat(s.o, substr(g, s.k, 1)), 'j', s.j, 'k', s.k + 1) "
+        "WHEN c rlike '^[a-z]$' THEN named_struct('o', concat(s.o, substr(e, s.j, 1)), 'j', s.j + 1, 'k', s.k) WHEN c rlike '^[A-Z]$' THEN named_struct('o', concat(s.o, upper(substr(e, s.j, 1))), 'j', s.j + 1, 'k', s.k) "
+        "ELSE named_struct('o', concat(s.o, c), 'j', s.j, 'k', s.k) END, s -> s.o)"
+    )
+    parts = lambda h, kind, base: _let("w", f"regexp_replace(lower({h}), '[^a-z]', '')", _let("d", _digits_of(h), _let("e", f"if(w = '', '', {f.letters(kind, 'w', base)})", _let("g", f"if(d = '', '', {f.digits(kind, 'd')})", spelt(h)))))
+    groups = "filter(split(m, ':'), x -> x <> '')"
+    v6 = f"CASE WHEN m rlike '[0-9]' AND size({groups}) BETWEEN 2 AND if(m LIKE '%::%', 7, 8) AND exists({groups}, x -> length(x) >= 3) THEN {parts('m', _quoted('ip6-'), 6)} END"
+    ip = f"CASE WHEN m LIKE '%:%' THEN {v6} ELSE {v4} END"
     ssn = _let(
         "d", _digits_of("m"),
         "CASE WHEN NOT left(d, 3) IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' THEN "
@@ -144,20 +159,15 @@ def _rules(f: _Feistel) -> dict[str, str]:
     )
     # A mail name goes in chunks, each with its letters as one word and its digits as another; so names of any length take
     # time in proportion.
-    spelt = (
-        "aggregate(split(h, ''), named_struct('o', '', 'j', 1, 'k', 1), (s, c) -> CASE WHEN c rlike '^[0-9]$' THEN named_struct('o', concat(s.o, substr(g, s.k, 1)), 'j', s.j, 'k', s.k + 1) "
-        "WHEN c rlike '^[a-z]$' THEN named_struct('o', concat(s.o, substr(e, s.j, 1)), 'j', s.j + 1, 'k', s.k) WHEN c rlike '^[A-Z]$' THEN named_struct('o', concat(s.o, upper(substr(e, s.j, 1))), 'j', s.j + 1, 'k', s.k) "
-        "ELSE named_struct('o', concat(s.o, c), 'j', s.j, 'k', s.k) END, s -> s.o)"
-    )
     kind = "concat('mail', n, '-')"
-    chunk = _let("w", "regexp_replace(lower(h), '[^a-z]', '')", _let("d", _digits_of("h"), _let("e", f"if(w = '', '', {f.letters(kind, 'w')})", _let("g", f"if(d = '', '', {f.digits(kind, 'd')})", spelt))))
+    chunk = parts("h", kind, 26)
     email = _let("q", "substring_index(m, '@', 1)", f"concat(array_join(transform(regexp_extract_all(q, '.{{1,{MAIL_CHUNK}}}', 0), (h, n) -> {chunk}), ''), substr(m, length(q) + 1))")
     return {"email": email, "iban": iban, "date": date, "ip": ip, "phone": phone, "ssn": ssn, "card": card}
 
 
 def _found(text: str, key: str, back: bool) -> Column:
-    """array<struct<kind, old, new>> of all candidates; new is null where one isn't valid."""
-    rules = _rules(_Feistel(key, back))
+    """array<struct<kind, old, new>> of all candidates; new is null where one isn't valid. ``key`` is a column."""
+    rules = _rules(_Feistel(f"`{key}`", back))
     kind = "CASE " + " ".join(f"WHEN m rlike {_all(_PATTERNS[k])} THEN '{k}'" for k in KINDS) + " END"
     new = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {_let('m', 'x.old', rules[k])}" for k in KINDS) + " END"
     each = _let("x", f"named_struct('kind', {kind}, 'old', m)", f"named_struct('kind', x.kind, 'old', x.old, 'new', {new})")
@@ -167,7 +177,9 @@ def _found(text: str, key: str, back: bool) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with its text column pseudonymised and a column pii, array<struct<kind, old, new>> of what was
     replaced. A column pii of ``docs`` is replaced."""
-    found = docs.withColumn("pii", _found(text_col, key, back))
+    name = fresh([*docs.columns, "pii"], "key")
+    keys = docs.sparkSession.createDataFrame([(key,)], f"`{name}` string")
+    found = docs.join(F.broadcast(keys)).withColumn("pii", _found(text_col, name, back)).drop(name)
     gaps = f"split(`{text_col}`, {_quoted(PATTERN)}, -1)"
     told = f"CASE WHEN size(pii) = 0 THEN `{text_col}` ELSE array_join(transform({gaps}, (g, k) -> concat(g, CASE WHEN k < size(pii) THEN coalesce(pii[k].new, pii[k].old) ELSE '' END)), '') END"
     return found.withColumn(text_col, F.expr(told)).withColumn("pii", F.expr("filter(coalesce(pii, array()), x -> x.new IS NOT NULL)"))

@@ -69,6 +69,42 @@ def test_pii_edges_and_round_trip(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_of_odd_formats(spark):
+    texts = ["192.168.001.010 and 192.168.1.10", "at 2024-01-02T10:00:00Z, not 2024-01-02Total", "2001:db8::8a2e:370:7334 FE80:0:0:0:202:B3FF:FE1E:8329 fe80::1", "4111.1111.1111.1111", "12:30:45 std::map a::b dead::beef 1::2 ::1 10:20:30:40:50:60:70:80 1:2:3", "x 1.2.3.4:80 and 0.0.0.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = pii.pseudonymise(df, "k")
+    rows = {r.doc_id: r for r in done.collect()}
+    found = {k: [x.old for x in r.pii] for k, r in rows.items()}
+    assert found == {0: ["192.168.1.10"], 1: ["2024-01-02"], 2: ["2001:db8::8a2e:370:7334", "FE80:0:0:0:202:B3FF:FE1E:8329", "fe80::1"], 3: ["4111.1111.1111.1111"], 4: [], 5: ["1.2.3.4", "0.0.0.0"]}
+    assert rows[0].text.startswith("192.168.001.010 and ") and rows[1].text.endswith("Total") and "T10:00:00Z" in rows[1].text
+    for k, t in enumerate(texts):
+        assert (rows[k].text, [tuple(x) for x in rows[k].pii]) == brute_pii("k", t)
+    assert {r.doc_id: r.text for r in pii.restore(done, "k").collect()} == dict(enumerate(texts))
+
+
+def test_pii_of_any_addresses_can_be_restored(spark):
+    r = random.Random(5)
+    group = lambda: "".join(r.choice("0123456789abcdefABCDEF") for _ in range(r.randint(1, 4)))
+    six = lambda: ":".join(group() for _ in range(8)) if r.random() < 0.5 else ":".join(group() for _ in range(r.randint(1, 3))) + "::" + ":".join(group() for _ in range(r.randint(0, 3)))
+    four = lambda: ".".join(str(r.randint(0, 300)).zfill(r.choice([1, 1, 1, 3])) for _ in range(4))
+    texts = [f"a {six()} b {four()} c {r.randint(1890, 2110)}-{r.randint(1, 12):02}-{r.randint(1, 31):02}T{r.randint(10, 23)}:00" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = pii.pseudonymise(df, "other key")
+    rows = {x.doc_id: x for x in done.collect()}
+    new = {}
+    for k, t in enumerate(texts):
+        assert (rows[k].text, [tuple(x) for x in rows[k].pii]) == brute_pii("other key", t)
+        for x in rows[k].pii:
+            assert new.setdefault(x.new, x.old) == x.old and len(x.new) == len(x.old) or x.kind == "ip" and ":" not in x.old
+    assert {x.doc_id: x.text for x in pii.restore(done, "other key").collect()} == dict(enumerate(texts))
+
+
+def test_plans_do_not_show_the_key(spark):
+    done = pii.pseudonymise(spark.createDataFrame([("a 10.0.0.1", "x")], "text string, key string"), "very-secret-key")
+    assert "very-secret-key" not in done._jdf.queryExecution().toString() and "very-secret-key" not in done._jdf.queryExecution().explainString(done.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert done.columns == ["text", "key", "pii"] and done.first().key == "x"
+
+
 def test_pii_is_a_permutation(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     new = pii.pseudonymise(rows, "k").select("text").distinct()
@@ -127,6 +163,13 @@ def brute_pseudonym(key, kind, m):
         wide = re.search("^0|[./-]0|^[0-9]{2}[./][0-9]{2}[./]|^[0-9]{4}-", m)
         a, b = (f"{new.day:02}", f"{new.month:02}") if wide else (str(new.day), str(new.month))
         return {"-": f"{new.year:04}-{b}-{a}", ".": f"{a}.{b}.{new.year:04}", "/": f"{b}/{a}/{new.year:04}", "\\": f"{a}/{b}/{new.year:04}"}[shape]
+    if kind == "ip" and ":" in m:
+        groups = [x for x in m.split(":") if x]
+        if not any(c in ten for c in m) or not 2 <= len(groups) <= (7 if "::" in m else 8) or max(map(len, groups)) < 3:
+            return None
+        w, d = "".join(c for c in m.lower() if c in az), digits(m)
+        w, d = iter(word("ip6-", w, az[:6]) if w else ""), iter(word("ip6-", d, ten))
+        return "".join(next(d) if c in ten else next(w) if c in az else next(w).upper() if c.lower() in az else c for c in m)
     if kind == "ip":
         o = [int(x) for x in m.split(".")]
         if max(o) > 255:
