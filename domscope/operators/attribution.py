@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,60 @@ def profiles(organizations: DataFrame, domains: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class ProfileRows:
+    """Profiles as tables, so that none has to fit in a row: ``organizations`` (organization_id, name, words - those of name and aliases -, version),
+    ``iocs`` (organization_id, place, ioc: the known domains in order), ``keywords`` (organization_id, word), ``tlds`` (organization_id, tld)."""
+
+    organizations: DataFrame
+    iocs: DataFrame
+    keywords: DataFrame
+    tlds: DataFrame
+
+
+def profile_rows(organizations: DataFrame, domains: DataFrame) -> ProfileRows:
+    """What profiles() gives, as tables. Each domain adds its own words and ending, duplicates go by aggregation, and places are counted by ranges, so an
+    organization may have any number of domains."""
+    o = organizations.where(F.col("id").isNotNull() & (F.trim("name") != ""))
+    if "is_active" in o.columns:
+        o = o.where(F.coalesce(F.col("is_active").cast("int"), F.lit(0)) == 1)
+    clean = lambda c: F.transform(_as_list(o, c), lambda x: F.lower(F.trim(x)))
+    of = F.col("id").alias("organization_id")
+    own = o.select(of, F.explode(clean("previous_domains")).alias("ioc"))
+    seen = domains.where(F.col("organization_id").isNotNull()).select("organization_id", F.lower(F.trim("domain_name")).alias("ioc")).join(o.select(of), "organization_id", "left_semi")
+    known = stored(own.unionByName(seen).where("ioc <> ''").distinct(), "known-domains")
+    iocs = in_order(known, ["ioc"], "place", ["organization_id"])
+
+    def given(c: str, name: str, derive: Callable[[Column], Column], form: Callable[[Column], Column]) -> DataFrame:
+        """The organization's own list, or what its domains give where that is empty."""
+        listed = o.select(of, F.explode(_as_list(o, c)).alias(name))
+        none = o.where(F.size(_as_list(o, c)) == 0).select(of)
+        derived = known.join(none, "organization_id", "left_semi").select("organization_id", F.explode(derive(F.array("ioc"))).alias(name))
+        both = listed.unionByName(derived).select("organization_id", form(F.lower(F.trim(name))).alias(name))
+        return both.where(F.col(name) != "").distinct()
+
+    words = F.array_distinct(F.concat(text_tokens(F.col("name")), F.flatten(F.transform(_as_list(o, "alias"), text_tokens))))
+    null = F.lit(None).cast("string")
+    col = lambda c, kind: F.col(c) if c in o.columns else null.cast(kind)
+    version = profile_version(col("profile_version", "string"), col("updated_at", "timestamp"), col("update_time", "date"))
+    keywords = given("keywords", "word", domain_keywords, lambda x: x)
+    tlds = given("common_tlds", "tld", domain_tlds, lambda x: F.ltrim(x, F.lit(".")))
+    return ProfileRows(o.select(of, F.trim("name").alias("name"), words.alias("words"), version.alias("version")), iocs, keywords, tlds)
+
+
+def _as_rows(profs: DataFrame | ProfileRows) -> ProfileRows:
+    if isinstance(profs, ProfileRows):
+        return profs
+    lower = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    words = F.array_distinct(F.concat(text_tokens(F.col("name")), F.flatten(F.transform("alias", text_tokens))))
+    return ProfileRows(
+        profs.select("organization_id", "name", words.alias("words"), "version"),
+        profs.select("organization_id", F.posexplode("previous_domains").alias("place", "ioc")),
+        profs.select("organization_id", F.explode(lower(F.col("keywords"))).alias("word")),
+        profs.select("organization_id", F.explode(F.transform(lower(F.col("common_tlds")), lambda x: F.ltrim(x, F.lit(".")))).alias("tld")).distinct(),
+    )
+
+
 def ioc_similarity(names: DataFrame, iocs: DataFrame) -> DataFrame:
     """domain, organization_id, ioc, ioc_score: for each pair that shares a trigram the most similar of the
     organization's known domains by Jaccard; of equals the first. ``names``: domain, grams; ``iocs``:
@@ -93,7 +148,7 @@ def public_suffixes(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return split
 
 
-def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Callable[[DataFrame], DataFrame] = last_labels, most: int = similar_sets.MOST) -> DataFrame:
+def candidates(domains: DataFrame, profs: DataFrame | ProfileRows, kept: int = KEPT, split: Callable[[DataFrame], DataFrame] = last_labels, most: int = similar_sets.MOST) -> DataFrame:
     """The best ``kept`` profiles of each domain with their scores and evidence, rank 1 first; equals by id.
 
     Scores come from equi-joins on rare trigrams, keywords, endings and labels. A profile that shares none of these
@@ -105,24 +160,18 @@ def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Ca
     d = domains.select(normal_domain(F.col("domain")).alias("domain")).where("domain <> ''").distinct()
     d = split(d).select("domain", "sld", "tld", domain_tokens(F.col("domain")).alias("tokens"), char_grams(F.col("domain")).alias("grams"))
     d = d.withColumn("pattern_score", pattern_score(F.col("tokens")))
-    lower = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-    p = profs.select(
-        "organization_id", "name", "previous_domains",
-        lower(F.col("keywords")).alias("kw"),
-        F.array_distinct(F.transform(lower(F.col("common_tlds")), lambda x: F.ltrim(x, F.lit(".")))).alias("tlds"),
-        F.array_distinct(F.concat(text_tokens(F.col("name")), F.flatten(F.transform("alias", text_tokens)))).alias("words"),
-    )
-    iocs = p.select("organization_id", F.posexplode("previous_domains").alias("place", "ioc")).withColumn("ioc", normal_domain(F.col("ioc"))).where("ioc <> ''")
+    p = _as_rows(profs)
+    iocs = p.iocs.withColumn("ioc", normal_domain(F.col("ioc"))).where("ioc <> ''")
     known = stored(similar_sets.ordered(_known_sets(iocs), _known_sets(iocs), most), "known-sets")
     own = stored(similar_sets.ordered(d.select(F.col("domain").alias("own"), "tld", "grams"), known, most), "own-sets")
-    best = lambda rows: rows.select(F.col("own").alias("domain"), "organization_id", F.col("name").alias("ioc"), "place", F.col("score").alias("ioc_score"))
+    best = lambda rows: rows.select(F.col("own").alias("domain"), "organization_id", F.col("name").alias("ioc"), F.col("place").cast("long").alias("place"), F.col("score").alias("ioc_score"))
     by_rare = best(similar_sets.rare_pairs(own, known, ["organization_id"]))
     classes = stored(similar_sets.class_best(own, known, ["organization_id"]), "classes")
-    by_word = d.select("domain", F.explode(F.array_distinct("tokens")).alias("word")).join(p.select("organization_id", F.explode("kw").alias("word")), "word")
-    by_label = d.where("sld <> ''").join(p.select("organization_id", F.explode("words").alias("sld")), "sld").select("domain", "organization_id")
-    tlds = p.select("organization_id", F.explode("tlds").alias("tld")).distinct()
+    by_word = d.select("domain", F.explode(F.array_distinct("tokens")).alias("word")).join(p.keywords, "word")
+    by_label = d.where("sld <> ''").join(p.organizations.select("organization_id", F.explode("words").alias("sld")), "sld").select("domain", "organization_id")
+    tlds = p.tlds
     by_tld = d.where("tld <> ''").select("domain", "tld").join(top_by_key(tlds, ["tld"], [F.col("organization_id")], kept), "tld").select("domain", "organization_id")
-    first = p.select("organization_id").orderBy("organization_id").limit(kept).agg(F.collect_list("organization_id").alias("ids"))
+    first = p.organizations.select("organization_id").orderBy("organization_id").limit(kept).agg(F.collect_list("organization_id").alias("ids"))
     by_default = d.select("domain").join(F.broadcast(first)).select("domain", F.explode("ids").alias("organization_id"))
     # Of a class the first profiles of any ending, and those of each ending that its domains have.
     alike = [F.desc("score"), F.col("organization_id")]
@@ -131,20 +180,21 @@ def candidates(domains: DataFrame, profs: DataFrame, kept: int = KEPT, split: Ca
     ended = mine.select("nx", "common", "tld").distinct().join(classes.join(tlds.withColumnRenamed("tld", "end"), "organization_id"), ["nx", "common"]).where("tld = end")
     of_end = mine.join(top_by_key(ended, ["nx", "common", "tld"], alike, kept), ["nx", "common", "tld"])
     # What speaks for a pair meets in one aggregation, however many kinds of evidence there are.
-    kinds = {"ioc": "string", "ioc_score": "double", "place": "int", "word": "string"}
+    kinds = {"ioc": "string", "ioc_score": "double", "place": "long", "word": "string"}
     widen = lambda df: df.select("domain", "organization_id", *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
     rows = [widen(df) for df in (by_rare, best(of_any), best(of_end), by_word, by_label, by_tld, by_default)]
     met = stored(reduce(DataFrame.union, rows).groupBy("domain", "organization_id").agg(F.min(F.when(F.col("ioc_score").isNotNull(), F.struct((-F.col("ioc_score")).alias("s"), "place", "ioc"))).alias("best"), F.array_sort(F.collect_list("word")).alias("keyword_overlap")), "evidence")
     looked = met.join(mine.withColumnRenamed("own", "domain"), "domain").join(classes, ["nx", "common", "organization_id"], "left")
-    common = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("place"), F.col("name").alias("ioc")))
+    common = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("place").cast("long").alias("place"), F.col("name").alias("ioc")))
     pairs = looked.withColumn("best", F.least("best", common)).select("domain", "organization_id", F.col("best.ioc").alias("ioc"), (-F.col("best.s")).alias("ioc_score"), "keyword_overlap")
-    full = pairs.join(d.select("domain", "tld", "sld", "pattern_score"), "domain").join(p.select("organization_id", "name", "tlds", "words", F.size("kw").alias("nk")), "organization_id")
+    full = pairs.join(d.select("domain", "tld", "sld", "pattern_score"), "domain").join(p.organizations.select("organization_id", "name", "words"), "organization_id")
+    full = full.join(p.keywords.groupBy("organization_id").agg(F.count(F.lit(1)).alias("nk")), "organization_id", "left").join(tlds.withColumn("ends", F.lit(True)), ["organization_id", "tld"], "left")
     zero = F.lit(0.0)
     full = full.withColumns(
         {
             "ioc_score": F.coalesce("ioc_score", zero),
             "keyword_score": F.when(F.size("keyword_overlap") > 0, F.size("keyword_overlap") / F.col("nk")).otherwise(zero),
-            "tld_hit": (F.col("tld") != "") & F.array_contains("tlds", F.col("tld")),
+            "tld_hit": (F.col("tld") != "") & F.coalesce("ends", F.lit(False)),
             "label_hit": (F.col("sld") != "") & F.array_contains("words", F.col("sld")),
         }
     )
@@ -173,9 +223,9 @@ def best_matches(found: DataFrame) -> DataFrame:
     )
 
 
-def with_snapshot(matches: DataFrame, profs: DataFrame, split: Callable[[DataFrame], DataFrame] = last_labels) -> DataFrame:
+def with_snapshot(matches: DataFrame, profs: DataFrame | ProfileRows, split: Callable[[DataFrame], DataFrame] = last_labels) -> DataFrame:
     """``matches`` with enrichment_snapshot, JSON: what the score saw of the domain, and how many profiles were scored."""
-    n = profs.agg(F.count(F.lit(1)).alias("candidate_count"))
+    n = _as_rows(profs).organizations.agg(F.count(F.lit(1)).alias("candidate_count"))
     seen = F.struct("domain", "sld", "tld", domain_tokens(F.col("domain")).alias("tokens"))
     snapshot = F.to_json(F.struct(seen.alias("domain_features"), "candidate_count"))
     return split(matches).join(F.broadcast(n)).select(*matches.columns, snapshot.alias("enrichment_snapshot"))

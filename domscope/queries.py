@@ -493,13 +493,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY round(CAST(score
 """
 
 
-def _profiles(spark, sf_dir) -> DataFrame:
+def _profiles(spark, sf_dir) -> attribution.ProfileRows:
     known = _t(spark, sf_dir, "pages").where("url IS NOT NULL").select((F.col("page_id") % 20).alias("organization_id"), names.normal_domain(F.col("url")).alias("domain_name"))
     orgs = known.select(F.col("organization_id").alias("id")).distinct().select("id", F.concat(F.lit("Blog "), F.col("id").cast("string")).alias("name"))
-    return attribution.profiles(orgs, known)
+    return attribution.profile_rows(orgs, known)
 
 
-def _found(spark, sf_dir, profiles: DataFrame) -> DataFrame:
+@query(rf"""
+WITH o AS (SELECT DISTINCT page_id % 20 AS org, regexp_extract(lower(trim(url)), '^(?:[a-z]+://)?([^/?#:]*)', 1) AS ioc FROM pages WHERE url IS NOT NULL),
+l AS (SELECT org, ioc, string_split(ioc, '.') AS l FROM o WHERE ioc <> ''),
+k AS (SELECT org, {_PROFILES.format("flatten(list(regexp_split_to_array(array_to_string(l[:-2], '.'), '[-_.0-9]+')))")} AS kw, list_sort(list_distinct(list(l[-1]) FILTER (WHERE len(l) >= 2))) AS tlds, count(*) AS n FROM l GROUP BY org),
+p AS (SELECT org, string_agg(ioc, ' ' ORDER BY ioc) AS iocs FROM l GROUP BY org)
+SELECT k.org AS organization_id, 'Blog ' || CAST(k.org AS VARCHAR) AS name, CAST(n AS BIGINT) AS domains, iocs, array_to_string(kw, ' ') AS keywords, array_to_string(tlds, ' ') AS tlds FROM k JOIN p ON p.org = k.org
+""")
+def actor_profiles(spark, sf_dir):
+    """The profiles as tables, put together to be shown."""
+    p = _profiles(spark, sf_dir)
+    listed = lambda df, c, by, name: df.groupBy("organization_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.col(c).alias("c"))))["c"], " ").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    out = p.organizations.select("organization_id", "name").join(listed(p.iocs, "ioc", "place", "iocs"), "organization_id")
+    for df, c, name in ((p.keywords, "word", "keywords"), (p.tlds, "tld", "tlds")):
+        out = out.join(listed(df, c, c, name).drop(f"n_{name}"), "organization_id", "left")
+    return out.select("organization_id", "name", F.col("n_iocs").alias("domains"), "iocs", F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("tlds", F.lit("")).alias("tlds"))
+
+
+def _found(spark, sf_dir, profiles: attribution.ProfileRows) -> DataFrame:
     return attribution.candidates(_hosts(spark, sf_dir).select(F.col("host").alias("domain")), profiles)
 
 
@@ -522,7 +539,7 @@ def org_grouped_domains(spark, sf_dir):
     return _grouped(_found(spark, sf_dir, _profiles(spark, sf_dir)))
 
 
-def _alert(spark, sf_dir, profiles: DataFrame) -> DataFrame:
+def _alert(spark, sf_dir, profiles: attribution.ProfileRows) -> DataFrame:
     hosts = _hosts(spark, sf_dir).select(F.col("host").alias("domain"), F.xxhash64("host").alias("position"))
     found = attribution.best_matches(attribution.candidates(hosts, profiles))
     alert = spark.createDataFrame([("a1", "s1")], "alert_id string, subscription_id string")

@@ -313,3 +313,25 @@ def test_domains_are_created_once(spark):
     assert set(rows) == {"A.com", "b.com", "NEW.org", "x.net"} and {rows["NEW.org"], rows["x.net"]} == {10, 11} and once.dtypes == there.dtypes
     assert attribution.create_domains(once, names, F.lit("2024-01-01")).count() == 4
     assert attribution.create_domains(there.limit(0), names, F.lit("2024-01-01")).agg(F.max("id")).first()[0] == 3
+
+
+def test_profile_tables_equal_profiles(spark):
+    kind = "id int, name string, alias string, previous_domains array<string>, keywords array<string>, common_tlds array<string>, is_active int, profile_version string, updated_at timestamp, update_time date"
+    orgs = spark.createDataFrame(
+        [
+            (1, " Team Alpha ", "Al-pha | beta", [" Own.NET ", ""], None, None, 1, None, datetime(2024, 1, 2), None), (2, "Beta", None, None, ["Mail", " login "], [".COM", "org"], 1, "v9", None, None),
+            (3, "Gamma", "", [], [], [], 1, None, None, date(2024, 2, 3)), (4, "off", None, None, None, None, 0, None, None, None), (5, " ", None, None, None, None, 1, None, None, None), (None, "x", None, None, None, None, 1, None, None, None),
+        ],
+        kind,
+    )
+    doms = spark.createDataFrame([(1, "Mail-login.alpha.com"), (1, "mail-login.ALPHA.com "), (1, "b.org"), (2, "c.info"), (3, "single"), (4, "d.com"), (None, "e.com"), (1, None), (9, "f.com")], "organization_id int, domain_name string")
+    rows, whole = attribution.profile_rows(orgs, doms), {r.organization_id: r for r in attribution.profiles(orgs, doms).collect()}
+    listed = lambda df, c: {o: sorted(r[c] for r in df.collect() if r.organization_id == o) for o in whole}
+    assert set(whole) == {1, 2, 3} == {r.organization_id for r in rows.organizations.collect()}
+    assert listed(rows.iocs, "ioc") == {o: r.previous_domains for o, r in whole.items()}
+    assert {(r.organization_id, r.place - 1, r.ioc) for r in rows.iocs.collect()} == {(o, k, d) for o, r in whole.items() for k, d in enumerate(r.previous_domains)}
+    assert listed(rows.keywords, "word") == {1: ["alpha", "login", "mail", "own"], 2: ["login", "mail"], 3: []} and listed(rows.tlds, "tld") == {1: ["com", "net", "org"], 2: ["com", "org"], 3: []}
+    assert {r.organization_id: r.version for r in rows.organizations.collect()} == {o: r.version for o, r in whole.items()}
+    names = spark.createDataFrame([("mail-login.alpha.com",), ("x.alpha.net",), ("q.beta.org",), ("none.zz",)], "domain string")
+    found = lambda p: sorted(tuple(map(str, r)) for r in attribution.candidates(names, p).collect())
+    assert found(rows) == found(attribution.profiles(orgs, doms))
