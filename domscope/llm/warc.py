@@ -8,7 +8,8 @@ the largest id is a response; the others are revisits that refer to it. Equal me
 Reading: each archive is read in a stream, once, member by member. A task's index entries, up to RUN_ENTRIES at a time, are
 sorted by URL key, time and id and stored as a run, a Parquet file with many small row groups. Ranges of this order - so a
 URL with very many captures is spread over several - are cut at quantiles of the row groups' first entries. For each
-range one task opens all runs, skips to the row groups that reach into it, and merges these streams with a loser tree, so it
+range one task is told which row groups of which files reach into it (Spark finds that by each file's own list of first entries),
+opens these and merges the streams with a loser tree, so it
 holds a few hundred entries of each run, however long the range is. Ranges in order are the global index. More than FAN
 runs are first merged in groups, also range by range, into fewer and longer ones.
 
@@ -25,6 +26,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from operator import itemgetter
 from urllib.parse import urlsplit
@@ -32,7 +34,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, lean, scratch_path, written
@@ -228,7 +230,7 @@ def _order(entry: tuple) -> tuple:
 
 
 def _store(folder: str, entries: Iterator[tuple]) -> tuple[str, int, list[dict]] | None:
-    """Sorted entries as a file: its name, their number, and the first of each row group; None without any."""
+    """Sorted entries as a file: its name, their number, and the first of each row group and the last of all; None without any."""
     fs, base = open_fs(folder)
     name, n, marks, held = f"{uuid.uuid4().hex}.run", 0, [], []
     with fs.open_output_stream(f"{base}/{name}", compression=None) as out, pq.ParquetWriter(out, _SCHEMA, compression="zstd") as writer:
@@ -245,19 +247,19 @@ def _store(folder: str, entries: Iterator[tuple]) -> tuple[str, int, list[dict]]
                 flush()
         if held:
             flush()
-    return (f"{folder}/{name}", n, marks) if n else None
+    if not n:
+        return None
+    marks.append(dict(zip(_KEYS, _order(e))))
+    return f"{folder}/{name}", n, marks
 
 
-def _load(files: list[tuple[str, list[tuple]]], low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, tuple]]:
-    """(order, entry) of a run's entries from ``low`` on and below ``high``, in a stream. ``files`` has the first entries of row groups."""
-    for file, marks in files:
-        last = sum(m < high for m in marks) if high is not None else len(marks)
-        first = max(0, sum(m <= low for m in marks) - 1) if low is not None else 0
-        if first >= last:
-            continue
+def _load(files: list[tuple[str, int, int]], low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, tuple]]:
+    """(order, entry) of a run's entries from ``low`` on and below ``high``, in a stream. ``files``: a file, the first and the last of its row groups
+    that reach into the range."""
+    for file, first, last in files:
         fs, path = open_fs(file)
         with fs.open_input_file(path) as source, pq.ParquetFile(source, pre_buffer=False) as stored:
-            for batch in stored.iter_batches(BATCH, row_groups=list(range(first, last))):
+            for batch in stored.iter_batches(BATCH, row_groups=list(range(first, last + 1))):
                 for e in zip(*(c.to_pylist() for c in batch.columns)):
                     order = _order(e)
                     if high is not None and order >= high:
@@ -345,36 +347,65 @@ class LoserTree:
             self._play(first)
 
 
-def _grouped(rows: list) -> list[list[tuple[str, list[tuple]]]]:
-    """Per run its files in order, with their marks."""
-    runs: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["run"], r["place"])):
-        runs.setdefault(r["run"], []).append((r["file"], [tuple(m[k] for k in _KEYS) for m in r["marks"]]))
-    return list(runs.values())
-
-
 def _ranges(runs: DataFrame, n: int) -> list[tuple]:
     """At most n - 1 entries, rising, that cut the order of all entries into ranges of about the same size."""
     marks = runs.select(F.inline("marks")).repartitionByRange(n, *_KEYS).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*_KEYS)).alias("m"))
     return sorted(tuple(r.m) for r in marks.collect())[1:]  # n rows at most
 
 
+_SLICE = "run long, place int, file string, first int, last int"
+
+
+def _slices(runs: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """range, run, place, file, first, last: for each range the files that reach into it and which of their row groups do. There is a row for
+    each row group at most, and one more for each range that a row group crosses into; marks stay where they are."""
+    shared = runs.sparkSession.sparkContext.broadcast(cuts)  # an entry for each RANGE_ENTRIES captures
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for number, place, file, marks in zip(*(batch.column(c).to_pylist() for c in ("run", "place", "file", "marks"))):
+                at = [bisect_right(shared.value, tuple(m[k] for k in _KEYS)) for m in marks]
+                reach: dict[int, list[int]] = {}
+                for g in range(len(marks) - 1):
+                    for r in range(at[g], at[g + 1] + 1):
+                        reach.setdefault(r, [g, g])[1] = g
+                for r, (first, last) in reach.items():
+                    for column, value in zip(out, (r, number, place, file, first, last)):
+                        column.append(value)
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["range", *(x.split()[0] for x in _SLICE.split(", "))])
+
+    return runs.select("run", "place", "file", "marks").mapInArrow(lean(run), f"range int, {_SLICE}")
+
+
+def _listed() -> Column:
+    """The slices of a task, by run and place."""
+    return F.array_sort(F.collect_list(F.struct("run", "place", "file", "first", "last"))).alias("slices")
+
+
+def _merged(slices: list[dict], place: int, cuts: list[tuple]) -> Iterator[tuple]:
+    """The entries of a range, from the slices of all its runs."""
+    runs: dict[int, list] = {}
+    for x in slices:
+        runs.setdefault(x["run"], []).append((x["file"], x["first"], x["last"]))
+    low, high = (cuts[place - 1] if place else None), (cuts[place] if place < len(cuts) else None)
+    return (e for _, e in LoserTree([_load(files, low, high) for files in runs.values()]))
+
+
 def _fewer(runs: DataFrame, cuts: list[tuple]) -> DataFrame:
     """Each FAN runs merged into one, a task for each of these and each range."""
-    folder = scratch_path(runs.sparkSession, "warc-runs")
-    order = runs.select("run").distinct()
-    parts = max(1, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    groups = -(-order.count() // FAN)
-    member = runs.withColumn("grp", F.pmod(F.xxhash64("run"), F.lit(groups)))
-    lists = member.groupBy("grp").agg(F.collect_list(F.struct("run", "place", "file", "marks")).alias("files"))  # about FAN runs
-    tasks = lists.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).repartition(max(parts, groups), "grp", "place")
+    spark, folder = runs.sparkSession, scratch_path(runs.sparkSession, "warc-runs")
+    groups = -(-runs.select("run").distinct().count() // FAN)
+    shared = spark.sparkContext.broadcast(cuts)
+    dealt = _slices(runs, cuts).withColumn("grp", F.pmod(F.xxhash64("run"), F.lit(groups)))
+    tasks = dealt.groupBy("grp", "range").agg(_listed())  # slices of about FAN runs
 
     def merge(batches: Batches) -> Batches:
         for batch in batches:
             for at in range(batch.num_rows):
-                grp, place, files = (batch.column(c)[at].as_py() for c in ("grp", "place", "files"))
-                low, high = (cuts[place - 1] if place else None), (cuts[place] if place < len(cuts) else None)
-                stored = _store(folder, (e for _, e in LoserTree([_load(run, low, high) for run in _grouped(files)])))
+                grp, place, slices = (batch.column(c)[at].as_py() for c in ("grp", "range", "slices"))
+                stored = _store(folder, _merged(slices, place, shared.value))
                 if stored:
                     file, n, marks = stored
                     yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([place], pa.int32()), pa.array([file]), pa.array([n]), pa.array([marks], _MARKS)], _RUN_NAMES)
@@ -392,14 +423,14 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         runs = _fewer(runs, cuts)
         if runs.select("run").distinct().count() >= count:
             raise ValueError("FAN is too small to merge anything")
-    files = _grouped(runs.collect())  # of FAN runs at most
+    shared = spark.sparkContext.broadcast(cuts)
+    tasks = _slices(runs, cuts).groupBy("range").agg(_listed())  # of FAN runs at most
 
     def merge(batches: Batches) -> Batches:
         for batch in batches:
-            for place in batch.column(0).to_pylist():
-                low, high = (cuts[place - 1] if place else None), (cuts[place] if place < len(cuts) else None)
+            for place, slices in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 buffer: list[tuple] = []
-                for _, e in LoserTree([_load(run, low, high) for run in files]):
+                for e in _merged(slices, place, shared.value):
                     buffer.append(e)
                     if len(buffer) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), _SCHEMA.types)], _SCHEMA.names)
@@ -407,4 +438,4 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                 if buffer:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer), _SCHEMA.types)], _SCHEMA.names)
 
-    return spark.range(0, len(cuts) + 1, 1, len(cuts) + 1).mapInArrow(lean(merge), ENTRY)
+    return tasks.repartitionById(len(cuts) + 1, F.col("range")).mapInArrow(lean(merge), ENTRY)

@@ -83,6 +83,35 @@ def test_many_runs_merge_in_levels(spark, tmp_path):
     assert entries == sorted(entries) and sorted(i for *_, i in entries) == list(range(400))
 
 
+def test_ranges_get_only_their_slices(spark, tmp_path):
+    """What is sent to the ranges grows with the entries, not with runs times ranges, and holds no first entries."""
+    random.seed(5)
+    old = warc.RUN_ENTRIES, warc.FAN, warc.ROW_GROUP, warc.RANGE_ENTRIES
+    warc.RUN_ENTRIES, warc.FAN, warc.ROW_GROUP, warc.RANGE_ENTRIES = 16, 4, 4, 20
+    try:
+        rows = {}
+        for n in (300, 1200):
+            pages = [(k, f"http://h{random.randint(0, 9)}.com/{random.randint(0, 400)}", f"text {k}") for k in range(n)]
+            runs = warc.read_runs(warc.write_archives(spark.read.parquet(f"{write(spark, tmp_path / str(n), pages=(pages, PAGES))}/pages.parquet")))
+            cuts = warc._ranges(runs, n // 20)
+            slices = warc._slices(runs, cuts)
+            assert "marks" not in slices.columns
+            groups = runs.selectExpr("sum(size(marks) - 1)").first()[0]
+            rows[n] = slices.count()
+            assert rows[n] <= groups + sum(warc_crossings(runs, cuts))
+            got = [(r.url_key, r.ts, r.id) for r in warc.merge_runs(runs).collect()]
+            assert got == sorted(got) and sorted(i for *_, i in got) == list(range(n))
+    finally:
+        warc.RUN_ENTRIES, warc.FAN, warc.ROW_GROUP, warc.RANGE_ENTRIES = old
+
+
+def warc_crossings(runs, cuts):
+    """For each row group the cuts within it."""
+    for r in runs.collect():
+        keys = [tuple(m) for m in r.marks]
+        yield from (sum(a < c <= z for c in cuts) for a, z in zip(keys, keys[1:]))
+
+
 # Page text ---------------------------------------------------------------------------------------------------
 
 
