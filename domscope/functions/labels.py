@@ -18,14 +18,14 @@ MAJOR_THREATS = ("供应链攻击", "漏洞利用", "勒索软件", "APT攻击")
 GRAVE_THREATS = ("C2通信", "钓鱼攻击")
 FIRST_PROFILE_VERSION = "actor_profile_v1"
 PROFILE_VERSION_PREFIX = "apt_org:"
-EVIDENCE_IOC = ("与历史 IOC 域名 ", " 具备相似特征")
+EVIDENCE_IOC = "与历史 IOC 域名 %s 具备相似特征"
 EVIDENCE_TLD = "TLD 或结构模式相似"
 EVIDENCE_KEYWORDS = "关键词重叠: "
-REASON_MATCH = ("该域名与 ", " 历史 IOC 画像在域名关键词、字符串相似度或结构模式上存在相似性，建议作为疑似 ", " 相关域名纳入重点监测。")
+REASON_MATCH = "该域名与 %s 历史 IOC 画像在域名关键词、字符串相似度或结构模式上存在相似性，建议作为疑似 %s 相关域名纳入重点监测。"
 REASON_NONE = "该域名暂未与已知组织 IOC 画像形成稳定关联，建议作为未知来源疑似恶意域名纳入监测。"
 UNNAMED_ORGANIZATION = "未知组织"
-NOTICE_TOTALS = ("本批次高风险域名数量：", "已形成组织关联的域名数量：")
-NOTICE_GROUP = ("【", "】(", "个)")
+NOTICE_TOTALS = "本批次高风险域名数量：%d\n已形成组织关联的域名数量：%d"
+NOTICE_GROUP = "【%s】(%d个)"
 NOTICE_NONE = "暂无明显疑似关联组织。"
 MATCH_TYPE = "相似度"
 REGIONS = ("东亚", "南亚", "东欧", "中东", "北美", "北美洲", "南美洲", "非洲", "欧洲", "大洋洲", "东南亚", "中亚", "未知")
@@ -100,7 +100,7 @@ def evidence_lines(best_ioc: Column, tld_hit: Column, keywords: Column, summary:
     """What speaks for a match, as an array of lines; the summary if nothing else does."""
     terms = F.slice(F.filter(F.transform(keywords, lambda x: F.trim(x)), lambda x: x != ""), 1, 5)
     lines = F.array(
-        F.when(best_ioc != "", F.concat(F.lit(EVIDENCE_IOC[0]), best_ioc, F.lit(EVIDENCE_IOC[1]))),
+        F.when(best_ioc != "", F.format_string(EVIDENCE_IOC, best_ioc)),
         F.when(tld_hit, F.lit(EVIDENCE_TLD)),
         F.when(F.size(terms) > 0, F.concat(F.lit(EVIDENCE_KEYWORDS), F.array_join(terms, ", "))),
     )

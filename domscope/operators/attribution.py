@@ -215,7 +215,7 @@ def best_matches(found: DataFrame) -> DataFrame:
     name = F.when(F.trim(best["name"]) != "", F.trim(best["name"])).otherwise(labels.UNNAMED_ORGANIZATION)
     reason = F.when(
         hit,
-        F.concat(F.lit(labels.REASON_MATCH[0]), name, F.lit(labels.REASON_MATCH[1]), name, F.lit(labels.REASON_MATCH[2])),
+        F.format_string(labels.REASON_MATCH, name, name),
     ).otherwise(labels.REASON_NONE)
     return rows.select(
         "domain", F.when(hit, best["organization_id"]).alias("organization_id"), F.when(hit, best["name"]).alias("organization_name"), best["score"].alias("actor_score"),
@@ -307,9 +307,9 @@ def by_organization(matches: DataFrame, unknown: str = "未知") -> DataFrame:
 def notice_text(groups: DataFrame) -> DataFrame:
     """One row: the groups of by_organization() as one text with its totals."""
     numbered = F.array_join(F.transform("domains", lambda d, i: F.concat((i + 1).cast("string"), F.lit(". "), d)), "\n")
-    section = F.concat(F.lit(labels.NOTICE_GROUP[0]), F.col("organization"), F.lit(labels.NOTICE_GROUP[1]), F.col("n").cast("string"), F.lit(labels.NOTICE_GROUP[2] + "\n"), numbered)
+    section = F.concat(F.format_string(labels.NOTICE_GROUP + "\n", "organization", "n"), numbered)
     g = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("known"), F.array_sort(F.collect_list(F.struct((~F.col("known")).alias("u"), F.lower("organization").alias("l"), section.alias("s")))).alias("s"))
-    head = F.concat(F.lit(labels.NOTICE_TOTALS[0]), F.col("total").cast("string"), F.lit("\n" + labels.NOTICE_TOTALS[1]), F.col("known").cast("string"))
+    head = F.format_string(labels.NOTICE_TOTALS, "total", "known")
     return g.select("total", "known", F.when(F.col("total") == 0, labels.NOTICE_NONE).otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n\n"))).alias("text"))
 
 
@@ -321,7 +321,7 @@ def notice_lines(matches: DataFrame, unknown: str = "未知") -> DataFrame:
     keyed = rows.select((F.col("organization") == unknown).alias("u"), F.lower("organization").alias("l"), "organization", "__key", "domain")
     placed = in_order(keyed, ["__key", "domain"], "at", ["u", "l", "organization"])
     sizes = placed.groupBy("organization").agg(F.count(F.lit(1)).alias("n"))
-    heading = F.concat(F.lit("\n" + labels.NOTICE_GROUP[0]), F.col("organization"), F.lit(labels.NOTICE_GROUP[1]), F.col("n").cast("string"), F.lit(labels.NOTICE_GROUP[2] + "\n"))
+    heading = F.format_string(f"\n{labels.NOTICE_GROUP}\n", "organization", "n")
     line = F.concat(F.when(F.col("at") == 1, heading).otherwise(""), F.col("at").cast("string"), F.lit(". "), F.col("domain"))
     return placed.join(sizes, "organization").select("u", "l", "organization", "at", line.alias("line"))
 
@@ -330,7 +330,7 @@ def write_notice(matches: DataFrame, path: str, unknown: str = "未知") -> None
     """The text of notice_text() as a file, with a line end."""
     lines = notice_lines(matches, unknown)
     total, known = lines.agg(F.count(F.lit(1)), F.count(F.when(~F.col("u"), 1))).first()
-    head = f"{labels.NOTICE_TOTALS[0]}{total}\n{labels.NOTICE_TOTALS[1]}{known}\n" if total else f"{labels.NOTICE_NONE}\n"
+    head = f"{labels.NOTICE_TOTALS}\n" % (total, known) if total else f"{labels.NOTICE_NONE}\n"
     write_stitched(lines, ["u", "l", "organization", "at"], path, head)
 
 

@@ -194,6 +194,7 @@ def get_objects(spark: SparkSession, bucket: str, keys: DataFrame | None = None)
 
 def document_row(document: DataFrame, bucket: str, key: str, facts: Mapping[str, str | int], when: Column) -> DataFrame:
     """The row of the table files for a document of one row; ``facts`` are added to its metadata."""
+    # What the metadata always say.
     fixed = {"source": "scheduled_alert", "artifact_type": "full_result", "file_format": "json", "schema_version": "v1"}
     meta = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in {**fixed, **facts}.items()]))
     return document.select(

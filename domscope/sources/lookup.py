@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RECORD_TYPES = ("A", "AAAA", "MX", "NS", "TXT", "CNAME", "SOA")
-SCHEMA = (
-    "domain string, registrar string, registration_date string, expiration_date string, name_servers array<string>, status array<string>, "
-    "dns array<struct<record_type: string, record_value: string, ttl: long, priority: long>>, issuer map<string,string>, subject map<string,string>, not_before string, not_after string, san_names array<string>, error string"
-)
+_FIELDS = {
+    "domain": "string", "registrar": "string", "registration_date": "string", "expiration_date": "string", "name_servers": "array<string>", "status": "array<string>",
+    "dns": "array<struct<record_type: string, record_value: string, ttl: long, priority: long>>", "issuer": "map<string,string>", "subject": "map<string,string>", "not_before": "string", "not_after": "string",
+    "san_names": "array<string>", "error": "string",
+}
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
 _RECORD = pa.struct([("record_type", pa.string()), ("record_value", pa.string()), ("ttl", pa.int64()), ("priority", pa.int64())])
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(_RECORD), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-_NAMES = [f.split()[0] for f in "domain,registrar,registration_date,expiration_date,name_servers,status,dns,issuer,subject,not_before,not_after,san_names,error".split(",")]
 
 
 def first_of(value):
@@ -62,7 +63,7 @@ def look_up(domains: DataFrame, resolve: Callable[[str], dict], domain: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_row(d, resolve) for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.array([], t) for t in _TYPES], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.array([], t) for t in _TYPES], list(_FIELDS))
 
     names = domains.select(F.col(domain).alias("domain")).where("domain IS NOT NULL").distinct()
     return (names.repartition(parallel) if parallel else names).mapInArrow(run, SCHEMA)
