@@ -17,7 +17,7 @@ from . import edit_index
 #: The dimension of the default embedding.
 DIMENSION = 64
 #: About so many targets and candidates are in a pack; so many candidates of it are compared at once.
-LOT, CANDIDATES, ROWS = 1024, 1024, 256
+LOT, CANDIDATES, ROWS = 4096, 1024, 256
 #: Lots, and numbers in their directions together, at most.
 LOTS, CELLS = 1024, 1_000_000
 #: Scores that differ by rounding alone are equal.
@@ -187,7 +187,7 @@ def best_target(candidates: DataFrame, targets: DataFrame, weights: dict[str, fl
     lots = stored(_packed(held.drop("along", "across"), LOT), "lots")
     met = stored(_best(_met(_packed(sent.drop("along", "across"), CANDIDATES), lots, itself)), "met")
     edges = held.groupBy("lot").agg(F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("rest")).orderBy("lot").toArrow()  # LOTS rows at most
-    more = _met(_packed(stored(_elsewhere(sent, met, centres, edges), "sent"), CANDIDATES), lots, itself)
+    more = _met(_elsewhere(sent, met, centres, edges), lots, itself)
     return _named(_best(met.unionByName(more)), candidates, key)
 
 
@@ -197,23 +197,25 @@ def _named(best: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
 
 
 def _elsewhere(sent: DataFrame, met: DataFrame, centres: np.ndarray, edges: pa.Table) -> DataFrame:
-    """lot, name, ord, cells: each candidate for each lot, but its first, that may hold a target as good as the one it has."""
+    """lot, names, cells: the candidates, in packs, for each lot, but their first, that may hold a target as good as the one they have."""
     names = dict(sent.dtypes)["name"]
     lot, low, high, rest = (edges[c].to_numpy() for c in ("lot", "low", "high", "rest"))
     share = sent.sparkSession.sparkContext.broadcast(centres)
-    best = sent.join(met.select("name", "similarity"), "name", "left").select("lot", "name", "ord", "cells", F.coalesce("similarity", F.lit(float("-inf"))).alias("best"))
+    best = sent.join(met.select("name", "similarity"), "name", "left").select("lot", "name", "cells", F.coalesce("similarity", F.lit(float("-inf"))).alias("best"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _matrix(batch.column("cells"))
-            dots = m @ share.value[lot].T if len(m) else np.zeros((0, len(lot)))
-            limit = bounds(dots, np.sqrt((m * m).sum(1)) if len(m) else np.zeros(0), low, high, rest)
-            go = (limit >= batch.column("best").to_numpy()[:, None] - EQUAL) & (lot[None, :] != batch.column("lot").to_numpy()[:, None])
-            row, to = np.nonzero(go)
-            part = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(lot[to], pa.int32()), *(part.column(c) for c in ("name", "ord", "cells"))], ["lot", "name", "ord", "cells"])
-
-    return best.mapInArrow(run, f"lot int, name {names}, ord int, cells binary")
+        for whole in batches:
+            for at in range(0, whole.num_rows, CANDIDATES):
+                batch = whole.slice(at, CANDIDATES)
+                m = _matrix(batch.column("cells"))
+                limit = bounds(m @ share.value[lot].T, np.sqrt((m * m).sum(1)), low, high, rest)
+                go = (limit >= batch.column("best").to_numpy()[:, None] - EQUAL) & (lot[None, :] != batch.column("lot").to_numpy()[:, None])
+                for k in np.flatnonzero(go.any(0)):
+                    some = np.flatnonzero(go[:, k])
+                    own = batch.column("name").take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([pa.array([lot[k]], pa.int32()), pa.array([own.to_pylist()], pa.list_(own.type)), pa.array([m[some].tobytes()], pa.binary())], ["lot", "names", "cells"])
+
+    return best.mapInArrow(run, f"lot int, names array<{names}>, cells binary")
 
 
 def look_alikes(candidates: DataFrame, official: DataFrame, threshold: float | None = None, embed: Callable[[Column], Column] = hashed_embedding, itself: bool = True) -> tuple[DataFrame, DataFrame]:
