@@ -228,8 +228,8 @@ def uploaded_object(spark, sf_dir):
     """The html of all pages as objects under random keys, written by tasks, found by key and read again."""
     bucket = f"{scratch(spark, 'files')}/pages"
     keys = files.put_objects(_t(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.encode("html", "UTF-8").alias("content")), bucket, "html")
-    found = files.get_objects(spark, bucket, keys).join(keys, "key")
-    return found.select("page_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"), F.char_length("key").alias("key_length"))
+    found = files.get_objects(spark, bucket).select("key", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"))
+    return found.join(keys, "key").select("page_id", "size", "digest", F.char_length("key").alias("key_length"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 3)")
