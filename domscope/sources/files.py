@@ -7,6 +7,7 @@ import io
 import itertools
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,31 @@ def staged_csv(spark: SparkSession, path: str, columns: Sequence[str] | str, enc
     return spark.read.schema(schema).options(header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, encoding=encoding).csv(path)
 
 
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of files for tasks that open_file() them: content is null where pyarrow opens the path, so that they are read as streams."""
+    import pyarrow.fs as pafs
+
+    found = spark.read.format("binaryFile").load(path)
+    place, fs = _hadoop(spark, path)
+    where = fs.makeQualified(place).toString()
+    try:
+        if not where.startswith("file:"):
+            pafs.FileSystem.from_uri(quote(where, "/:@"))
+    except (pa.ArrowInvalid, OSError):  # a store that only Spark reads
+        return found.select("path", "content")
+    return found.select("path", F.lit(None).cast("binary").alias("content"))
+
+
+def open_file(path: str, content: bytes | None):
+    """A file of whole_files(), in a task."""
+    import pyarrow.fs as pafs
+
+    if content is not None:
+        return io.BytesIO(content)
+    fs, inner = pafs.FileSystem.from_uri(quote(path, "/:@")) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+    return fs.open_input_file(inner)
+
+
 def _decoded_csv(spark: SparkSession, path: str, names: list[str], schema: str, encoding: str) -> DataFrame:
     """For character sets that Spark's reader doesn't take: a task decodes a whole file, which staged files
     are small enough for."""

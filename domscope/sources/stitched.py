@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .files import _hadoop
 
@@ -17,26 +18,33 @@ def write_stitched(lines: DataFrame, order: list[str], path: str, head: str = ""
     work = f"{path}.{uuid.uuid4().hex}"
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(f"{work}/ranges")
     place, fs = _hadoop(spark, work)
+    try:
+        ranges = sorted(s.getPath().toString() for s in fs.listStatus(_hadoop(spark, f"{work}/ranges")[0]) if s.getPath().getName().startswith("part-"))
+        stitch(spark, work, [head.encode(), *ranges, tail.encode()], path)
+    finally:
+        fs.delete(place, True)
+
+
+def stitch(spark: SparkSession, work: str, pieces: Iterable[bytes | str], path: str) -> None:
+    """A file of ``pieces``, bytes or the paths of files, one after another. It is made in the folder ``work`` and moved when it is whole."""
     jvm = spark.sparkContext._jvm
     path_of = jvm.org.apache.hadoop.fs.Path
+    whole, fs = _hadoop(spark, f"{work}/whole")
+    out = fs.create(whole)
     try:
-        ranges = sorted(s.getPath().toString() for s in fs.listStatus(path_of(f"{work}/ranges")) if s.getPath().getName().startswith("part-"))
-        out = fs.create(path_of(f"{work}/whole"))
-        try:
-            out.write(bytearray(head.encode()))
-            for r in ranges:
-                part = fs.open(path_of(r))
-                try:
-                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
-                finally:
-                    part.close()
-            out.write(bytearray(tail.encode()))
-        finally:
-            out.close()
-        target = path_of(path)
-        fs.mkdirs(target.getParent())
-        fs.delete(target, True)
-        if not fs.rename(path_of(f"{work}/whole"), target):
-            raise OSError(f"{path} can't be written")
+        for piece in pieces:
+            if isinstance(piece, bytes):
+                out.write(bytearray(piece))
+                continue
+            part = fs.open(path_of(piece))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            finally:
+                part.close()
     finally:
-        fs.delete(place, True)
+        out.close()
+    target = path_of(path)
+    fs.mkdirs(target.getParent())
+    fs.delete(target, True)
+    if not fs.rename(whole, target):
+        raise OSError(f"{path} can't be written")

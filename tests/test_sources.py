@@ -108,6 +108,57 @@ def test_spreadsheets(spark, tmp_path):
     assert xlsx.read_xlsx(spark, path, "钓鱼域名列表").count() == 1
 
 
+def test_a_result_longer_than_a_sheet(spark, tmp_path):
+    from domscope.sources import xlsx
+
+    n = xlsx.MOST_ROWS + 5
+    path = str(tmp_path / "a b.xlsx")
+    rows = spark.range(n).selectExpr("concat('d', id) AS domain", "id % 7 AS size")
+    xlsx.write_result_book(path, rows, rows.agg(F.count("*").alias("total")), rows.where("id < 3"), "impersonation")
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and "钓鱼域名列表" in z.read("xl/workbook.xml").decode() and "检测结果 (2)" in z.read("xl/workbook.xml").decode()
+        assert [z.read(f"xl/worksheets/sheet{k}.xml").count(b"<row>") <= xlsx.MOST_ROWS for k in (1, 2)] == [True, True]
+    back = xlsx.read_xlsx(spark, path, "检测结果")
+    assert back.columns == ["domain", "size"] and back.rdd.getNumPartitions() == 2
+    assert back.selectExpr("count(*)", "count(DISTINCT domain)", "sum(size)").first() == rows.selectExpr("count(*)", "count(DISTINCT domain)", "sum(CAST(size AS double))").first()
+    assert xlsx.read_xlsx(spark, path, "统计信息").first().total == str(n) and xlsx.read_xlsx(spark, path, "钓鱼域名列表").count() == 3
+
+
+def test_sheets_that_go_on(spark, tmp_path, monkeypatch):
+    import io
+
+    from domscope.sources import xlsx
+
+    monkeypatch.setattr(xlsx, "MOST_ROWS", 11)
+    path = str(tmp_path / "r.xlsx")
+    rows = spark.range(35).repartition(3).selectExpr("lpad(id, 3, '0') AS k", "if(id % 2 = 0, 'é<日', null) AS v")
+    xlsx.write_xlsx(path, {"x" * 40: rows, "a": spark.range(0), "a (2)": spark.range(1), "A": rows.limit(10), "a ": rows.limit(11)}, "k")
+    with open(path, "rb") as f:
+        content = f.read()
+    whole = list(xlsx.sheet_rows(content, "x" * 31))
+    assert whole == [["k", "v"]] + [[f"{n:03}", None if n % 2 else "é<日"] for n in range(35)] == list(xlsx.sheet_rows(content, None))
+    assert [len(list(xlsx.sheet_rows(content, n))) for n in ("a", "a (2)", "A", "a ")] == [1, 2, 11, 12]
+    # A sheet that only has such a name is a sheet of its own; files are read as streams or, from other stores, as contents.
+    assert len(list(xlsx.part_rows(io.BytesIO(content), "xl/worksheets/sheet1.xml"))) <= 11
+    assert xlsx.read_xlsx(spark, path).count() == 35 == xlsx.read_xlsx(spark, str(tmp_path)).count()
+    monkeypatch.setattr(xlsx.files, "whole_files", lambda spark, path: spark.read.format("binaryFile").load(path).select("path", "content"))
+    assert sorted(map(tuple, xlsx.read_xlsx(spark, path).collect())) == [tuple(r) for r in whole[1:]]
+
+
+def test_zip_of_long_members(monkeypatch):
+    import io
+
+    from domscope.sources import xlsx
+
+    pieces = [(d, crc, length, len(d)) for d, crc, length in (xlsx._packed("one ", False), xlsx._packed("two", True))]
+    for limit in (zipfile.ZIP64_LIMIT, 60, 3):  # sizes and places beyond it are written with 64 bits
+        monkeypatch.setattr(zipfile, "ZIP64_LIMIT", limit)
+        book = b"".join(xlsx._archive([("a", pieces), ("b", pieces[1:])]))
+        with zipfile.ZipFile(io.BytesIO(book)) as z:
+            assert z.testzip() is None and (z.read("a"), z.read("b")) == (b"one two", b"two")
+        assert (b"PK\6\6" in book) == (limit < 100)
+
+
 def test_jdbc(spark):
     from domscope.sources import jdbc
 
