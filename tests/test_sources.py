@@ -124,6 +124,18 @@ def test_a_result_longer_than_a_sheet(spark, tmp_path):
     assert xlsx.read_xlsx(spark, path, "统计信息").first().total == str(n) and xlsx.read_xlsx(spark, path, "钓鱼域名列表").count() == 3
 
 
+def test_domains_of_a_result_longer_than_a_sheet(spark, tmp_path):
+    from domscope.sources import xlsx
+
+    n = xlsx.MOST_ROWS
+    path = str(tmp_path / "r.xlsx")
+    rows = spark.range(n).selectExpr("if(id % 2 = 0, concat('d', id), ' ') AS domain")
+    xlsx.write_result_book(path, rows, rows.agg(F.count("*").alias("total")), rows)
+    # The first sheet and the positive rows both go on.
+    assert xlsx.domain_sheet(spark, path).selectExpr("count(*)", "count(DISTINCT domain)").first() == (n // 2, n // 2)
+    assert xlsx.read_xlsx(spark, path, "恶意域名列表").count() == n
+
+
 def test_sheets_that_go_on(spark, tmp_path, monkeypatch):
     import io
 
