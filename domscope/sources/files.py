@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import itertools
+import sys
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from urllib.parse import quote
@@ -58,19 +60,24 @@ def open_file(path: str, content: bytes | None):
 
 
 def _decoded_csv(spark: SparkSession, path: str, names: list[str], schema: str, encoding: str) -> DataFrame:
-    """For character sets that Spark's reader doesn't take: a task decodes a whole file, which staged files
-    are small enough for."""
+    """For character sets that Spark's reader doesn't take: a task decodes a file as a stream, some rows at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                read = csv.reader(io.StringIO(content.decode(encoding, "replace"), newline=""))
-                next(read, None)
-                while part := list(itertools.islice(read, 10_000)):
-                    whole = [[v or None for v in r[: len(names)]] + [None] * (len(names) - len(r)) for r in part if r]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in whole], pa.string()) for k in range(len(names))], names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
+            for place, content in zip(*(c.to_pylist() for c in batch.columns)):
+                with io.TextIOWrapper(file := open_file(place, content), encoding, "replace", newline="") as text:
+                    if (marked := codecs.lookup(encoding).name) in ("utf-16", "utf-32"):
+                        # Without a byte-order mark streams of these fail.
+                        if not file.read(4).startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) if marked == "utf-16" else (codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE)):
+                            text.reconfigure(encoding=f"{marked}-{sys.byteorder[0]}e")
+                        file.seek(0)
+                    read = csv.reader(text)
+                    next(read, None)
+                    while part := list(itertools.islice(read, 10_000)):
+                        whole = [[v or None for v in r[: len(names)]] + [None] * (len(names) - len(r)) for r in part if r]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in whole], pa.string()) for k in range(len(names))], names)
+
+    return whole_files(spark, path).mapInArrow(rows, schema)
 
 
 def write_encoded_csv(df: DataFrame, path: str, encoding: str) -> None:

@@ -45,6 +45,27 @@ def test_staging(spark, tmp_path):
     assert {r.id: r.organization_id for r in etl.backfill_organization(bare, staged).collect()} == {1: 3, 4: None}
 
 
+def test_files_are_decoded_as_streams(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in 1"
+    folder.mkdir()
+    rows = [(str(n), f'标题 "{n}"\r\n，第{n % 7}行', "" if n % 3 else "x" * (n % 90)) for n in range(30_000)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").repartition(2)
+    files.write_encoded_csv(df, str(folder), "GBK")
+    wanted = {(a, b, c or None) for a, b, c in rows}
+    back = files.staged_csv(spark, str(folder), ["a", "b", "c"], "GBK")
+    # Spark's reader gives tasks the paths, not whole contents.
+    assert "ReadSchema: struct<path:string>" in back._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == 30_000 and set(map(tuple, back.collect())) == wanted
+    for name, data in (("utf_16", "a\r\n标,题\n"), ("utf16", "\ufeffa\n标,题\n"), ("utf_32", "a\n标,题")):
+        (tmp_path / name).write_bytes(data.encode(f"{name.replace('_', '')[:3]}-{name[-2:]}-le"))
+        assert [tuple(r) for r in files.staged_csv(spark, str(tmp_path / name), ["a", "b", "c"], name).collect()] == [("标", "题", None)]
+    (tmp_path / "cut.csv").write_bytes("h\n标".encode("gbk")[:-1])
+    assert [r.a for r in files.staged_csv(spark, str(tmp_path / "cut.csv"), ["a"], "GBK").collect()] == ["\ufffd"]
+    # A store that only Spark reads: contents.
+    monkeypatch.setattr(files, "whole_files", lambda spark, path: spark.read.format("binaryFile").load(path).select("path", "content"))
+    assert set(map(tuple, files.staged_csv(spark, str(folder), ["a", "b", "c"], "GBK").collect())) == wanted
+
+
 def test_daily_feed(spark, tmp_path):
     for day, member in ((date(2024, 9, 1), "dailyupdate.txt"), (date(2024, 9, 3), "other.txt"), (date(2024, 9, 5), "dailyupdate.txt")):
         p = day_path(str(tmp_path), day)
