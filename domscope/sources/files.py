@@ -59,18 +59,28 @@ def open_file(path: str, content: bytes | None):
     return fs.open_input_file(inner)
 
 
+def _text(file, encoding: str) -> io.TextIOBase:
+    """The text of a file as a stream; what can't be decoded is replaced as it would be in the whole."""
+    kind = codecs.lookup(encoding).name
+    if kind in ("hz", "utf-7") or kind.startswith("iso2022"):
+        # Streams of these fail where escapes are damaged.
+        return io.StringIO(file.read().decode(encoding, "replace"), newline="")
+    marks = {"utf-16": (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE), "utf-32": (codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE)}
+    if kind in marks:
+        # Streams of these fail without a byte-order mark.
+        if not file.read(4).startswith(marks[kind]):
+            encoding = f"{kind}-{sys.byteorder[0]}e"
+        file.seek(0)
+    return io.TextIOWrapper(file, encoding, "replace", newline="")
+
+
 def _decoded_csv(spark: SparkSession, path: str, names: list[str], schema: str, encoding: str) -> DataFrame:
     """For character sets that Spark's reader doesn't take: a task decodes a file as a stream, some rows at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, content in zip(*(c.to_pylist() for c in batch.columns)):
-                with io.TextIOWrapper(file := open_file(place, content), encoding, "replace", newline="") as text:
-                    if (marked := codecs.lookup(encoding).name) in ("utf-16", "utf-32"):
-                        # Without a byte-order mark streams of these fail.
-                        if not file.read(4).startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) if marked == "utf-16" else (codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE)):
-                            text.reconfigure(encoding=f"{marked}-{sys.byteorder[0]}e")
-                        file.seek(0)
+                with open_file(place, content) as file, _text(file, encoding) as text:
                     read = csv.reader(text)
                     next(read, None)
                     while part := list(itertools.islice(read, 10_000)):

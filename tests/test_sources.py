@@ -61,6 +61,9 @@ def test_files_are_decoded_as_streams(spark, tmp_path, monkeypatch):
         assert [tuple(r) for r in files.staged_csv(spark, str(tmp_path / name), ["a", "b", "c"], name).collect()] == [("标", "题", None)]
     (tmp_path / "cut.csv").write_bytes("h\n标".encode("gbk")[:-1])
     assert [r.a for r in files.staged_csv(spark, str(tmp_path / "cut.csv"), ["a"], "GBK").collect()] == ["\ufffd"]
+    damaged = b"h\n" + b"\x1babcdefghijk\xff" * 3000
+    (tmp_path / "jp.csv").write_bytes(damaged)
+    assert [r.a for r in files.staged_csv(spark, str(tmp_path / "jp.csv"), ["a"], "iso2022_jp").collect()] == [damaged[2:].decode("iso2022_jp", "replace")]
     # A store that only Spark reads: contents.
     monkeypatch.setattr(files, "whole_files", lambda spark, path: spark.read.format("binaryFile").load(path).select("path", "content"))
     assert set(map(tuple, files.staged_csv(spark, str(folder), ["a", "b", "c"], "GBK").collect())) == wanted
