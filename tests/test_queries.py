@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from domscope.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
@@ -15,6 +16,19 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_a_result_book_longer_than_a_sheet_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from domscope.sources.xlsx import MOST_ROWS
+
+    spark.range(MOST_ROWS + 5).selectExpr("id AS p_partkey", "concat('n', id % 64, ' ') AS p_name", "CAST(id % 50 + 1 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(f"SELECT sheet, count(*), count(DISTINCT domain), sum(CAST(size AS BIGINT)) FROM ({ORACLE_SQL['result_book']}) GROUP BY sheet").fetchall()
+    got = QUERIES["result_book"](spark, str(tmp_path)).groupBy("sheet").agg(F.count("*"), F.count_distinct("domain"), F.sum(F.col("size").cast("long"))).collect()
+    assert {tuple(r) for r in got} == set(want) and len(want) == len(got) == 3
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
